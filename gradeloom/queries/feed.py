@@ -41,16 +41,137 @@ class Feed:
 
     @cached_property
     def grades(self) -> DataFrame:
-        """One draft grade per line item; users are order lines."""
-        lines = self.lineitem.select(
+        """One draft grade per line item; users are order lines, some carry an earlier curve."""
+        return self.lineitem.select(
             s("l_partkey").alias("assignment_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("user_id"),
             F.when(F.col("l_returnflag") == "N", "no-submission").otherwise(
                 F.when(F.col("l_linestatus") == "F", "ai").otherwise("lms")).alias("source"),
             F.create_map(F.lit("c1"), F.round("l_quantity", 2), F.lit("c2"), F.round(F.col("l_discount") * 100, 2),
                          F.lit("c3"), F.round(F.col("l_tax") * 100, 2)).alias("scores"),
             F.round(F.col("l_quantity") + F.col("l_discount") * 100 + F.col("l_tax") * 100, 2).alias("total"),
-            "l_shipdate", "l_orderkey", "l_linenumber")
-        return lines
+            (F.col("l_linenumber") == 5).alias("total_only"),
+            F.when(F.col("l_linenumber") == 7, 5.0).otherwise(0.0).alias("curve_flat"),
+            F.create_map(F.lit("c1"), F.when(F.col("l_linenumber") == 6, 3.0).otherwise(0.0)).alias("curve_by"),
+            F.array_compact(F.array(
+                F.when(F.col("l_quantity") < 5, "very short"), F.when(F.col("l_discount") > 0.08, "sources unclear"),
+                F.when(F.col("l_linestatus") == "O", "check by hand"))).alias("flags"))
+
+    @cached_property
+    def syllabi(self) -> DataFrame:
+        """Syllabus prose per assignment, its late rule set by the part's type and size."""
+        size = s("p_size")
+        return self.part.select(
+            s("p_partkey").alias("assignment_id"), F.col("p_brand").alias("course_id"),
+            F.when(F.col("p_type") == "ECONOMY", F.concat(
+                F.lit("Late work will lose "), size, F.lit("% per day, up to 7 days.\nMinimum score of 40 percent.")))
+            .when(F.col("p_type") == "PROMO", F.concat(
+                F.lit("Late submissions: "), size, F.lit(" percent each hour,  with a 12 hour grace period.")))
+            .when(F.col("p_type") == "MEDIUM", "No late work. Plan ahead.")
+            .when(F.col("p_type") == "SMALL", "Anything late earns half credit.")
+            .when(F.col("p_type") == "LARGE", "Late work is accepted without penalty in this course.")
+            .when(F.col("p_size") % 2 == 0, F.concat(F.lit("If late, expect a "), size, F.lit("% penalty.")))
+            .otherwise("Projects are due on Friday.").alias("body"))
+
+    @cached_property
+    def late_rows(self) -> DataFrame:
+        """Graded submissions with lateness: ship date against order date."""
+        seconds = F.unix_timestamp("l_shipdate") - F.unix_timestamp("o_orderdate")
+        lines = self.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
+        return (lines.join(self.orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+                .select(s("l_partkey").alias("assignment_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("user_id"),
+                        (seconds > 0).alias("late"), seconds.alias("seconds_late"), F.col("l_quantity").alias("total")))
+
+    @cached_property
+    def enrolled(self) -> DataFrame:
+        """Class lists: a course (brand) enrols the suppliers of one nation, for each of its assignments."""
+        parts = self.part.select(F.col("p_brand").alias("course_id"), s("p_partkey").alias("assignment_id"),
+                                 F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("_n"))
+        people = self.supplier.select(s("s_suppkey").alias("user_id"), F.col("s_name").alias("name"),
+                                      (F.col("s_nationkey") + 1).alias("_n"))
+        return parts.join(people, "_n").select("course_id", "assignment_id", "user_id", "name")
+
+    @cached_property
+    def submissions(self) -> DataFrame:
+        """The latest hand-in per assignment and supplier, of lines up to a date."""
+        last = F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")).alias("x")
+        return (self.lineitem.groupBy("l_partkey", "l_suppkey").agg(last, F.count(F.lit(1)).alias("attempt"))
+                .select(s("l_partkey").alias("assignment_id"), s("l_suppkey").alias("user_id"),
+                        F.when(F.col("x.l_returnflag") != "R", F.col("x.l_shipdate")).alias("submitted_at"),
+                        (F.col("x.l_linenumber") == 7).alias("excused"), F.col("x.l_quantity").alias("score"),
+                        F.when(F.col("x.l_returnflag") == "R", "unsubmitted").when(F.col("x.l_returnflag") == "N", "graded")
+                        .otherwise("submitted").alias("status"),
+                        F.col("attempt").cast("int").alias("attempt"), F.col("x.l_linenumber").alias("words")))
+
+    # --------------------------------------------------------------- attendance
+    @cached_property
+    def marks(self) -> DataFrame:
+        """The newest mark per course, day and student, from the event stream."""
+        status = (F.when(F.col("x.event_type") == "click", "present").when(F.col("x.event_type") == "view", "tardy")
+                  .when(F.col("x.event_type") == "error", "absent").when(F.col("x.event_type") == "signup", "excused")
+                  .otherwise(""))
+        newest = F.max(F.struct("ts", "event_id", "event_type", "value")).alias("x")
+        rows = self.events.select(event_course(), F.to_date("ts").alias("day"), s("user_id").alias("user_id"),
+                                  "ts", "event_id", "event_type", "value")
+        return (rows.groupBy("course_id", "day", "user_id").agg(newest)
+                .select("course_id", "day", "user_id", status.alias("status"),
+                        F.when(status == "tardy", F.least(F.floor("x.value"), F.lit(180)).cast("int")).otherwise(0).alias("minutes"),
+                        F.lit("").alias("note"), F.col("x.ts").alias("updated")))
+
+    @cached_property
+    def roster(self) -> DataFrame:
+        return self.events.where("event_type = 'signup'").select(event_course(), s("user_id").alias("user_id")).distinct()
+
+    @cached_property
+    def patterns(self) -> DataFrame:
+        """Weekday patterns per course seen in the events; course 9 has none."""
+        courses = self.events.select(event_course()).distinct()
+        n = F.col("course_id").cast("int")
+        days = (F.when(n == 9, F.array().cast("array<string>"))
+                .when(n % 2 == 0, F.array(F.lit("mon"), F.lit("wed"))).otherwise(F.array(F.lit("tue"), F.lit("thu"))))
+        return courses.select("course_id", days.alias("weekdays"), F.date_add(F.lit("2024-01-01").cast("date"), n).alias("start"),
+                              F.lit("2024-01-26").cast("date").alias("end"), (n % 3 != 0).alias("skip_breaks"))
+
+    @cached_property
+    def breaks(self) -> DataFrame:
+        days = F.sequence(F.lit("2024-01-15").cast("date"), F.lit("2024-01-16").cast("date"))
+        return self.patterns.select("course_id", F.explode(days).alias("day"))
+
+    @cached_property
+    def meet_overrides(self) -> DataFrame:
+        """Single days put on or off, the newest choice per day."""
+        rows = self.events.where("event_type = 'purchase' AND value < 0.5 AND props <> '{\"k\": 90}'").select(
+            event_course(), F.to_date("ts").alias("day"), F.struct("ts", "event_id").alias("k"),
+            (F.col("event_id") % 2 == 0).alias("on")).where("course_id <> '9'")
+        return rows.groupBy("course_id", "day").agg(F.max_by("on", "k").alias("on"))
+
+    # --------------------------------------------------------------------- risk
+    @cached_property
+    def coursework(self) -> DataFrame:
+        """Orders as dated work: priority is the course, customer the student, order the item."""
+        key, date = F.col("o_orderkey"), F.col("o_orderdate")
+        return self.orders.select(
+            F.substring("o_orderpriority", 1, 1).alias("course_id"), s("o_custkey").alias("user_id"),
+            s("o_orderkey").alias("assignment_id"), date.alias("due_at"), (key % 13 != 0).alias("published"),
+            F.when(F.col("o_orderstatus") == "F", "graded").when(F.col("o_orderstatus") == "O", "submitted")
+            .otherwise("unsubmitted").alias("workflow_state"),
+            F.when(F.col("o_orderstatus") != "P", date + F.make_dt_interval((key % 5).cast("int"))).alias("submitted_at"),
+            (key % 17 == 0).alias("missing"), (key % 11 == 0).alias("excused"),
+            F.when(key % 7 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("score"),
+            F.lit(100.0).alias("points_possible"))
+
+    @cached_property
+    def enrollment(self) -> DataFrame:
+        courses = self.coursework.select("course_id", "user_id").distinct()
+        people = self.customer.select(s("c_custkey").alias("user_id"), F.col("c_name").alias("name"),
+                                      F.round(F.col("c_acctbal") / 80, 1).alias("current_score"),
+                                      F.expr("timestamp'1999-06-01' + make_dt_interval(cast(c_custkey % 60 as int))").alias("last_seen"))
+        return courses.join(people, "user_id")
+
+
+def event_course():
+    """Course of an event: the tens digit of its property ``k``."""
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
+    return F.floor(k / 10).cast("string").alias("course_id")
 
 
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -67,5 +188,100 @@ FEED_SQL["grades"] = """
 SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, l_orderkey || '-' || l_linenumber AS user_id,
  CASE WHEN l_returnflag='N' THEN 'no-submission' WHEN l_linestatus='F' THEN 'ai' ELSE 'lms' END AS source,
  round(l_quantity,2) AS c1, round(l_discount*100,2) AS c2, round(l_tax*100,2) AS c3,
- round(l_quantity+l_discount*100+l_tax*100,2) AS total, l_shipdate, l_orderkey, l_linenumber
+ round(l_quantity+l_discount*100+l_tax*100,2) AS total, l_linenumber = 5 AS total_only,
+ CASE WHEN l_linenumber=7 THEN 5.0 ELSE 0.0 END::DOUBLE AS curve_flat,
+ CASE WHEN l_linenumber=6 THEN 3.0 ELSE 0.0 END::DOUBLE AS curve_c1,
+ list_filter([CASE WHEN l_quantity<5 THEN 'very short' END, CASE WHEN l_discount>0.08::DOUBLE THEN 'sources unclear' END,
+   CASE WHEN l_linestatus='O' THEN 'check by hand' END], lambda x: x IS NOT NULL) AS flags
 FROM lineitem"""
+FEED_SQL["final"] = """
+SELECT *, CASE WHEN total_only THEN total ELSE round(c1+c2+c3,2) END AS earned,
+ round(least(68.0, greatest(0.0, CASE WHEN total_only THEN total
+   ELSE least(c1+curve_c1,50.0)+least(c2,10.0)+least(c3,8.0) END + curve_flat)),2) AS shown,
+ source <> 'no-submission' AS scored FROM grades"""
+FEED_SQL["syllabi"] = """
+SELECT CAST(p_partkey AS VARCHAR) AS assignment_id, p_brand AS course_id,
+ CASE WHEN p_type='ECONOMY' THEN 'Late work will lose ' || p_size || '% per day, up to 7 days.' || chr(10) || 'Minimum score of 40 percent.'
+  WHEN p_type='PROMO' THEN 'Late submissions: ' || p_size || ' percent each hour,  with a 12 hour grace period.'
+  WHEN p_type='MEDIUM' THEN 'No late work. Plan ahead.' WHEN p_type='SMALL' THEN 'Anything late earns half credit.'
+  WHEN p_type='LARGE' THEN 'Late work is accepted without penalty in this course.'
+  WHEN p_size % 2 = 0 THEN 'If late, expect a ' || p_size || '% penalty.' ELSE 'Projects are due on Friday.' END AS body FROM part"""
+FEED_SQL["policies"] = """
+SELECT assignment_id, course_id,
+ CASE WHEN body LIKE 'Late work will lose%' THEN 'percent_per_day' WHEN body LIKE '%each hour%' THEN 'percent_per_hour'
+  WHEN body LIKE 'No late%' THEN 'none_accepted' WHEN body LIKE '%half credit%' OR body LIKE 'If late%' THEN 'flat_percent'
+  WHEN body LIKE '%without penalty%' THEN 'no_penalty' ELSE 'none' END AS kind,
+ CASE WHEN body LIKE '%half credit%' THEN 50.0 ELSE coalesce(TRY_CAST(regexp_extract(
+   CASE WHEN body LIKE 'Late work is%' THEN '' ELSE body END, '([0-9]+) *(%|percent)', 1) AS DOUBLE), 0.0) END AS percent,
+ CASE WHEN body LIKE '%each hour%' THEN 'hour' ELSE 'day' END AS interval,
+ CASE WHEN body LIKE '%grace%' THEN 12.0 ELSE 0.0 END AS grace_hours,
+ CASE WHEN body LIKE '%Minimum score%' THEN 40.0 ELSE 0.0 END AS floor_percent,
+ CASE WHEN body LIKE '%up to 7 days%' THEN 7 END AS max_days FROM syllabi"""
+FEED_SQL["late_rows"] = """
+SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, l_orderkey || '-' || l_linenumber AS user_id,
+ date_diff('second', o_orderdate, l_shipdate) > 0 AS late, date_diff('second', o_orderdate, l_shipdate) AS seconds_late,
+ l_quantity AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+FEED_SQL["enrolled"] = """
+SELECT p_brand AS course_id, CAST(p_partkey AS VARCHAR) AS assignment_id, CAST(s_suppkey AS VARCHAR) AS user_id, s_name AS name
+FROM part JOIN supplier ON CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) = s_nationkey + 1"""
+FEED_SQL["submissions"] = """
+SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, CAST(l_suppkey AS VARCHAR) AS user_id,
+ CASE WHEN x.f <> 'R' THEN x.d END AS submitted_at, x.n = 7 AS excused, x.q AS score,
+ CASE x.f WHEN 'R' THEN 'unsubmitted' WHEN 'N' THEN 'graded' ELSE 'submitted' END AS status,
+ CAST(attempt AS INT) AS attempt, x.n AS words
+FROM (SELECT l_partkey, l_suppkey, count(*) AS attempt, max({'d': l_shipdate, 'o': l_orderkey, 'n': l_linenumber,
+  'q': l_quantity, 'f': l_returnflag}) AS x FROM lineitem GROUP BY ALL)"""
+
+EVENT_COURSE = "CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) // 10 AS VARCHAR)"
+FEED_SQL["marks"] = f"""
+SELECT course_id, day, user_id, status, CASE WHEN status='tardy' THEN CAST(least(floor(x.v),180) AS INT) ELSE 0 END AS minutes,
+ '' AS note, x.ts AS updated FROM (SELECT course_id, day, user_id, x, CASE x.t WHEN 'click' THEN 'present' WHEN 'view' THEN 'tardy'
+  WHEN 'error' THEN 'absent' WHEN 'signup' THEN 'excused' ELSE '' END AS status
+ FROM (SELECT {EVENT_COURSE} AS course_id, CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS user_id,
+   max({{'ts': ts, 'id': event_id, 't': event_type, 'v': value}}) AS x FROM events GROUP BY ALL))"""
+FEED_SQL["roster"] = f"SELECT DISTINCT {EVENT_COURSE} AS course_id, CAST(user_id AS VARCHAR) AS user_id FROM events WHERE event_type='signup'"
+FEED_SQL["patterns"] = f"""
+SELECT course_id, CASE WHEN n=9 THEN []::VARCHAR[] WHEN n%2=0 THEN ['mon','wed'] ELSE ['tue','thu'] END AS weekdays,
+ DATE '2024-01-01' + n AS start_day, DATE '2024-01-26' AS end_day, n%3<>0 AS skip_breaks
+FROM (SELECT DISTINCT {EVENT_COURSE} AS course_id, CAST({EVENT_COURSE} AS INT) AS n FROM events)"""
+FEED_SQL["meet_overrides"] = f"""
+SELECT course_id, day, x.on_day FROM (SELECT {EVENT_COURSE} AS course_id, CAST(ts AS DATE) AS day,
+ max({{'ts': ts, 'id': event_id, 'on_day': event_id%2=0}}) AS x FROM events WHERE event_type='purchase' AND value<0.5
+ AND props <> '{{"k": 90}}' GROUP BY ALL) WHERE course_id <> '9'"""
+FEED_SQL["meetings"] = """
+SELECT course_id, day FROM (
+ SELECT course_id, CAST(d AS DATE) AS day FROM (SELECT *, unnest(generate_series(start_day, end_day, INTERVAL 1 DAY)) AS d FROM patterns)
+ WHERE list_contains(weekdays, lower(strftime(d, '%a'))) AND NOT (skip_breaks AND CAST(d AS DATE) IN (DATE '2024-01-15', DATE '2024-01-16'))
+  AND (course_id, CAST(d AS DATE)) NOT IN (SELECT (course_id, day) FROM meet_overrides WHERE NOT on_day)
+ UNION SELECT course_id, day FROM meet_overrides WHERE on_day)"""
+FEED_SQL["totals"] = """
+SELECT course_id, user_id, count(*) FILTER (WHERE status='present' AND m) AS present, count(*) FILTER (WHERE status='tardy' AND m) AS tardy,
+ count(*) FILTER (WHERE status='absent' AND m) AS absent, count(*) FILTER (WHERE status='excused' AND m) AS excused,
+ CAST(coalesce(sum(minutes) FILTER (WHERE status='tardy' AND m),0) AS BIGINT) AS minutes
+FROM (SELECT * FROM roster UNION SELECT course_id, user_id FROM marks) LEFT JOIN
+ (SELECT marks.*, meetings.day IS NOT NULL AS m FROM marks LEFT JOIN meetings USING (course_id, day)) USING (course_id, user_id) GROUP BY ALL"""
+FEED_SQL["coursework"] = """
+SELECT o_orderpriority[1] AS course_id, CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS assignment_id,
+ o_orderdate AS due_at, o_orderkey%13<>0 AS published,
+ CASE o_orderstatus WHEN 'F' THEN 'graded' WHEN 'O' THEN 'submitted' ELSE 'unsubmitted' END AS workflow_state,
+ CASE WHEN o_orderstatus<>'P' THEN o_orderdate + to_days(CAST(o_orderkey%5 AS INT)) END AS submitted_at,
+ o_orderkey%17=0 AS missing, o_orderkey%11=0 AS excused, CASE WHEN o_orderkey%7=0 THEN 0.0 ELSE o_totalprice END AS score FROM orders"""
+FEED_SQL["stats"] = """
+SELECT c.course_id, c.user_id, any_value(c_name) AS name, any_value(CASE WHEN g<=100 THEN g END) AS grade,
+ list_sort(list_distinct(coalesce(list(assignment_id) FILTER (WHERE absent), []))) AS missing_ids,
+ list_sort(list_distinct(coalesce(list(assignment_id) FILTER (WHERE zero), []))) AS zero_ids,
+ max(submitted_at) AS last_submit, any_value(TIMESTAMP '1999-06-01' + to_days(CAST(c_custkey%60 AS INT))) AS last_activity_at
+FROM (SELECT *, NOT excused AND (missing OR (submitted_at IS NULL AND workflow_state='unsubmitted')) AS absent,
+  NOT excused AND NOT (missing OR (submitted_at IS NULL AND workflow_state='unsubmitted')) AND score=0 AS zero FROM coursework
+  WHERE published AND due_at <= TIMESTAMP '1999-07-01') c
+ JOIN (SELECT *, round(c_acctbal/80,1) AS g FROM customer) ON CAST(c_custkey AS VARCHAR)=c.user_id GROUP BY c.course_id, c.user_id"""
+FEED_SQL["risk"] = """
+SELECT *, least(100, p0+least(40,missing*10)+least(20,zeros*5)+CASE WHEN missing>0 AND ds>=14 THEN 12 ELSE 0 END+CASE WHEN da>=14 THEN 8 ELSE 0 END) AS score,
+ list_filter([CASE WHEN grade<80 THEN 'grade ' || CAST(round_even(grade,0) AS BIGINT) || '%' END,
+  CASE WHEN missing>0 THEN missing || CASE WHEN missing=1 THEN ' past-due item not turned in' ELSE ' past-due items not turned in' END END,
+  CASE WHEN zeros>0 THEN zeros || CASE WHEN zeros=1 THEN ' zero' ELSE ' zeros' END END,
+  CASE WHEN missing>0 AND ds>=14 THEN 'no submission in ' || ds || ' days' END,
+  CASE WHEN da>=14 THEN 'no platform activity in ' || da || ' days' END], lambda x: x IS NOT NULL) AS reasons
+FROM (SELECT *, len(missing_ids) AS missing, len(zero_ids) AS zeros, CASE WHEN grade<60 THEN 35 WHEN grade<70 THEN 20 WHEN grade<80 THEN 8 ELSE 0 END AS p0,
+ greatest(0, date_diff('second', last_submit, TIMESTAMP '1999-07-01')//86400) AS ds,
+ greatest(0, date_diff('second', last_activity_at, TIMESTAMP '1999-07-01')//86400) AS da FROM stats)"""
