@@ -167,6 +167,14 @@ class Feed:
                                       F.expr("timestamp'1999-06-01' + make_dt_interval(cast(c_custkey % 60 as int))").alias("last_seen"))
         return courses.join(people, "user_id")
 
+    # --------------------------------------------------------------------- html
+    @cached_property
+    def bodies(self) -> DataFrame:
+        """Pages as course content; each gets one of eight fragments so that every rule meets a case."""
+        extra = F.element_at(F.array(*[F.lit(x) for x in FRAGMENTS]), (F.col("page_id") % 8 + 1).cast("int"))
+        return self.pages.select("page_id", (F.col("page_id") % 20).cast("string").alias("course_id"), "url",
+                                 F.concat("html", extra).alias("html"))
+
 
 def event_course():
     """Course of an event: the tens digit of its property ``k``."""
@@ -285,3 +293,21 @@ SELECT *, least(100, p0+least(40,missing*10)+least(20,zeros*5)+CASE WHEN missing
 FROM (SELECT *, len(missing_ids) AS missing, len(zero_ids) AS zeros, CASE WHEN grade<60 THEN 35 WHEN grade<70 THEN 20 WHEN grade<80 THEN 8 ELSE 0 END AS p0,
  greatest(0, date_diff('second', last_submit, TIMESTAMP '1999-07-01')//86400) AS ds,
  greatest(0, date_diff('second', last_activity_at, TIMESTAMP '1999-07-01')//86400) AS da FROM stats)"""
+
+# Fixed values of the feed: markup appended to pages, chosen by page_id % 8.
+FRAGMENTS = (
+    "", '<img src="/files/12/a.png"><img src="b.png" alt="photo.jpg">', "<table><tr><th>A</th><td>1</td></tr></table>",
+    '<h4>Part</h4><a href="x"></a>',
+    "<h2>Top</h2><h3>Sub</h3><p><strong>You Do It 1</strong></p><p><b>This sentence is bold for no good reason at all.</b></p>",
+    '<ul><li>a<ul><li>b</li></ul></li></ul><p style="color:#777777;background:#888888">dim &#233;&nbsp;text</p>',
+    '<a href="https://files.example.com/courses/1/files/77/download">f</a><img src="/courses/1/files/78" alt="a chart of results">'
+    '<a href="https://evil.example/files/9">x</a>',
+    '<span style="border: 1px solid #d7dce3;">boxed</span><p onclick="go()">hi</p><iframe src="https://v.example.com/1"></iframe>')
+FEED_SQL["bodies"] = f"""
+SELECT page_id, CAST(page_id % 20 AS VARCHAR) AS course_id, url,
+ html || [{", ".join("'" + f + "'" for f in FRAGMENTS)}][page_id % 8 + 1] AS html FROM pages"""
+FEED_SQL["texts"] = r"""
+SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t0, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
+ '&#233;', 'é'), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g')) AS vis
+FROM (SELECT *, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t0
+ FROM bodies)"""
