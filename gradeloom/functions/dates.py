@@ -62,13 +62,13 @@ def parse_breaks_text(text: Column) -> Column:
 
 def days_since(moment: Column, now: Column) -> Column:
     """Whole elapsed days, never negative; null for no moment."""
-    seconds = F.unix_micros(now) - F.unix_micros(moment)
-    return F.greatest(F.lit(0), F.floor(seconds / 86400000000.0)).cast("int")
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(moment.cast("timestamp"))
+    return F.greatest(F.lit(0), F.floor(micros / 86400000000.0)).cast("int")
 
 
 def relative_age(moment: Column, now: Column) -> Column:
     """A short age for a list: hours under a day and a half, else days."""
-    hours = (F.unix_seconds(now) - F.unix_seconds(moment)) / 3600
+    hours = (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(moment.cast("timestamp"))) / 3600
     whole = F.bround(hours, 0).cast("int")
     return (F.when(moment.isNull(), "").when(hours < 1, "just now")
             .when(hours < 36, F.concat(whole.cast("string"), F.when(whole == 1, " hour ago").otherwise(" hours ago")))

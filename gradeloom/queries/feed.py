@@ -175,6 +175,68 @@ class Feed:
         return self.pages.select("page_id", (F.col("page_id") % 20).cast("string").alias("course_id"), "url",
                                  F.concat("html", extra).alias("html"))
 
+    # ----------------------------------------------------- courses, work, people
+    @cached_property
+    def courses(self) -> DataFrame:
+        """Suppliers as courses with registrar-style names."""
+        k, t = F.col("s_suppkey"), s("s_suppkey")
+        pick = lambda n, *xs: F.element_at(F.array(*xs), (k % n + 1).cast("int"))
+        return self.supplier.select(
+            t.alias("course_id"),
+            pick(5, F.concat(F.lit("202630 MAT 1313 002 College Algebra "), t, F.lit(" (Online)")), F.concat(F.lit("IMT 2114 360 3D Engine "), t),
+                 F.concat(F.lit("HC eSports "), t), F.concat(F.lit("202510 ENG 1123 FOB World Lit "), t), F.concat(F.lit("Sandbox "), t)).alias("name"),
+            pick(3, F.lit(""), F.concat(F.lit("bio-"), F.lpad((k % 9000 + 1000).cast("string"), 4, "0")), F.lit("Studio")).alias("course_code"),
+            pick(4, F.lit("Default Term"), F.lit("Fall 2026 (East)"), F.lit("Lab year"), F.lit("term 202520")).alias("term_name"))
+
+    @cached_property
+    def assignments(self) -> DataFrame:
+        """Parts as dated work in 97 courses; the title pattern follows the part key."""
+        k = F.col("p_partkey")
+        title = F.element_at(F.array(*[F.lit(x) for x in TITLES]), (k % 10 + 1).cast("int"))
+        return self.part.select(
+            (k % 97).cast("string").alias("course_id"), k.cast("string").alias("assignment_id"), title.alias("name"),
+            F.when(F.col("p_size") % 7 != 0, F.expr("timestamp'2026-09-01 04:59:00' + make_dt_interval(cast(p_partkey % 120 as int))")).alias("due_at"),
+            F.when(k % 10 == 8, F.array(F.lit("discussion_topic"))).otherwise(F.array(F.lit("online_upload"))).alias("submission_types"),
+            (k % 50 == 7).alias("is_quiz"), F.col("p_size").alias("needs_grading"))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """Enrolments with sections: a course (brand) and the suppliers of its nation."""
+        rows = self.enrolled.select("course_id", "user_id").distinct()
+        return rows.withColumn("section_ids", F.array((F.col("user_id").cast("int") % 3).cast("string")))
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        """Assignments with due and lock dates around a clock change, in two zones."""
+        due = F.expr("timestamp'2026-10-25 04:59:00' + make_dt_interval(p_size % 14)")
+        return self.part.select(
+            F.col("p_brand").alias("course_id"), s("p_partkey").alias("assignment_id"), F.when(F.col("p_size") != 50, due).alias("due_at"),
+            F.when(F.col("p_size") % 2 == 1, F.expr("timestamp'2026-10-25 04:59:00' + make_dt_interval(p_size % 14 + p_size % 3)")).alias("lock_at"),
+            F.when(F.col("p_type") == "PROMO", "UTC").otherwise("America/Chicago").alias("time_zone"))
+
+    @cached_property
+    def overrides(self) -> DataFrame:
+        """Line items 1 as overrides for named students, line items 2 for a section."""
+        ids = F.when(F.col("l_discount") > 0.05, F.array(s("l_suppkey"), (F.col("l_suppkey") + 25).cast("string"))).otherwise(F.array(s("l_suppkey")))
+        due = F.expr("timestamp'2026-11-10 05:59:00' + make_dt_interval(cast(l_quantity as int))")
+        return self.lineitem.where("l_linenumber <= 2").select(
+            s("l_partkey").alias("assignment_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("override_id"), F.lit("Extra days").alias("title"),
+            F.when(F.col("l_linenumber") == 1, ids).alias("student_ids"),
+            F.when(F.col("l_linenumber") == 2, (F.col("l_suppkey") % 3).cast("string")).alias("section_id"),
+            F.when(F.col("l_tax") > 0, due).alias("due_at"), F.lit(None).cast("timestamp").alias("lock_at"))
+
+    @cached_property
+    def quizzes(self) -> DataFrame:
+        return self.part.where("p_type = 'PROMO'").select(
+            F.col("p_brand").alias("course_id"), s("p_partkey").alias("quiz_id"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("time_limit"))
+
+    @cached_property
+    def grants(self) -> DataFrame:
+        k = F.col("s_suppkey").cast("int")
+        return self.supplier.where("s_suppkey % 2 = 0").select(
+            s("s_suppkey").alias("user_id"), F.when(k % 3 == 0, "minutes").otherwise("percent").alias("kind"), F.lit(50).alias("percent"),
+            (k % 30).alias("minutes"), F.when(k % 8 == 0, 1).otherwise(0).alias("extra_attempts"), (k % 14 == 0).alias("manually_unlocked"))
+
 
 def event_course():
     """Course of an event: the tens digit of its property ``k``."""
@@ -311,3 +373,53 @@ SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t0
  '&#233;', 'é'), '&nbsp;', chr(160)), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g')) AS vis
 FROM (SELECT *, regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t0
  FROM bodies)"""
+
+# Fixed values of the feed: titles of dated work, chosen by part key % 10.
+TITLES = ("Final Exam", "Week 3 Quiz", "Practice Test", "Practice 5 - Trigger Test Bench", "Schedule Proctored Final Exam",
+          "Midterm", "Chapter Exam (proctored)", "Essay", "Talk it over", "Unit test 2")
+FEED_SQL["courses"] = """
+SELECT CAST(s_suppkey AS VARCHAR) AS course_id,
+ CASE s_suppkey%5 WHEN 0 THEN '202630 MAT 1313 002 College Algebra ' || s_suppkey || ' (Online)' WHEN 1 THEN 'IMT 2114 360 3D Engine ' || s_suppkey
+  WHEN 2 THEN 'HC eSports ' || s_suppkey WHEN 3 THEN '202510 ENG 1123 FOB World Lit ' || s_suppkey ELSE 'Sandbox ' || s_suppkey END AS name,
+ CASE s_suppkey%3 WHEN 0 THEN '' WHEN 1 THEN 'bio-' || (s_suppkey%9000+1000) ELSE 'Studio' END AS course_code,
+ CASE s_suppkey%4 WHEN 0 THEN 'Default Term' WHEN 1 THEN 'Fall 2026 (East)' WHEN 2 THEN 'Lab year' ELSE 'term 202520' END AS term_name FROM supplier"""
+FEED_SQL["course_terms"] = """
+SELECT *, coalesce(CASE substr(code,5,2) WHEN '10' THEN 'Spring' WHEN '20' THEN 'Summer' WHEN '30' THEN 'Fall' END || ' ' || substr(code,1,4),
+  CASE WHEN term_name='Lab year' THEN 'Lab year' ELSE 'Sandboxes and other' END) AS label, coalesce(CAST(code AS INT), -1) AS sort
+FROM (SELECT *, coalesce(nullif(regexp_extract(name, '(20[0-9]{4})', 1), ''), CASE term_name WHEN 'Fall 2026 (East)' THEN '202630' WHEN 'term 202520' THEN '202520' END) AS code FROM courses)"""
+FEED_SQL["course_names"] = """
+SELECT course_id, CASE WHEN course_code LIKE 'bio%' THEN 'BIO ' || substr(course_code, 5) WHEN name LIKE '%MAT 1313%' THEN 'MAT 1313' WHEN name LIKE 'IMT%' THEN 'IMT 2114'
+  WHEN name LIKE '%ENG 1123%' THEN 'ENG 1123' WHEN course_code <> '' THEN course_code ELSE substr(name, 1, 14) END AS code,
+ CASE WHEN name LIKE '2026%' THEN 'College Algebra ' || course_id WHEN name LIKE 'IMT%' THEN '3D Engine ' || course_id
+  WHEN name LIKE '2025%' THEN 'World Lit ' || course_id ELSE name END AS label FROM courses"""
+FEED_SQL["assignments"] = f"""
+SELECT CAST(p_partkey%97 AS VARCHAR) AS course_id, CAST(p_partkey AS VARCHAR) AS assignment_id, {list(TITLES)!r}[p_partkey%10+1] AS name,
+ CASE WHEN p_size%7<>0 THEN TIMESTAMP '2026-09-01 04:59:00' + to_days(CAST(p_partkey%120 AS INT)) END AS due_at,
+ CASE WHEN p_partkey%10=7 THEN CASE WHEN p_partkey%50=7 THEN 'quiz' ELSE 'assignment' END
+  ELSE ['final','quiz','practice','assignment','assignment','test','exam','','discussion','test'][p_partkey%10+1] END AS kind,
+ p_partkey%10 IN (0,5,6,9) AS exam, p_partkey%10 IN (4,6) AS proctored, p_size AS needs_grading FROM part"""
+FEED_SQL["items"] = """
+SELECT course_id, assignment_id, name, due_at, needs_grading, kind, exam, proctored, code, label
+FROM assignments JOIN course_names USING (course_id) WHERE due_at IS NOT NULL"""
+FEED_SQL["targets"] = """
+SELECT p_brand AS course_id, CAST(p_partkey AS VARCHAR) AS assignment_id, CASE WHEN p_size<>50 THEN TIMESTAMP '2026-10-25 04:59:00' + to_days(p_size%14) END AS due_at,
+ CASE WHEN p_size%2=1 THEN TIMESTAMP '2026-10-25 04:59:00' + to_days(p_size%14 + p_size%3) END AS lock_at,
+ CASE WHEN p_type='PROMO' THEN 'UTC' ELSE 'America/Chicago' END AS time_zone FROM part"""
+FEED_SQL["overrides"] = """
+SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS override_id,
+ CASE WHEN l_linenumber=1 THEN CASE WHEN l_discount>0.05::DOUBLE THEN [CAST(l_suppkey AS VARCHAR), CAST(l_suppkey+25 AS VARCHAR)] ELSE [CAST(l_suppkey AS VARCHAR)] END END AS student_ids,
+ CASE WHEN l_linenumber=2 THEN CAST(l_suppkey%3 AS VARCHAR) END AS section_id,
+ CASE WHEN l_tax>0 THEN TIMESTAMP '2026-11-10 05:59:00' + to_days(CAST(l_quantity AS INT)) END AS due_at FROM lineitem WHERE l_linenumber<=2"""
+FEED_SQL["effective"] = """
+SELECT e.course_id, e.assignment_id, e.user_id, t.time_zone, coalesce(b.o.how, 'everyone') AS how, CASE WHEN b.o IS NULL THEN t.due_at ELSE b.o.due END AS due_at,
+ t.lock_at, CASE WHEN b.o.how='adhoc' THEN b.o.id END AS override_id, coalesce(b.o.shared, 0) AS shared_with
+FROM enrolled e JOIN targets t USING (course_id, assignment_id) LEFT JOIN
+ (SELECT assignment_id, user_id, max({'open': due_at IS NULL, 'due': due_at, 'id': override_id, 'how': how, 'shared': shared}) AS o FROM
+  (SELECT assignment_id, override_id, due_at, 'adhoc' AS how, len(student_ids)-1 AS shared, unnest(student_ids) AS user_id FROM overrides WHERE student_ids IS NOT NULL
+   UNION ALL SELECT o.assignment_id, o.override_id, o.due_at, 'section', 0, m.user_id FROM overrides o JOIN enrolled m USING (assignment_id)
+   WHERE o.section_id = CAST(CAST(m.user_id AS INT)%3 AS VARCHAR)) GROUP BY ALL) b USING (assignment_id, user_id)"""
+FEED_SQL["quizzes"] = """
+SELECT p_brand AS course_id, CAST(p_partkey AS VARCHAR) AS quiz_id, CASE WHEN p_size>10 THEN p_size END AS time_limit FROM part WHERE p_type='PROMO'"""
+FEED_SQL["grants"] = """
+SELECT CAST(s_suppkey AS VARCHAR) AS user_id, CASE WHEN s_suppkey%3=0 THEN 'minutes' ELSE 'percent' END AS kind, 50 AS percent, CAST(s_suppkey%30 AS INT) AS minutes,
+ CASE WHEN s_suppkey%8=0 THEN 1 ELSE 0 END AS extra_attempts, s_suppkey%14=0 AS manually_unlocked FROM supplier WHERE s_suppkey%2=0"""
