@@ -237,6 +237,53 @@ class Feed:
             s("s_suppkey").alias("user_id"), F.when(k % 3 == 0, "minutes").otherwise("percent").alias("kind"), F.lit(50).alias("percent"),
             (k % 30).alias("minutes"), F.when(k % 8 == 0, 1).otherwise(0).alias("extra_attempts"), (k % 14 == 0).alias("manually_unlocked"))
 
+    # ------------------------------------------------------------ merges, quizzes
+    def _side(self, odd: int) -> DataFrame:
+        """The latest line per (part, supplier) among odd or even orders: one machine's copy."""
+        last = F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")).alias("x")
+        return self.lineitem.where(F.col("l_orderkey") % 2 == odd).groupBy("l_partkey", "l_suppkey").agg(last).select(
+            s("l_partkey").alias("assignment_id"), s("l_suppkey").alias("user_id"), (F.floor(F.col("x.l_quantity") / 10) * 10).cast("double").alias("score"),
+            F.col("x.l_linenumber").alias("n"), F.col("x.l_returnflag").alias("flag"), F.col("x.l_shipdate").alias("updated"))
+
+    @cached_property
+    def local_grades(self) -> DataFrame:
+        return self._side(1).select(
+            "assignment_id", "user_id", F.col("score").alias("total"),
+            F.when(F.col("flag") == "N", "no-submission").when(F.col("flag") == "A", "ai").otherwise("human").alias("source"),
+            F.when(F.col("n") % 3 == 1, F.col("score")).when(F.col("n") % 3 == 2, F.col("score") + 10).alias("synced_score"),
+            (F.col("n") == 5).alias("in_conflict"), "updated")
+
+    @cached_property
+    def remote_grades(self) -> DataFrame:
+        return self._side(0).select(
+            "assignment_id", "user_id", F.when(F.col("n") != 7, F.col("score")).alias("score"),
+            F.when(F.col("flag") == "R", "unsubmitted").otherwise("submitted").alias("status"), (F.col("n") == 6).alias("needs_written"),
+            F.when(F.col("n") % 2 == 0, F.col("updated")).alias("posted_at"), "updated")
+
+    @cached_property
+    def bank(self) -> DataFrame:
+        """Parts as quiz questions, five to a quiz."""
+        kind = F.create_map(*[F.lit(x) for kv in QUESTION_TYPES.items() for x in kv])
+        ans = lambda i, t, w: F.struct(F.lit(i).alias("id"), t.alias("text"), F.lit(None).cast("string").alias("answer_text"),
+                                       w.cast("double").alias("weight"), F.lit(None).cast("double").alias("answer_weight"), F.lit(None).cast("boolean").alias("correct"))
+        size = F.col("p_size")
+        three = F.array(ans("a", F.col("p_name"), F.when(size % 11 == 0, 0).otherwise(100)), ans("b", F.when(size % 9 == 0, " ").otherwise("<i>other</i>"), F.when(size % 10 == 0, 100).otherwise(0)),
+                        ans("c", F.lit("third"), F.lit(0)))
+        return self.part.select(
+            F.floor(F.col("p_partkey") / 5).cast("string").alias("quiz_id"), s("p_partkey").alias("question_id"), F.col("p_partkey").alias("position"),
+            kind[F.col("p_type")].alias("question_type"), F.col("p_name").alias("name"), size.cast("double").alias("points_possible"),
+            F.when(F.col("p_type") == "ECONOMY", F.slice(three, 1, 0)).when((F.col("p_type") == "SMALL") & (size % 6 != 0), F.slice(three, 1, 2)).otherwise(three).alias("answers"))
+
+    @cached_property
+    def quiz_answers(self) -> DataFrame:
+        """Line items as answers: order is the student, part the question; the last line counts."""
+        last = F.max(F.struct("l_shipdate", "l_linenumber", "l_quantity", "l_returnflag")).alias("x")
+        return self.lineitem.groupBy("l_orderkey", "l_partkey").agg(last).select(
+            F.col("l_orderkey").alias("user_id"), F.floor(F.col("l_partkey") / 5).cast("string").alias("quiz_id"), s("l_partkey").alias("question_id"),
+            F.when(F.col("x.l_returnflag") == "A", "a").when(F.col("x.l_returnflag") == "R", "b").alias("answer_id"),
+            F.when(F.col("x.l_linenumber") > 2, F.concat(F.lit("<p>essay "), F.col("x.l_linenumber").cast("string"), F.lit("</p>"))).alias("text"),
+            F.col("x.l_quantity").alias("points"), (F.col("x.l_returnflag") == "A").alias("correct"))
+
 
 def event_course():
     """Course of an event: the tens digit of its property ``k``."""
@@ -423,3 +470,33 @@ SELECT p_brand AS course_id, CAST(p_partkey AS VARCHAR) AS quiz_id, CASE WHEN p_
 FEED_SQL["grants"] = """
 SELECT CAST(s_suppkey AS VARCHAR) AS user_id, CASE WHEN s_suppkey%3=0 THEN 'minutes' ELSE 'percent' END AS kind, 50 AS percent, CAST(s_suppkey%30 AS INT) AS minutes,
  CASE WHEN s_suppkey%8=0 THEN 1 ELSE 0 END AS extra_attempts, s_suppkey%14=0 AS manually_unlocked FROM supplier WHERE s_suppkey%2=0"""
+
+# Fixed values of the feed: question type by part type.
+QUESTION_TYPES = {"ECONOMY": "essay_question", "PROMO": "file_upload_question", "SMALL": "true_false_question", "LARGE": "hologram_question",
+                  "MEDIUM": "multiple_choice_question", "STANDARD": "multiple_answers_question"}
+FEED_SQL["side"] = """
+SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, CAST(l_suppkey AS VARCHAR) AS user_id, floor(x.q/10)*10 AS score, x.n AS n, x.f AS flag, x.d AS updated, odd FROM
+ (SELECT l_partkey, l_suppkey, l_orderkey%2 AS odd, max({'d': l_shipdate, 'o': l_orderkey, 'n': l_linenumber, 'q': l_quantity, 'f': l_returnflag}) AS x FROM lineitem GROUP BY ALL)"""
+FEED_SQL["local_grades"] = """
+SELECT assignment_id, user_id, score AS total, CASE flag WHEN 'N' THEN 'no-submission' WHEN 'A' THEN 'ai' ELSE 'human' END AS source,
+ CASE n%3 WHEN 1 THEN score WHEN 2 THEN score+10 END AS synced_score, n=5 AS in_conflict, updated FROM side WHERE odd=1"""
+FEED_SQL["remote_grades"] = """
+SELECT assignment_id, user_id, CASE WHEN n<>7 THEN score END AS score, CASE WHEN flag='R' THEN 'unsubmitted' ELSE 'submitted' END AS status, n=6 AS needs_written,
+ CASE WHEN n%2=0 THEN updated END AS posted_at, updated FROM side WHERE odd=0"""
+FEED_SQL["merged"] = """
+SELECT assignment_id, user_id, outcome, CASE WHEN outcome='adopted' THEN score ELSE total END AS total, CASE WHEN outcome='adopted' THEN 'lms' ELSE source END AS source,
+ CASE WHEN outcome IN ('adopted','in_sync') THEN score ELSE synced_score END AS synced_score, CASE WHEN outcome='conflict' THEN score END AS remote_score FROM
+ (SELECT *, CASE WHEN r IS NULL OR (score IS NULL AND NOT coalesce(in_conflict,false)) THEN 'untouched' WHEN score IS NULL THEN 'cleared'
+   WHEN ph AND status='unsubmitted' THEN 'unsubmitted' WHEN ph AND needs_written THEN 'quiz_open' WHEN ph THEN 'adopted' WHEN total=score THEN 'in_sync'
+   WHEN synced_score IS NOT NULL AND total=synced_score AND score<>synced_score THEN 'adopted' WHEN synced_score IS NOT NULL AND total<>synced_score AND score=synced_score THEN 'kept' ELSE 'conflict' END AS outcome
+  FROM (SELECT *, l IS NULL OR source='no-submission' AS ph FROM (SELECT *, 1 AS l FROM local_grades) FULL JOIN (SELECT *, 1 AS r FROM remote_grades) USING (assignment_id, user_id)))"""
+FEED_SQL["bank"] = """
+SELECT CAST(p_partkey//5 AS VARCHAR) AS quiz_id, CAST(p_partkey AS VARCHAR) AS question_id, p_partkey AS position, p_name, p_size, p_type,
+ CASE p_type WHEN 'ECONOMY' THEN 'essay_question' WHEN 'PROMO' THEN 'file_upload_question' WHEN 'SMALL' THEN 'true_false_question' WHEN 'LARGE' THEN 'hologram_question'
+  WHEN 'MEDIUM' THEN 'multiple_choice_question' ELSE 'multiple_answers_question' END AS question_type,
+ CASE WHEN p_type='ECONOMY' THEN 0 WHEN p_type='SMALL' AND p_size%6<>0 THEN 2 ELSE 3 END AS n,
+ CASE WHEN p_size%11=0 THEN 0 ELSE 1 END + CASE WHEN p_size%10=0 THEN 1 ELSE 0 END AS good FROM part"""
+FEED_SQL["quiz_answers"] = """
+SELECT l_orderkey AS user_id, CAST(l_partkey//5 AS VARCHAR) AS quiz_id, CAST(l_partkey AS VARCHAR) AS question_id, CASE x.f WHEN 'A' THEN 'a' WHEN 'R' THEN 'b' END AS answer_id,
+ CASE WHEN x.n>2 THEN 'essay ' || x.n END AS text, x.q AS points, x.f='A' AS correct
+FROM (SELECT l_orderkey, l_partkey, max({'d': l_shipdate, 'n': l_linenumber, 'q': l_quantity, 'f': l_returnflag}) AS x FROM lineitem GROUP BY ALL)"""
