@@ -65,7 +65,8 @@ HIST = """SELECT user_id, ts AS "at", event_type AS kind, course_id, aid AS assi
   CAST(event_id%7 AS VARCHAR) AS aid, 'value ' || value AS summary, event_id FROM events)"""
 
 
-@query("history_union", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, kind, course_id, assignment_id, summary) AS place FROM (SELECT DISTINCT * FROM ({HIST}))) WHERE place <= 20")
+@query("history_union", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, kind, course_id, assignment_id, summary) AS place
+ FROM (SELECT DISTINCT * FROM ({HIST}))) WHERE place <= 20""")
 def history_union(feed):
     rows = feed.events.select("user_id", c("ts").alias("at"), c("event_type").alias("kind"), event_course(), (c("event_id") % 7).cast("string").alias("assignment_id"),
                               F.concat(F.lit("value "), c("value").cast("string")).alias("summary"), "event_id")
