@@ -60,10 +60,13 @@ def unmask(feed):
     return identity.unmask(rows, roster(feed))
 
 
-@query("leak_check", f"WITH {PEOPLE} SELECT course_id, c_custkey AS text_id, name FROM roster WHERE c_custkey%4=0")
+@query("leak_check", f"""WITH {PEOPLE}, t AS (SELECT course_id, c_custkey AS text_id, CASE WHEN c_custkey%4=0 THEN 'ask ' || name || ' now' WHEN c_custkey%4=1 THEN 'ask ' || upper(name) ELSE 'ask ' || tag END AS text FROM roster),
+ n AS (SELECT course_id, name AS n FROM roster UNION SELECT course_id, first FROM roster WHERE length(first)>=4 UNION SELECT course_id, last FROM roster WHERE length(last)>=4)
+ SELECT DISTINCT t.course_id, t.text_id, n.n AS name FROM t JOIN n ON t.course_id=n.course_id AND contains(t.text, n.n)""")
 def leak_check(feed):
-    rows = roster(feed).select("course_id", c("c_custkey").alias("text_id"), F.when(c("c_custkey") % 4 == 0, F.concat(F.lit("ask "), F.upper("name"), F.lit(" now"))).otherwise(F.concat(F.lit("ask "), "tag")).alias("text"))
-    return identity.leak_check(rows, roster(feed))
+    k = c("c_custkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("ask "), "name", F.lit(" now"))).when(k == 1, F.concat(F.lit("ask "), F.upper("name"))).otherwise(F.concat(F.lit("ask "), "tag"))
+    return identity.leak_check(roster(feed).select("course_id", c("c_custkey").alias("text_id"), text.alias("text")), roster(feed))
 
 
 @query("near_name")
