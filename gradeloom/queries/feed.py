@@ -23,7 +23,13 @@ class Feed:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        # Parsing text is the work of these tables. A single small file would leave it to one core;
+        # a real table has more splits than cores and is left as it is.
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in TEXT_TABLES and len(rows.inputFiles()) == 1 and rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        return rows
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -291,6 +297,7 @@ def event_course():
     return F.floor(k / 10).cast("string").alias("course_id")
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages "
                    "benchmark labels conversations".split())
 
