@@ -91,9 +91,9 @@ def course_patterns(health: DataFrame, course: str, min_rows: int = MIN_POOL) ->
     weak = F.col("mean_pct") < 100 * WEAK_MEAN
     return (rows.groupBy(course, "label")
             .agg(F.count(F.lit(1)).alias("times_seen"), F.count_if(weak).alias("times_weak"),
-                 F.avg(F.when(weak, F.col("mean_pct"))).alias("_m"))
+                 exact_mean(F.when(weak, F.col("mean_pct")), 1).alias("mean_pct"))
             .where("times_seen >= 2 AND times_weak >= 2")
-            .select(course, "label", "times_seen", "times_weak", F.round("_m", 1).alias("mean_pct")))
+            .select(course, "label", "times_seen", "times_weak", "mean_pct"))
 
 
 def unscored_counts(entries: DataFrame, keys: list[str], status: Column, scored: Column,

@@ -101,7 +101,7 @@ def rubric_health(feed):
     return health(feed)
 
 
-@query("course_patterns", f"""SELECT course_id, label, times_seen, times_weak, round(m, 1) AS mean_pct FROM
+@query("course_patterns", f"""SELECT course_id, label, times_seen, times_weak, round(m + 1e-9, 1) AS mean_pct FROM
  (SELECT course_id, trim(regexp_replace(lower(label), '[^a-z0-9 ]', '', 'g')) AS label, count(*) AS times_seen,
   count(*) FILTER (WHERE mean_pct < 70) AS times_weak, avg(mean_pct) FILTER (WHERE mean_pct < 70) AS m
   FROM ({HEALTH}) WHERE n >= 3 GROUP BY ALL) WHERE times_seen >= 2 AND times_weak >= 2""", "rubric grades final")
