@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import ngram_join
+from gradeloom.llm import ngram_join, piece_bpe
 
 QUERIES = {
+    "op2_sentencepiece": piece_bpe.op2_sentencepiece,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
 }
 
