@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import ngram_join, piece_bpe
+from gradeloom.llm import ngram_join, pii_crf, piece_bpe
 
 QUERIES = {
     "op2_sentencepiece": piece_bpe.op2_sentencepiece,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+    "op10_pii": pii_crf.op10_pii,
 }
 
 SQL = {
