@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import mixing, ngram_join, pii_crf, piece_bpe, quality_cascade
+from gradeloom.llm import mixing, ngram_join, pii_crf, piece_bpe, quality_cascade, simple8b
 
 QUERIES = {
     "op1_quality_rules": quality_cascade.op1_quality_rules,
     "op2_sentencepiece": piece_bpe.op2_sentencepiece,
     "op4_mixing": mixing.op4_mixing,
+    "op5_simple8b": simple8b.op5_simple8b,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op10_pii": pii_crf.op10_pii,
 }
