@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import mixing, ngram_join, pii_crf, piece_bpe, quality_cascade, simple8b
+from gradeloom.llm import mixing, ngram_join, pii_crf, piece_bpe, quality_cascade, simple8b, warc
 
 QUERIES = {
     "op1_quality_rules": quality_cascade.op1_quality_rules,
     "op2_sentencepiece": piece_bpe.op2_sentencepiece,
+    "op3_warc": warc.op3_warc,
     "op4_mixing": mixing.op4_mixing,
     "op5_simple8b": simple8b.op5_simple8b,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
@@ -15,6 +16,7 @@ QUERIES = {
 
 SQL = {
     "op1_quality_rules": quality_cascade.SQL,
+    "op3_warc": warc.SQL,
     "op4_mixing": mixing.SQL,
     "op6_ngram_jaccard": ngram_join.SQL,
 }
