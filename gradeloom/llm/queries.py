@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import mixing, ngram_join, pii_crf, piece_bpe, quality_cascade, simple8b, warc
+from gradeloom.llm import license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade, simple8b, warc
 
 QUERIES = {
     "op1_quality_rules": quality_cascade.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_simple8b": simple8b.op5_simple8b,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+    "op8_license_scan": license_scan.op8_license_scan,
     "op10_pii": pii_crf.op10_pii,
 }
 
@@ -19,4 +20,5 @@ SQL = {
     "op3_warc": warc.SQL,
     "op4_mixing": mixing.SQL,
     "op6_ngram_jaccard": ngram_join.SQL,
+    "op8_license_scan": license_scan.SQL,
 }
