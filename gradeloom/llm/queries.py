@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade, simple8b, warc
+from gradeloom.llm import ann_forest, license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade, simple8b, warc
 
 QUERIES = {
     "op1_quality_rules": quality_cascade.op1_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simple8b": simple8b.op5_simple8b,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op8_license_scan": license_scan.op8_license_scan,
+    "op9_ann_forest": ann_forest.op9_ann_forest,
     "op10_pii": pii_crf.op10_pii,
 }
 
