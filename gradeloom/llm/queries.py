@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import ann_forest, license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade, simple8b, warc
+from gradeloom.llm import (ann_forest, chat_perspectives, license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade,
+                           simple8b, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_cascade.op1_quality_rules,
@@ -11,6 +12,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_simple8b": simple8b.op5_simple8b,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+    "op7_chat_perspectives": chat_perspectives.op7_chat_perspectives,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ann_forest": ann_forest.op9_ann_forest,
     "op10_pii": pii_crf.op10_pii,
@@ -21,5 +23,6 @@ SQL = {
     "op3_warc": warc.SQL,
     "op4_mixing": mixing.SQL,
     "op6_ngram_jaccard": ngram_join.SQL,
+    "op7_chat_perspectives": chat_perspectives.SQL,
     "op8_license_scan": license_scan.SQL,
 }
