@@ -45,9 +45,10 @@ def current_term_code(day: Column) -> Column:
 def break_days(entries: Column) -> Column:
     """Array of entries, each a day or ``a..b``, to the array of days they name."""
     def span(e):
-        ends = F.transform(F.split(F.trim(e), r"\s*\.\.\s*"), lambda p: F.to_date(F.substring(p, 1, 10)))
+        ends = F.transform(F.split(F.trim(e), r"\s*\.\.\s*"), lambda p: F.try_to_date(F.substring(p, 1, 10)))
         first, last = ends[0], F.coalesce(F.get(ends, F.lit(1)), ends[0])
-        return F.sequence(F.least(first, last), F.greatest(first, last))
+        days = F.sequence(F.least(first, last), F.greatest(first, last))
+        return F.when(first.isNotNull() & last.isNotNull(), days).otherwise(F.array().cast("array<date>"))
     kept = F.filter(entries, lambda e: e.isNotNull() & (F.trim(e) != ""))
     return F.array_sort(F.array_distinct(F.flatten(F.transform(kept, span))))
 

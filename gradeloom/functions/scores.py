@@ -52,7 +52,7 @@ def earned_total(scores: Column, total: Column, total_only: Column, rubric: Colu
 def final_total(scores: Column, total: Column, total_only: Column, rubric: Column, possible: Column,
                 flat: Column | None = None, by_criterion: Column | None = None,
                 dock: Column | None = None) -> Column:
-    """Earned, plus the curve (each criterion kept within 0 and its points), minus the late dock."""
+    """Earned, plus the curve (where there is one, each criterion kept within 0 and its points), minus the late dock."""
     base = earned_total(scores, total, total_only, rubric)
     if flat is not None or by_criterion is not None:
         flat = F.coalesce(flat, F.lit(0.0)) if flat is not None else F.lit(0.0)
@@ -60,7 +60,8 @@ def final_total(scores: Column, total: Column, total_only: Column, rubric: Colum
             by_rubric = (F.size(rubric) > 0) & ~F.coalesce(total_only, F.lit(False))
             cells = _rubric_sum(rubric, lambda k, top: F.greatest(
                 F.lit(0.0), F.least(_cell(scores, k) + _cell(by_criterion, k), top)))
-            base = F.when(by_rubric, cells).otherwise(F.coalesce(total, F.lit(0.0)))
+            curved = (flat != 0) | (F.size(F.map_keys(by_criterion)) > 0)
+            base = F.when(by_rubric & F.coalesce(curved, F.lit(False)), cells).otherwise(base)
         base = base + flat
     shown = F.greatest(F.lit(0.0), base - (dock if dock is not None else F.lit(0.0)))
     return F.round(F.when(possible > 0, F.least(shown, possible)).otherwise(shown), 2)

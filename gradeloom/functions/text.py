@@ -32,7 +32,7 @@ def word_windows(toks: Column, k: int = WINDOW_WORDS) -> Column:
 
 def squash(text: Column) -> Column:
     """Runs of whitespace to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
 def ordered_replace(text: Column, rules) -> Column:

@@ -41,6 +41,13 @@ def read_attendance_book(raw: DataFrame, keys: list[str], json: str) -> DataFram
                       & F.col("status").isin(*STATUSES, ""))
 
 
+def rejected_patterns(patterns: DataFrame, course: str) -> DataFrame:
+    """Patterns that give no class days, and why."""
+    why = (F.when(F.col("start").isNull() | F.col("end").isNull(), "no dates").when(F.col("start") > F.col("end"), "ends before it starts")
+           .when(F.datediff("end", "start") > MAX_SPAN, f"longer than {MAX_SPAN} days"))
+    return patterns.select(course, "start", "end", why.alias("why")).where("why IS NOT NULL")
+
+
 def meeting_dates(patterns: DataFrame, course: str, breaks: DataFrame, overrides: DataFrame) -> DataFrame:
     """Class days: the weekday pattern, minus breaks where asked, plus or minus single days.
 

@@ -21,7 +21,7 @@ def term_table(raw: DataFrame, keys: list[str], json: str) -> DataFrame:
     """Term rows from a JSON table keyed by term."""
     shape = "map<string,struct<finalsEnd:string,finals_end:string,breaks:array<string>>>"
     rows = raw.select(*keys, F.explode(F.from_json(json, shape)).alias("term", "e"))
-    return rows.select(*keys, "term", F.to_date(F.coalesce("e.finalsEnd", "e.finals_end")).alias("finals_end"),
+    return rows.select(*keys, "term", F.try_to_date(F.coalesce("e.finalsEnd", "e.finals_end")).alias("finals_end"),
                        break_days(F.coalesce("e.breaks", F.array().cast("array<string>"))).alias("break_days"))
 
 

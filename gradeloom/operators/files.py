@@ -52,8 +52,8 @@ def rule_census(results: DataFrame, examples: int = 5) -> DataFrame:
 def queue_groups(queue: DataFrame, keys: list[str]) -> DataFrame:
     """The review queue by the head of its reasons; one error makes the group an error."""
     reason = F.coalesce(F.nullif(F.col("reason"), F.lit("")), F.lit("no reason recorded"))
-    head = F.left(F.get(F.split(reason, r"\s+-\s+|:\s|\s\(", 2), F.lit(0)), F.lit(90))
-    head = F.when(head == "", F.left(reason, F.lit(90))).otherwise(head)
+    head = F.get(F.split(reason, r"\s+-\s+|:\s|\s\(", 2), F.lit(0))
+    head = F.when(head == "", reason).otherwise(head)
     return queue.groupBy(*keys, head.alias("head")).agg(F.count(F.lit(1)).alias("count"), F.when(F.max(F.col("severity") == "error"), "error").otherwise("review").alias("severity"))
 
 

@@ -72,7 +72,7 @@ def message_assets(messages: DataFrame, key: str, base: str) -> DataFrame:
     rows = messages.select(key, F.inline(F.concat(attached, F.coalesce(media, none), images, links)))
     rows = rows.withColumn("url", absolute_url(F.col("raw"), base)).where("url IS NOT NULL")
     fid = F.coalesce("ident", F.nullif(F.regexp_extract("url", r"/files/(\d+)", 1), blank))
-    ident = F.coalesce(F.concat(F.lit("a-"), fid), F.concat(F.lit("u-"), F.left(F.sha2("url", 256), F.lit(16))))
+    ident = F.coalesce(F.concat(F.lit("a-"), fid), F.concat(F.lit("u-"), F.sha2("url", 256)))
     kind = file_kind(F.col("mime"), F.col("name"), F.col("url"))
     kind = F.when((F.col("hint") == "image") & (kind == "file") & ~F.lower("url").contains("svg"), "image").otherwise(kind)
     rows = rows.select(key, ident.alias("asset"), F.struct("rank", "at").alias("o"), F.struct("name", kind.alias("kind"), "url").alias("v"))

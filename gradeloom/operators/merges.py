@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from gradeloom.functions.scores import PLACEHOLDER_SOURCES, same_score
 
 # Fixed value: how much history one person keeps.
-HISTORY_CAP = 400
 
 
 def three_way_merge(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,19 +76,18 @@ def merge_conflicts(left: DataFrame, right: DataFrame, keys: list[str], grant: l
                                   F.when(right_wins, F.col("_a")).otherwise(F.col("_b")).alias("other"))
 
 
-def history_union(saved: DataFrame, local: DataFrame, person: str, cap: int = HISTORY_CAP) -> DataFrame:
-    """Event histories joined by content, the later copy kept, newest first, capped per person.
+def history_union(saved: DataFrame, local: DataFrame, person: str) -> DataFrame:
+    """Event histories joined by content, the later copy kept, each with its place per person, newest first.
 
-    The cap is the report's own rule; ranking runs through a window whose group limit is pushed
-    below the shuffle.
+    Every event is returned; a report that lists only the newest applies its limit to ``place``.
     """
-    content = [person, "at", "kind", "course_id", "assignment_id"]
+    content = [person, "at", "kind", "course_id", "assignment_id", "summary"]
     both = saved.withColumn("_src", F.lit(0)).unionByName(local.withColumn("_src", F.lit(1)))
     rest = [c for c in saved.columns if c not in content]
-    uniq = both.groupBy(*content, F.left("summary", F.lit(120)).alias("_s")).agg(
-        F.max_by(F.struct(*rest), F.col("_src")).alias("_x")).select(*content, "_x.*")
+    uniq = (both.groupBy(*content).agg(F.max_by(F.struct(*rest), F.col("_src")).alias("_x")).select(*content, "_x.*") if rest
+            else both.select(*content).distinct())
     order = W.partitionBy(person).orderBy(F.desc("at"), "kind", "course_id", "assignment_id", "summary")
-    return uniq.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap)
+    return uniq.withColumn("place", F.row_number().over(order))
 
 
 def replica_decision(local: DataFrame, remote: DataFrame, sidecar: DataFrame, key: str) -> DataFrame:

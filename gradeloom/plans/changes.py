@@ -176,7 +176,7 @@ def settings_diff(proposed: DataFrame, current: DataFrame, quiz: str, fields: li
     """
     wide = current.select(quiz, *[F.col(f).cast("string").alias(f) for f in fields])
     new = proposed.where(F.col("field").isin(*fields)).groupBy(quiz).pivot("field", fields).agg(F.max(F.struct(F.lit(1), F.col("value").alias("v"))))
-    j = new.join(wide.select(quiz, *[F.col(f).alias(f"_c_{f}") for f in fields]), quiz)
+    j = new.join(wide.select(quiz, *[F.col(f).alias(f"_c_{f}") for f in fields], F.lit(True).alias("_known")), quiz, "left")
     changed = lambda f: F.col(f).isNotNull() & ~F.nullif(F.col(f)["v"], F.lit("")).eqNullSafe(F.nullif(F.col(f"_c_{f}"), F.lit("")))
     after = lambda f: F.when(F.col(f).isNotNull(), F.col(f)["v"]).otherwise(F.col(f"_c_{f}"))
     stamp = lambda f: F.try_to_timestamp(after(f))
@@ -186,7 +186,8 @@ def settings_diff(proposed: DataFrame, current: DataFrame, quiz: str, fields: li
     reject = {"unlock_at": F.when(opens_late, "opens after it closes"), "lock_at": F.when(opens_late, "opens after it closes"),
               "due_at": F.when(due_late, "due after it locks"), "cant_go_back": F.when((after("cant_go_back") == "true") & ~single, "needs one question at a time")}
     rows = F.array_compact(F.array(*[F.when(changed(f), F.struct(F.lit(f).alias("field"), F.col(f"_c_{f}").alias("from"), F.col(f)["v"].alias("to"),
-                                                                 reject.get(f, F.lit(None)).cast("string").alias("reject"))) for f in fields]))
+                                                                 F.when(F.col("_known").isNull(), "no such quiz").otherwise(reject.get(f, F.lit(None)).cast("string"))
+                                                                 .alias("reject"))) for f in fields]))
     known = j.select(quiz, F.inline(rows))
     other = proposed.where(~F.col("field").isin(*fields)).select(quiz, "field", F.lit(None).cast("string").alias("from"), F.col("value").alias("to"), F.lit("not a setting").alias("reject"))
     return known.unionByName(other)

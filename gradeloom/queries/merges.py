@@ -66,12 +66,12 @@ HIST = """SELECT user_id, ts AS "at", event_type AS kind, course_id, aid AS assi
 
 
 @query("history_union", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, kind, course_id, assignment_id, summary) AS place
- FROM (SELECT DISTINCT * FROM ({HIST}))) WHERE place <= 20""")
+ FROM (SELECT DISTINCT * FROM ({HIST}))) """)
 def history_union(feed):
     rows = feed.events.select("user_id", c("ts").alias("at"), c("event_type").alias("kind"), event_course(), (c("event_id") % 7).cast("string").alias("assignment_id"),
                               F.concat(F.lit("value "), c("value").cast("string")).alias("summary"), "event_id")
     saved, local = rows.where("event_id % 3 < 2").drop("event_id"), rows.where("event_id % 3 > 0").drop("event_id")
-    return merges.history_union(saved, local, "user_id", 20)
+    return merges.history_union(saved, local, "user_id")
 
 
 @query("replica_decision", """SELECT key, CASE WHEN rv IS NULL THEN CASE WHEN h IS NULL THEN 'empty' ELSE 'push' END WHEN h IS NULL THEN 'pull' WHEN h=t THEN 'keep'

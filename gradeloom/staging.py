@@ -8,14 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Private folders of one-machine sessions, by application.
+_PRIVATE: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a private one only where none is configured (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="gradeloom-")
-        sc.setCheckpointDir(folder)
-    return folder
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A session on one machine may do without it and gets a private folder for the life of the session; on a cluster a private folder would
+    be another one on every executor, so a missing setting is an error there.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        _PRIVATE[app] = tempfile.mkdtemp(prefix="gradeloom-")
+    return _PRIVATE[app]
 
 
 def stage(df: DataFrame) -> DataFrame:
