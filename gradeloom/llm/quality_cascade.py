@@ -174,8 +174,8 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measures: tuple[st
 
     schema = kept
     for m in measures:
-        schema = schema.withColumn(m, F.lit(0).cast("long"))
-    return kept.mapInArrow(run, schema.withColumns({"base_failed": F.lit(True), "kept": F.lit(True)}).schema)
+        schema = schema.withColumn(m, F.lit(None).cast("long"))
+    return kept.mapInArrow(run, schema.withColumns({"base_failed": F.lit(None).cast("boolean"), "kept": F.lit(None).cast("boolean")}).schema)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
