@@ -73,8 +73,24 @@ def flatten_submissions(items: DataFrame) -> DataFrame:
     return flat.unionByName(nested.select("assignment_id", "user_id", "score"))
 
 
+def expected_submissions(submissions: DataFrame, due: DataFrame, enrolled: DataFrame) -> DataFrame:
+    """One row per enrolled student and newly due item of the course: the submission, or an empty row where there is none.
+
+    ``due``: course_id, assignment_id, points_possible. ``enrolled``: course_id, user_id. Rows of students who are not enrolled stay.
+    A course's items times its students is the size of its gradebook, which a complete scan holds anyway.
+    """
+    keys = ["course_id", "assignment_id", "user_id"]
+    wanted = (due.select("course_id", "assignment_id", F.col("points_possible").alias("_points")).distinct()
+              .join(enrolled.select("course_id", "user_id").distinct(), "course_id"))
+    rows = submissions.join(wanted, keys, "full_outer")
+    return rows.withColumn("points_possible", F.coalesce("points_possible", "_points")).select(submissions.columns)
+
+
 def fold_delta(submissions: DataFrame) -> DataFrame:
-    """What newly due items say per (course, user), as id sets; one row per student item in."""
+    """What newly due items say per (course, user), as id sets; one row per student item in.
+
+    A student without a row is not seen here: complete the rows with ``expected_submissions`` first.
+    """
     turned_in = F.col("submitted_at").isNotNull() | F.coalesce(
         F.col("workflow_state").isin("submitted", "graded", "pending_review"), F.lit(False))
     counts = ~F.coalesce("excused", F.lit(False))
