@@ -18,7 +18,7 @@ def one(spark, col):
 
 # ------------------------------------------------------------------- overlap
 def brute_overlap(docs, k=6):
-    """All pairs by sets, as the rule is stated; copies stand in for their smallest document."""
+    """All pairs by sets, as the rule is stated; a pair stands for its texts' smallest documents, two copies for one and the same."""
     toks = {d: re.findall(r"[a-z0-9']+", t.lower()) for d, t in docs}
     toks = {d: t for d, t in toks.items() if len(t) >= k}
     wins = {d: [tuple(t[i:i + k]) for i in range(len(t) - k + 1)] for d, t in toks.items()}
@@ -39,7 +39,8 @@ def brute_overlap(docs, k=6):
     for d in sorted(toks):
         heads.setdefault(tuple(toks[d]), d)
     out = {}
-    for a, b in itertools.combinations(sorted(heads.values()), 2):
+    pairs = {tuple(sorted((heads[tuple(toks[a])], heads[tuple(toks[b])]))) for a, b in itertools.combinations(sorted(toks), 2)}
+    for a, b in sorted(pairs):
         sa, sb = ({s for s in masked[x] if s} for x in (a, b))
         shared = sa & sb
         if shared:
