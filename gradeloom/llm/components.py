@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     change nothing; an empty table gives an empty result.
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
+    mark = _mark(edges)
+    while mark[0]:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: the neighbours above a node go to the smallest node around it
@@ -26,17 +27,14 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         after = stage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
                       .where("u <> v").distinct())
-        if not _differs(edges, after):
+        edges, before, mark = after, mark, _mark(after)
+        if mark == before:
             break
-        edges = after
     labels = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
     return labels.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _differs(before: DataFrame, after: DataFrame) -> bool:
-    """Both are sets: equal when sizes and order-free sums of hashes agree."""
-    def mark(df: DataFrame):
-        h = F.xxhash64("u", "v")
-        return df.agg(F.count("*"), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first()
-
-    return mark(before) != mark(after)
+def _mark(edges: DataFrame):
+    """Size and order-free sums of hashes: two rounds with the same mark hold the same links."""
+    h = F.xxhash64("u", "v")
+    return edges.agg(F.count("*"), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first()

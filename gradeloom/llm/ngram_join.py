@@ -9,12 +9,13 @@ shared tokens left in their prefixes. Steps:
 1. texts with equal sets form one class (copies meet nowhere again);
 2. sharedness: tokens travel in packed blobs, once per batch and not per row, to the task of their hash range, which answers
    each batch with the tokens that other classes have too. A token of a third of all texts is one entry per batch;
-3. candidates of the first order through each token's hub (its member with the fewest unshared tokens): linear in the bucket;
-   then the pairs of one bucket whose members no common hub has linked, bounded by lengths and unshared tokens. The prefixes under
-   the other orders must meet as well before a pair is verified on its whole sets;
-4. links, kept as a table, are folded to components by label propagation with pointer jumps.
+3. families: classes that share prefix tokens of the first order are brought together through each token's hub, linear in the prefixes;
+4. a family is compared in blocks of bounded size, as matrices: a pair must share a prefix token under every order (the filters are
+   intersected) and then reach the threshold on its whole sets. Of a block's links only a spanning set leaves the task;
+5. these links are folded to components.
 
-No pair of a group is emitted once a hub has linked both ends, and none is dropped otherwise.
+No pair of a group becomes a row, and none is dropped. Work inside one family of distinct near copies grows with the square of its
+blocks, in matrix products; families of exact copies are one class and cost nothing.
 
 Null texts, texts without words: empty set, n_shingles 0, linked with nothing, component_id their own doc_id. Null doc_id: the row
 stays, and takes its group's smallest doc_id (null if the group has none). Repeated rows: one class. Empty table: empty result.
@@ -38,7 +39,12 @@ from gradeloom.llm.components import components
 SIZE, NUMERATOR, DENOMINATOR = 5, 80, 100
 ORDERS = 2
 #: Tokens of one batch (map side) and of one hash range (reduce side): bounds of a task's memory.
-BATCH_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 19
+BATCH_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 21
+#: Sets and tokens of a block whose pairs one task compares; rows and columns of its matrices at a time; from how many sets on a token
+#: has a column.
+BLOCK_SETS, BLOCK_TOKENS, ROWS, COLUMNS, OFTEN = 4096, 1 << 21, 512, 2048, 24
+#: Stands for "several classes of this batch"; a batch has fewer classes than this.
+NOBODY = np.uint16(0xFFFF)
 
 _word_hash = Memo(xxhash.xxh64_intdigest)
 
@@ -98,7 +104,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pack(ranges: int):
     """Batches of distinct classes: each distinct token once, to the task of its hash range; tokens that two classes of the
     batch have are known to be shared and stay with the batch."""
-    width = np.uint64(-(-(1 << 64) // ranges) if ranges > 1 else (1 << 64) - 1)
+    width, bytes_each = range_width(ranges)
 
     def flush(sets: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys, arrays = list(sets), list(sets.values())
@@ -110,12 +116,12 @@ def _pack(ranges: int):
         count = np.diff(np.r_[first, len(tokens)])
         many = np.repeat(count > 1, count)
         name, joined = xxhash.xxh3_128_digest(b"".join(keys)), b"".join(keys)
-        rows = [(int.from_bytes(name[:4], "little") % ranges, tokens[many].tobytes(), owner[many].tobytes(), joined, sizes.tobytes())]
-        once, whose = tokens[first], np.where(count > 1, np.uint32(0xFFFFFFFF), owner[first])
-        home = (once // width).astype(np.int64)
+        rows = [(int.from_bytes(name[:4], "little") % ranges, tokens[many].tobytes(), owner[many].astype(np.uint16).tobytes(), joined, sizes.tobytes())]
+        once, whose = tokens[first], np.where(count > 1, NOBODY, owner[first].astype(np.uint16))
+        home = (once // np.uint64(width)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else []
         for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
-            rows.append((int(home[a]), once[a:b].tobytes(), whose[a:b].tobytes(), joined, None))
+            rows.append((int(home[a]), squeeze(once[a:b] - np.uint64(int(home[a]) * width), bytes_each), whose[a:b].tobytes(), joined, None))
         cols = list(zip(*rows, strict=True))
         yield table(PACKED, home=cols[0], batch=[name] * len(rows), tokens=cols[1], owner=cols[2],
                     classes=[c if s is not None else _owners(c, o) for c, o, s in zip(cols[3], cols[2], cols[4], strict=True)], sizes=cols[4])
@@ -129,7 +135,7 @@ def _pack(ranges: int):
                 if len(tokens) and (key := set_key(tokens)) not in held:
                     held[key] = tokens
                     total += len(tokens)
-                    if total >= BATCH_TOKENS:
+                    if total >= BATCH_TOKENS or len(held) == NOBODY:
                         yield from flush(held)
                         held, total = {}, 0
         if held:
@@ -138,47 +144,66 @@ def _pack(ranges: int):
     return pack
 
 
-def _owners(classes: bytes, owner: bytes) -> bytes:
-    """Short names (8 bytes) of the classes that own a range's tokens, in the order of their number in the batch."""
-    used = np.unique(np.frombuffer(owner, np.uint32))
-    used = used[used != 0xFFFFFFFF]
-    names = np.frombuffer(classes, np.uint64).reshape(-1, 2)[:, 0]
-    return used.tobytes() + names[used].tobytes()
+def range_width(ranges: int) -> tuple[int, int]:
+    """Tokens per hash range, and the bytes that a token's place in its range needs."""
+    width = min(-(-(1 << 64) // ranges), (1 << 64) - 1)
+    return width, -(-(width - 1).bit_length() // 8)
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """For one hash range: the tokens of each batch that some other class has too."""
-    out = []
-    rows = group.to_pylist()
-    asked = [r for r in rows if r["sizes"] is None]
-    out += [{k: r[k] for k in ANSWER.names} for r in rows if r["sizes"] is not None]
-    if asked:
-        tokens = [np.frombuffer(r["tokens"], np.uint64) for r in asked]
-        whose = []
-        for r in asked:
-            owner, listed = np.frombuffer(r["owner"], np.uint32), r["classes"]
-            half = len(listed) // 12
-            used, names = np.frombuffer(listed[:4 * half], np.uint32), np.frombuffer(listed[4 * half:], np.uint64)
+def squeeze(values: np.ndarray, bytes_each: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :bytes_each].tobytes()
+
+
+def unsqueeze(blob: bytes, bytes_each: int) -> np.ndarray:
+    out = np.zeros((len(blob) // bytes_each, 8), np.uint8)
+    out[:, :bytes_each] = np.frombuffer(blob, np.uint8).reshape(-1, bytes_each)
+    return out.view("<u8").ravel()
+
+
+def _owners(classes: bytes, owner: bytes) -> bytes:
+    """Short names (8 bytes) of the classes that own a range's tokens, after their numbers in the batch."""
+    used = np.unique(np.frombuffer(owner, np.uint16))
+    used = used[used != NOBODY]
+    return used.tobytes() + np.frombuffer(classes, np.uint64).reshape(-1, 2)[used, 0].tobytes()
+
+
+def _answer(ranges: int):
+    width, bytes_each = range_width(ranges)
+
+    def answer(key: tuple, group: pa.Table) -> pa.Table:
+        """For one hash range: the tokens of each batch that some other class has too."""
+        rows = group.to_pylist()
+        asked = [r for r in rows if r["sizes"] is None]
+        out = [{k: r[k] for k in ANSWER.names} for r in rows if r["sizes"] is not None]
+        if not asked:
+            return pa.Table.from_pylist(out, schema=ANSWER)
+        base = np.uint64(key[0].as_py() * width)
+        tokens = [unsqueeze(r["tokens"], bytes_each) + base for r in asked]
+        owners = [np.frombuffer(r["owner"], np.uint16) for r in asked]
+        names = []
+        for r, owner in zip(asked, owners, strict=True):
+            half = len(r["classes"]) // 10
+            used, short = np.frombuffer(r["classes"][:2 * half], np.uint16), np.frombuffer(r["classes"][2 * half:], np.uint64)
             full = np.zeros(len(owner), np.uint64)
-            own = owner != 0xFFFFFFFF
-            full[own] = names[np.searchsorted(used, owner[own])]
-            whose.append(full)
+            full[owner != NOBODY] = short[np.searchsorted(used, owner[owner != NOBODY])]
+            names.append(full)
         cuts = np.cumsum([0, *map(len, tokens)])
-        every, named = np.concatenate(tokens), np.concatenate(whose)
+        every, named = np.concatenate(tokens), np.concatenate(names)
         by = np.lexsort((named, every))
         t, c = every[by], named[by]
         start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         run = np.diff(np.r_[start, len(t)])
         # one class in several batches is still one class; 0 marks a token that a batch knows to be shared
-        several = (c[start] != c[start + run - 1]) | (c[start] == 0)
         shared = np.zeros(len(t), bool)
-        shared[by] = np.repeat(several, run)
+        shared[by] = np.repeat((c[start] != c[start + run - 1]) | (c[start] == 0), run)
         for i, r in enumerate(asked):
-            mine = shared[cuts[i]:cuts[i + 1]] & (np.frombuffer(r["owner"], np.uint32) != 0xFFFFFFFF)
+            mine = shared[cuts[i]:cuts[i + 1]] & (owners[i] != NOBODY)
             if mine.any():
-                out.append({"batch": r["batch"], "tokens": tokens[i][mine].tobytes(),
-                            "owner": np.frombuffer(r["owner"], np.uint32)[mine].tobytes(), "classes": None, "sizes": None})
-    return pa.Table.from_pylist(out, schema=ANSWER)
+                out.append({"batch": r["batch"], "tokens": tokens[i][mine].tobytes(), "owner": owners[i][mine].tobytes(),
+                            "classes": None, "sizes": None})
+        return pa.Table.from_pylist(out, schema=ANSWER)
+
+    return answer
 
 
 def _survivors(group: pa.Table) -> pa.Table:
@@ -187,7 +212,7 @@ def _survivors(group: pa.Table) -> pa.Table:
     head = next(r for r in rows if r["sizes"] is not None)
     sizes = np.frombuffer(head["sizes"], np.uint32)
     tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-    owner = np.concatenate([np.frombuffer(r["owner"], np.uint32) for r in rows])
+    owner = np.concatenate([np.frombuffer(r["owner"], np.uint16) for r in rows])
     by = np.lexsort((tokens, owner))
     tokens, owner = tokens[by], owner[by]
     ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
@@ -209,76 +234,140 @@ def survivors(docs: DataFrame, total_tokens: int) -> DataFrame:
     ranges = max(1, math.ceil(total_tokens / RANGE_TOKENS))
     packed = clean_columns(docs, "text").mapInArrow(
         _pack(ranges), "home long, batch binary, tokens binary, owner binary, classes binary, sizes binary")
-    answers = packed.groupBy("home").applyInArrow(_answer, "batch binary, tokens binary, owner binary, classes binary, sizes binary")
+    answers = packed.groupBy("home").applyInArrow(_answer(ranges), "batch binary, tokens binary, owner binary, classes binary, sizes binary")
     found = answers.groupBy("batch").applyInArrow(_survivors, "cls binary, n long, shared binary")
     return found.groupBy("cls").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
 
 
 # ---- candidates and links -----------------------------------------------------------------------------------------------------
 
-PREFIX = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("own", pa.int64()), ("token", pa.int64())])
+TOKEN = pa.schema([("cls", pa.binary()), ("token", pa.int64())])
 LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cls, n, own, token = [], [], [], []
-        for c, size, blob in zip(*(batch.column(k).to_pylist() for k in ("cls", "n", "shared")), strict=True):
-            shared = np.frombuffer(blob, np.uint64)
-            first = prefix(shared, size, 0).view(np.int64)
-            cls += [c] * len(first)
-            n += [size] * len(first)
-            own += [size - len(shared)] * len(first)
-            token.append(first)
-        yield table(PREFIX, cls=cls, n=n, own=own, token=np.concatenate(token) if token else np.zeros(0, np.int64))
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intersect the filters of the other orders, then compare whole sets (unshared tokens meet nothing)."""
     for batch in batches_of(batches):
-        a, b = [], []
-        for ca, cb, na, nb, sa, sb in zip(*(batch.column(k).to_pylist() for k in ("a", "b", "na", "nb", "sa", "sb")), strict=True):
-            x, y = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-            if all(np.isin(prefix(x, na, k), prefix(y, nb, k), assume_unique=True).any() for k in range(1, ORDERS)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if DENOMINATOR * both >= NUMERATOR * (na + nb - both):
-                    a.append(ca)
-                    b.append(cb)
-        yield table(LINK, a=a, b=b)
-
-
-def _verified(pairs: DataFrame, alive: DataFrame) -> DataFrame:
-    left = alive.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    right = alive.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_verify, "a binary, b binary")
-
-
-def _may_reach(na, nb, ua, ub):
-    """Lengths and unshared tokens allow the threshold: the overlap is at most m = min(n - unshared)."""
-    m = F.least(na - ua, nb - ub)
-    return DENOMINATOR * m >= NUMERATOR * (na + nb - m)
-
-
-def links(alive: DataFrame) -> DataFrame:
-    """(a, b) links between classes; every linked pair is joined by a path of links."""
-    tokens = stage(alive.mapInArrow(_prefixes, "cls binary, n long, own long, token long"))
-    hub = F.min(F.struct(F.col("own").alias("own"), F.col("cls").alias("cls"), F.col("n").alias("n")))
-    hubs = tokens.groupBy("token").agg(hub.alias("hub"), F.count("*").alias("members")).where("members > 1").select("token", "hub")
-    spokes = (tokens.join(hubs, "token").where(F.col("cls") != F.col("hub.cls"))
-              .where(_may_reach(F.col("n"), F.col("hub.n"), F.col("own"), F.col("hub.own")))
-              .select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct())
-    star = stage(_verified(spokes, alive))
-    # classes that one hub has linked need not meet again
-    named = star.groupBy(F.col("b").alias("cls")).agg(F.min("a").alias("hub"))
-    sides = (tokens.join(hubs.select("token"), "token", "left_semi").join(named, "cls", "left")
-             .withColumn("hub", F.coalesce("hub", "cls")))
-    left = sides.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("own").alias("ua"), F.col("hub").alias("ha"))
-    right = sides.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("own").alias("ub"), F.col("hub").alias("hb"))
-    rest = (left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b")) & (F.col("ha") != F.col("hb"))
-                      & _may_reach(F.col("na"), F.col("nb"), F.col("ua"), F.col("ub")))
-            .select("a", "b").distinct())
-    tried = spokes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return star.unionByName(stage(_verified(rest.join(tried, ["a", "b"], "left_anti"), alive)))
+        firsts = [prefix(np.frombuffer(blob, np.uint64), n, 0).view(np.int64)
+                  for n, blob in zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist(), strict=True)]
+        cls = batch.column("cls").take(pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])))
+        yield pa.RecordBatch.from_arrays([cls, pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)]))], schema=TOKEN)
+
+
+def families(alive: DataFrame) -> DataFrame:
+    """node, label: classes that prefixes of the first order bring together, directly or through others. Linear in the prefixes."""
+    tokens = stage(alive.mapInArrow(_prefixes, "cls binary, token long"))
+    hubs = tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
+    return components(tokens.join(hubs, "token").where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+
+
+def _meetings(token: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each ``left`` set has in common with each ``right`` set: frequent tokens by matrix products, rare ones pair by pair."""
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
+    count = np.diff(np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]]), len(token)]) if len(token) else np.zeros(0, np.int64)
+    often = np.repeat(count >= OFTEN, count)
+    column = np.repeat(np.cumsum(count >= OFTEN) - 1, count)
+    total = np.zeros((len(left), len(right)), np.float32)
+    columns = int((count >= OFTEN).sum())
+    for low in range(0, columns, COLUMNS):
+        part = often & (column >= low) & (column < low + COLUMNS)
+        has = np.zeros((n, min(COLUMNS, columns - low)), np.float32)
+        has[owner[part], column[part] - low] = 1
+        total += has[left] @ has[right].T
+    token, owner = token[~often], owner[~often]
+    row, col = np.full(n, -1), np.full(n, -1)
+    row[left], col[right] = np.arange(len(left)), np.arange(len(right))
+    places = [np.zeros(0, np.int64)]
+    for apart in range(1, OFTEN):
+        same = token[apart:] == token[:-apart]
+        if not same.any():
+            break
+        x, y = owner[:-apart][same], owner[apart:][same]
+        for p, q in ((x, y), (y, x)):
+            places.append((row[p] * len(right) + col[q])[(row[p] >= 0) & (col[q] >= 0)])
+    return total + np.bincount(np.concatenate(places), minlength=total.size).reshape(total.shape)
+
+
+def linked(sizes: np.ndarray, shared: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Matrix of links between the ``left`` and the ``right`` sets: prefixes meet under every order, and whole sets are alike enough."""
+    owner = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
+    _, token, df = np.unique(np.concatenate(shared), return_inverse=True, return_counts=True)
+    start = np.cumsum([0, *map(len, shared)])
+    kinds = []
+    for k in (None, *range(ORDERS)):
+        chosen = df[token] > 1  # tokens that meet nothing here are left out
+        if k is not None:
+            first = np.zeros(len(token), bool)
+            for i, x in enumerate(shared):
+                first[start[i]:start[i + 1]] = np.isin(x, prefix(x, int(sizes[i]), k), assume_unique=True)
+            chosen &= first
+        kinds.append((token[chosen], owner[chosen]))
+    alike = np.zeros((len(left), len(right)), bool)
+    for low in range(0, len(left), ROWS):
+        rows = left[low:low + ROWS]
+        whole, *met = (_meetings(t, o, len(shared), rows, right) for t, o in kinds)
+        both = whole.astype(np.int64)
+        reach = DENOMINATOR * both >= NUMERATOR * (sizes[rows][:, None] + sizes[right][None, :] - both)
+        for m in met:
+            reach &= m > 0
+        alike[low:low + ROWS] = reach
+    return alike
+
+
+def spanning(alike: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The smallest member that each of n members reaches through the links of one matrix."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        for low in range(0, len(left), ROWS):
+            part, rows = alike[low:low + ROWS], left[low:low + ROWS]
+            np.minimum.at(new, rows, np.where(part, label[right][None, :], n).min(1, initial=n))
+            np.minimum.at(new, right, np.where(part, label[rows][:, None], n).min(0, initial=n))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verify(group: pa.Table) -> pa.Table:
+    """Links among the families of a group, or between two blocks of a large one; only a spanning set of them leaves the task."""
+    out_a, out_b = [], []
+    labels = group.column("label").to_pylist()
+    by: dict[bytes, list[int]] = {}
+    for i, label in enumerate(labels):
+        by.setdefault(label, []).append(i)
+    cls, sizes, block = group.column("cls").to_pylist(), np.array(group.column("n").to_pylist(), np.int64), np.array(group.column("block").to_pylist())
+    blobs = group.column("shared").to_pylist()
+    for members in by.values():
+        at = np.array(members)
+        shared = [np.frombuffer(blobs[i], np.uint64) for i in members]
+        first, last = block[at] == block[at].min(), block[at] == block[at].max()
+        left, right = np.flatnonzero(first), np.flatnonzero(last)
+        root = spanning(linked(sizes[at], shared, left, right), left, right, len(members))
+        for i in np.flatnonzero(root != np.arange(len(members))):
+            out_a.append(cls[members[root[i]]])
+            out_b.append(cls[members[i]])
+    return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], schema=LINK)
+
+
+def labels_of(alive: DataFrame) -> DataFrame:
+    """node, label for the classes that have a link: the components of all links.
+
+    A family is verified by blocks of at most about BLOCK_SETS sets and BLOCK_TOKENS tokens, each pair of blocks in a task of its own; small
+    families share a task. Both bounds hold whatever the size of a family.
+    """
+    length = (F.octet_length("shared") / 8).alias("tokens")
+    placed = stage(families(alive).withColumnRenamed("node", "cls").join(alive.select("cls", length), "cls"))  # sets stay behind
+    sizes = placed.groupBy("label").agg(F.count("*").alias("sets"), F.sum("tokens").alias("tokens"))
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    every = placed.agg(F.sum("tokens")).first()[0] or 0
+    shelf = F.pmod(F.xxhash64("label"), F.lit(max(1, math.ceil(every / (BLOCK_TOKENS / 2)))))
+    home = F.when(F.col("blocks") == 1, F.concat(F.lit("s"), shelf.cast("string"))).otherwise(F.concat(F.lit("f"), F.hex("label")))
+    told = (placed.join(sizes.select("label", blocks.alias("blocks")), "label")
+            .select("cls", "label", "blocks", home.alias("home"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+            .join(alive, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("home", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "label", "block", "cls", "n", "shared"))
+    return components(stage(told.groupBy("home", "low", "high").applyInArrow(_verify, "a binary, b binary")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -286,7 +375,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stage(memberships(docs))
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     alive = stage(survivors(docs, total))
-    labels = components(links(alive))
+    labels = stage(labels_of(alive))
     classes = members.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
