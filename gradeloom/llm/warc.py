@@ -3,8 +3,8 @@
 Writing: one HTTP response record per page, its payload in chunks; of equal payloads of at least ``REVISIT_BYTES`` bytes that of the
 largest page_id is the response, the others are revisit records without payload. A block longer than ``segment_bytes`` is cut: the first
 segment is the response record, the rest continuation records that name their origin, their number and, on the last, the total length.
-Records are whole rows of Spark's text writer (its line feed closes the record), so commits and retries are Spark's; files hold at most
-``RECORDS_PER_FILE`` records.
+Records are whole rows of Spark's text writer (its line feed closes the record), so commits and retries are Spark's; files are compressed
+and hold at most ``RECORDS_PER_FILE`` records.
 
 Reading: files are parsed by Content-Length; segmented records are grouped by origin identifier, put in order of segment number and
 checked for gaps and for the total length; then the chunk framing is taken off and the payload digest verified. Only segmented records
@@ -17,6 +17,7 @@ records, empty result.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -121,7 +122,7 @@ def write(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES) ->
             yield pa.RecordBatch.from_arrays([pa.array([r[:-1].decode() for r in out], pa.string())], names=["value"])
 
     told = told.select("page_id", "url", "payload", "digest", "size", "keeper")
-    told.mapInArrow(run, "value string").write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", "\n").text(folder)
+    told.mapInArrow(run, "value string").write.option("maxRecordsPerFile", RECORDS_PER_FILE).option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
 def parse(content: bytes) -> Iterator[dict]:
@@ -145,7 +146,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             held, size = [], 0
-            for record in parse(content.as_py()):
+            for record in parse(gzip.decompress(raw) if (raw := content.as_py())[:2] == b"\x1f\x8b" else raw):
                 held.append(record)
                 size += len(record["block"])
                 if size >= 4 << 20:
