@@ -19,6 +19,7 @@ are not written. Empty table: no blocks, empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +36,12 @@ BLOCK_IDS = 1 << 16
 ESCAPED = (1 << 15) - 1
 #: Fixed by the format: codes per word and bits per code, by selector.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
+#: Bits of every code.
+WIDTH = np.array([c.bit_length() for c in range(ESCAPED + 1)], np.uint8)
+#: Letters that the pre-tokenizer parts from a full stop or a comma after them.
+_LETTERS_AND_MARK = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
 #: A worker's memo: entries, and the longest piece kept; a matter of speed only.
-ENTRIES, LENGTH = 500_000, 40
+ENTRIES, LENGTH = 600_000, 40
 
 BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())),
                    ("n_ids", pa.int64()), ("words", pa.binary()), ("escapes", pa.binary())])
@@ -54,14 +59,18 @@ def pack(ids: np.ndarray) -> tuple[bytes, bytes]:
     n = len(codes)
     if not n:
         return b"", b""
-    width = np.frexp(codes.astype(np.float64))[1]
+    # widest code of every window, by windows of 1, 2, 4, ... codes; past the end codes count as 0
+    wide_by = {1: np.r_[WIDTH[codes], np.zeros(240, np.uint8)]}
+    for size in (1, 2, 4, 8, 16, 32, 64):
+        half = wide_by[size]
+        wide_by[2 * size] = np.r_[np.maximum(half[:-size], half[size:]), half[-size:]]
     chosen = np.full(n, len(SELECTORS) - 1, np.int8)
     for s in range(len(SELECTORS) - 2, -1, -1):  # the densest selector that fits from each place on
         count, bits = SELECTORS[s]
-        too_wide = np.zeros(n + 241, np.int32)
-        np.cumsum(width > bits, out=too_wide[1:n + 1], dtype=np.int32)
-        too_wide[n + 1:] = too_wide[n]
-        chosen[too_wide[count:count + n] == too_wide[:n]] = s
+        size = 1 << (count.bit_length() - 1)
+        fits = np.maximum(wide_by[size][:n], wide_by[size][count - size:count - size + n]) <= bits
+        fits[max(n - count + 1, 0):] = False  # a word holds no more codes than are left
+        chosen[fits] = s
     jump = (np.arange(n) + np.array([c for c, _ in SELECTORS])[chosen]).tolist()
     starts, at = [], 0
     while at < n:
@@ -112,16 +121,22 @@ class Encoder:
         end, memo, older = END.to_bytes(4, "little"), self.memo, self.older.get
         memo[""] = b""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        got = [list(map(memo.get, pieces)) for pieces in cut]
-        new = {p: older(p) for pieces, ids in zip(cut, got, strict=True) if None in ids for p, i in zip(pieces, ids, strict=True) if i is None}
+        new = {p: older(p) for p in set().union(*cut) if p not in memo}
         miss = [p for p, i in new.items() if i is None]
-        for p, e in zip(miss, self.tokenizer.encode_batch_fast(miss, add_special_tokens=False), strict=True):
-            new[p] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(ids if None not in ids else [new[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]) + end
-               for pieces, ids in zip(cut, got, strict=True)]
-        if len(memo) > ENTRIES:
+        marked = [p for p in miss if _LETTERS_AND_MARK.fullmatch(p)]
+        bare = {p: None for p in miss} | {x: None for p in marked for x in (p[:-1], p[-1])}
+        bare = {p: memo.get(p) or older(p) for p in bare.keys() - set(marked)}
+        ask = [p for p, i in bare.items() if i is None]
+        for p, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
+            bare[p] = np.array(e.ids, "<u4").tobytes()
+        new |= bare | {p: bare[p[:-1]] + bare[p[-1]] for p in marked}
+        memo.update(new)
+        out = [b"".join(map(memo.__getitem__, pieces)) + end for pieces in cut]
+        for p in new:
+            if len(p) > LENGTH:
+                del memo[p]
+        if len(memo) > ENTRIES:  # the last generation stays in reach, so frequent pieces are not lost
             self.memo, self.older = {}, memo
-        self.memo.update((p, i) for p, i in new.items() if len(p) <= LENGTH)
         return out
 
 
