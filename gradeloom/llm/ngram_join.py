@@ -42,7 +42,7 @@ ORDERS = 2
 BATCH_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 21
 #: Sets and tokens of a block whose pairs one task compares; rows and columns of its matrices at a time; from how many sets on a token
 #: has a column.
-BLOCK_SETS, BLOCK_TOKENS, ROWS, COLUMNS, OFTEN = 4096, 1 << 21, 512, 2048, 24
+BLOCK_SETS, BLOCK_TOKENS, ROWS, COLUMNS, OFTEN = 4096, 1 << 20, 512, 512, 24
 #: Stands for "several classes of this batch"; a batch has fewer classes than this.
 NOBODY = np.uint16(0xFFFF)
 
@@ -290,9 +290,9 @@ def _meetings(token: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, ri
 
 def linked(sizes: np.ndarray, shared: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Matrix of links between the ``left`` and the ``right`` sets: prefixes meet under every order, and whole sets are alike enough."""
-    owner = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
+    owner = np.repeat(np.arange(len(shared), dtype=np.int32), [len(x) for x in shared])
     _, token, df = np.unique(np.concatenate(shared), return_inverse=True, return_counts=True)
-    start = np.cumsum([0, *map(len, shared)])
+    token, start = token.astype(np.int32), np.cumsum([0, *map(len, shared)])
     kinds = []
     for k in (None, *range(ORDERS)):
         chosen = df[token] > 1  # tokens that meet nothing here are left out
