@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeloom.llm import mixing, ngram_join, pii_crf, piece_bpe, quality_cascade
-from gradeloom.llm.common import documents, stage
+from gradeloom.llm.common import digest_key, documents, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,15 +22,22 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (the smallest doc_id); documents without words meet nothing and stay."""
-    groups = ngram_join.near_duplicates(docs)
-    keep = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    # a doc_id may stand on several rows: of those with words one stays
+    """One row of each group of near-duplicates: of the smallest doc_id (nulls last), of these the smallest text.
+
+    Groups are told apart by their key, so null and repeated doc_ids lose nothing. Documents without words meet nothing and all stay.
+    """
+    row_key = digest_key(*COLUMNS)
+    groups = ngram_join.near_duplicates(docs, row_key)
+    # equal rows have one key; a group whose smallest doc_id stands on one kind of row needs no look at the texts
+    first = stage(groups.where("group_key IS NOT NULL AND doc_id <=> component_id").select("group_key", "row_key").distinct())
+    kinds = first.groupBy("group_key").agg(F.count("*").alias("kinds"), F.min("row_key").alias("row_key"))
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    turn = Window.partitionBy("doc_id", "worded").orderBy("text", "lang", "source", "n_chars")
-    return (kept.withColumn("worded", worded).withColumn("nth", F.row_number().over(turn))
-            .where("nth = 1 OR NOT worded").select(*COLUMNS))
+    keyed = docs.select(*COLUMNS).where(worded).withColumn("row_key", row_key).dropDuplicates(["row_key"])
+    tied = first.join(kinds.where("kinds > 1").select("group_key"), "group_key")
+    least = (keyed.join(tied, "row_key").groupBy("group_key").agg(F.min(F.struct("text", "lang", "source", "n_chars", "row_key")).alias("least"))
+             .select("least.row_key"))
+    keep = stage(kinds.where("kinds = 1").select("row_key").union(least))
+    return keyed.join(keep, "row_key", "left_semi").select(*COLUMNS).union(docs.select(*COLUMNS).where(~worded))
 
 
 def personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

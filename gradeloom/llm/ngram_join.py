@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.common import Memo, batches_of, clean_columns, documents, splitmix, stage, table
@@ -91,14 +91,20 @@ ANSWER = pa.schema([("batch", pa.binary()), ("tokens", pa.binary()), ("owner", p
 SURVIVOR = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("shared", pa.binary())])
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, keys = [], []
-        for text in batch.column("text"):
-            tokens = shingles(text.as_py())
-            n.append(len(tokens))
-            keys.append(set_key(tokens) if len(tokens) else None)
-        yield table(MEMBER, doc_id=batch.column("doc_id"), n_shingles=n, cls=keys)
+def _members(carried: bool):
+    shape = MEMBER.append(pa.field("row_key", pa.binary())) if carried else MEMBER
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keys = [], []
+            for text in batch.column("text"):
+                tokens = shingles(text.as_py())
+                n.append(len(tokens))
+                keys.append(set_key(tokens) if len(tokens) else None)
+            more = {"row_key": batch.column("row_key")} if carried else {}
+            yield table(shape, doc_id=batch.column("doc_id"), n_shingles=n, cls=keys, **more)
+
+    return members
 
 
 def _pack(ranges: int):
@@ -224,9 +230,12 @@ def _survivors(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, schema=SURVIVOR)
 
 
-def memberships(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (null for an empty set), one row per row of ``docs``."""
-    return clean_columns(docs, "doc_id", "text").mapInArrow(_members, "doc_id long, n_shingles long, cls binary")
+def memberships(docs: DataFrame, row_key: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, cls (null for an empty set) and the ``row_key`` asked for, one row per row of ``docs``."""
+    ddl = "doc_id long, n_shingles long, cls binary"
+    if row_key is None:
+        return clean_columns(docs, "doc_id", "text").mapInArrow(_members(False), ddl)
+    return docs.select("doc_id", "text", row_key.alias("row_key")).mapInArrow(_members(True), f"{ddl}, row_key binary")
 
 
 def survivors(docs: DataFrame, total_tokens: int) -> DataFrame:
@@ -370,9 +379,12 @@ def labels_of(alive: DataFrame) -> DataFrame:
     return components(stage(told.groupBy("home", "low", "high").applyInArrow(_verify, "a binary, b binary")))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, and ``group_key`` (null for empty sets), one row per row of ``docs``."""
-    members = stage(memberships(docs))
+def near_duplicates(docs: DataFrame, row_key: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, ``group_key`` (null for empty sets), and ``row_key`` if asked for, one row per row of ``docs``.
+
+    ``row_key`` (binary) names the rows for a caller that wants their groups: doc_id does not, being null or repeated at times.
+    """
+    members = stage(memberships(docs, row_key))
     total = members.agg(F.sum("n_shingles")).first()[0] or 0
     alive = stage(survivors(docs, total))
     labels = stage(labels_of(alive))
@@ -382,7 +394,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lookup = named.select("cls", "label").join(least, "label").select("cls", F.col("label").alias("group_key"), "component_id")
     return (members.join(lookup, "cls", "left")
             .select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                    "group_key"))
+                    "group_key", *([] if row_key is None else ["row_key"])))
 
 
 def op6_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -280,3 +280,56 @@ def test_pipeline_keeps_columns_and_rows(spark, docs, none):
         kept = [(i, t.text) for i, t in texts if not any(rule.rejects(t) for rule in quality_cascade.RULES)]
         _, comps = brute_links(kept)
         assert {r.doc_id for r in last} == set(comps)
+
+
+def near_of(seed, n, at):
+    words = prose(seed, n).split()
+    words[at] = "changed"
+    return " ".join(words)
+
+
+def test_one_row_per_group_and_no_group_lost(spark):
+    import corpus_pipeline
+
+    texts = {i: prose(900 + i, 100) for i in range(12)}
+    table = [(None, texts[i]) for i in range(6)]                                 # different texts without an id
+    table += [(None, texts[0]), (None, near_of(901, 100, 3)), (4, texts[2])]     # a copy, a near copy, a copy with an id
+    table += [(7, texts[6]), (7, texts[7]), (8, texts[7]), (7, texts[8])]        # three unlinked texts under one id
+    table += [(9, texts[9]), (9, near_of(909, 100, 50)), (9, texts[9])]          # two linked texts under one id
+    table += [(5, ""), (5, ""), (None, None), (None, None), (None, " ")]         # no words: all stay
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in table], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df.repartition(3), "unused").collect()), key=repr)
+    assert got == sorted(survivors_by_hand(table), key=repr)
+
+
+def survivors_by_hand(table):
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) if (t or "").strip() else set() for _, t in table]
+    groups, out = [], []
+    for row, s in zip(table, sets, strict=True):
+        if not s:
+            out.append(row)
+            continue
+        met = [g for g in groups if any(100 * len(s & x) >= 80 * len(s | x) for _, x in g)]
+        groups = [g for g in groups if g not in met] + [[(row, s), *(m for g in met for m in g)]]
+    return out + [min((row for row, _ in g), key=lambda r: (r[0] is None, r[0] or 0, r[1])) for g in groups]
+
+
+def test_pipeline_run_on_rows_without_and_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    def clean(seed):  # passes every rule of the cascade
+        r = random.Random(seed)
+        return " ".join(r.choice(("the", "and", "of", "with", "that", f"word{r.randrange(900)}", f"other{r.randrange(900)}")) for _ in range(100)) + "."
+
+    table = [(None, clean(i)) for i in range(5)] + [(None, clean(0)), (3, clean(7)), (3, clean(8)), (4, clean(1))]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in table], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    at = corpus_pipeline.quality(spark, df, "unused")
+    assert at.count() == len(table)
+    want = sorted(survivors_by_hand(table), key=repr)
+    for _, step in corpus_pipeline.STAGES[1:-1]:
+        at = step(spark, at, "unused")
+    assert sorted(((r.doc_id, r.text) for r in at.select("doc_id", "text").distinct().collect()), key=repr) == want
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted({r[0] for r in last.select("doc_id").collect()}, key=repr) == sorted({i for i, _ in want}, key=repr)
+    assert last.distinct().count() == len(want)
