@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,7 +113,7 @@ def _pack(ranges: int):
     batch have are known to be shared and stay with the batch."""
     width, bytes_each = range_width(ranges)
 
-    def flush(sets: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(sets: dict[bytes, np.ndarray], place: tuple[int, int]) -> Iterator[pa.RecordBatch]:
         keys, arrays = list(sets), list(sets.values())
         sizes = np.array([len(a) for a in arrays], np.uint32)
         tokens, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays), dtype=np.uint32), sizes)
@@ -121,7 +122,9 @@ def _pack(ranges: int):
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         count = np.diff(np.r_[first, len(tokens)])
         many = np.repeat(count > 1, count)
-        name, joined = xxhash.xxh3_128_digest(b"".join(keys)), b"".join(keys)
+        joined = b"".join(keys)
+        # tasks that hold the same classes are different batches; a task run again gives the same names
+        name = xxhash.xxh3_128_digest(np.array(place, np.int64).tobytes() + joined)
         rows = [(int.from_bytes(name[:4], "little") % ranges, tokens[many].tobytes(), owner[many].astype(np.uint16).tobytes(), joined, sizes.tobytes())]
         once, whose = tokens[first], np.where(count > 1, NOBODY, owner[first].astype(np.uint16))
         home = (once // np.uint64(width)).astype(np.int64)
@@ -134,7 +137,8 @@ def _pack(ranges: int):
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
-        total = 0
+        task = TaskContext.get()
+        total, part, flushes = 0, task.partitionId() if task else 0, 0
         for batch in batches:
             for text in batch.column("text"):
                 tokens = shingles(text.as_py())
@@ -142,10 +146,10 @@ def _pack(ranges: int):
                     held[key] = tokens
                     total += len(tokens)
                     if total >= BATCH_TOKENS or len(held) == NOBODY:
-                        yield from flush(held)
-                        held, total = {}, 0
+                        yield from flush(held, (part, flushes))
+                        held, total, flushes = {}, 0, flushes + 1
         if held:
-            yield from flush(held)
+            yield from flush(held, (part, flushes))
 
     return pack
 

@@ -145,6 +145,24 @@ def test_near_duplicates_in_families_and_chains(spark, monkeypatch):
     check_links(spark.createDataFrame(table, "doc_id long, text string").repartition(4), table)
 
 
+def test_tasks_that_hold_the_same_texts(spark):
+    common, a = prose(60, 70), f"{prose(61, 60)} "
+    b = f"{prose(62, 60)} "
+    table = [(i, (a if i < 3 else b) + common) for i in range(6)]  # alike by about a third
+    far = spark.createDataFrame(spark.sparkContext.parallelize(table, len(table)), "doc_id long, text string")
+    check_links(far, table)
+    assert {r.component_id for r in ngram_join.near_duplicates(far).collect()} == {0, 3}
+
+
+def test_flushes_that_hold_the_same_text(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "BATCH_TOKENS", 10)
+    text = prose(63, 40)
+    packed = pa.Table.from_batches(ngram_join._pack(1)(iter([pa.record_batch({"text": [text, text]})]))).to_pylist()
+    assert len({r["batch"] for r in packed}) == sum(r["sizes"] is not None for r in packed) == 2
+
+
 def plain_spans(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
