@@ -86,6 +86,15 @@ def name_top3(feed):
     return identity.nearest_names(typed, roster(feed))
 
 
+@query("name_top3_all", f"""WITH {PEOPLE} SELECT course_id, written, place, name, tag, CAST(distance AS INT) AS distance FROM (SELECT w.course_id, w.written, r.name, r.tag, levenshtein(lower(w.written), lower(r.name)) AS distance,
+ row_number() OVER (PARTITION BY w.course_id, w.written ORDER BY levenshtein(lower(w.written), lower(r.name)), r.name, r.tag) AS place
+ FROM (SELECT DISTINCT course_id, name AS written FROM roster) w JOIN roster r USING (course_id) WHERE levenshtein(lower(w.written), lower(r.name)) <= 6) WHERE place <= 3""")
+def name_top3_all(feed):
+    """Every whole name of every customer; ``name_top3`` is the same on a tenth of them, as its SQL has it."""
+    people = roster(feed)
+    return identity.nearest_names(people.select("course_id", F.col("name").alias("written")).distinct(), people)
+
+
 @query("display_name", """SELECT c_custkey, CASE c_custkey%5 WHEN 0 THEN 'Ann "Bo" Lee' WHEN 1 THEN 'Ann Lee' WHEN 2 THEN 'Ann "O''Neil" May Lee' WHEN 3 THEN 'Ann Lee' ELSE '"Bo"' END AS shown FROM customer""")
 def display_name(feed):
     k = c("c_custkey") % 5

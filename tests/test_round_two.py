@@ -140,3 +140,39 @@ def test_colours_by_nesting(spark):
     rows = html_audit.text_runs(spark.createDataFrame([(1, body)], "k int, h string"), "k", "h").collect()
     assert {(r.fg, r.bg): r.snippet for r in rows} == {("#777777", "#888888"): "dim", ("#777777", "#ffffff"): "after", ("#2d3b45", "#ffffff"): "plain",
                                                        ("#ffffff", "#eeeeee"): "open"}
+
+
+def plain_levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_nearest_names_against_all_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    names = ["".join(r.choice("abAB") for _ in range(r.randint(1, 9))) for _ in range(60)] + ["far away from every other name", "Zoe"]
+    people = [(f"c{i % 2}", n, f"Student-{i}") for i, n in enumerate(names)] + [("c0", names[0], "Student-90")]
+    typed = sorted({(k, n[:r.randint(1, 12)]) for k, n, _ in people} | {(k, n) for k, n, _ in people} | {("c1", "nobody is like this at all")})
+    got = identity.nearest_names(spark.createDataFrame(typed, "course_id string, written string"), spark.createDataFrame(people, "course_id string, name string, tag string"))
+    want = set()
+    for k, w in typed:
+        met = sorted((d, n, t) for kk, n, t in people if kk == k and (d := plain_levenshtein(w.lower(), n.lower())) <= 6)
+        want |= {(k, w, i + 1, n, t, d) for i, (d, n, t) in enumerate(met[:3])}
+    rows = got.collect()
+    assert len(rows) == len(want) and {tuple(x) for x in rows} == want
+
+
+def test_every_name_is_searched_whole(spark):
+    from gradeloom.queries import REGISTRY, runner
+    from gradeloom.queries.feed import Feed
+    from gradeloom.queries.identity import roster
+
+    sf = "/root/testdata/sf0.001"
+    assert "name_top3_all" in REGISTRY
+    every = {(r.course_id, r.name) for r in roster(Feed(spark, sf)).collect()}
+    assert {(r.course_id, r.written) for r in runner("name_top3_all")(spark, sf).collect()} == every
