@@ -10,7 +10,7 @@ from gradeloom.functions.text import squash
 from gradeloom.operators.files import hit_spans
 
 # The reach of a passage and how far apart passages may lie and still be one.
-REACH, JOIN_GAP, PASSAGE_CHARS = 700, 40, 4000
+REACH, JOIN_GAP = 700, 40
 # Cues of a student's own experience as (category, pattern, needs a first person).
 # The first cue that fits names the sentence.
 CUES = (
@@ -42,7 +42,7 @@ ALWAYS_KEPT, LISTED = 2, 4
 
 
 def policy_passages(texts: DataFrame, keys: list[str], text: str, pattern: str, reach: int = REACH) -> DataFrame:
-    """Passages around keyword hits, snapped to sentence ends, overlapping ones merged, 4000 characters in all."""
+    """Passages around keyword hits, snapped to sentence ends, overlapping ones merged; all of them, whole, in order."""
     rows = hit_spans(texts, keys, squash(F.col(text)), f"(?i){pattern}")
     lo, hi = F.greatest(F.lit(0), F.col("start") - reach), F.least(F.length("t"), F.col("end") + reach)
     rows = rows.withColumns({"lo": lo, "hi": hi})
@@ -59,7 +59,7 @@ def policy_passages(texts: DataFrame, keys: list[str], text: str, pattern: str,
     joined = spans.groupBy(*keys, "island").agg(F.first("t").alias("t"), F.min("a").alias("a"), F.max("b").alias("b"))
     cut = F.trim(F.substr("t", (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")))
     parts = joined.select(*keys, F.struct("island", cut.alias("p")).alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return parts.select(*keys, F.size("xs").alias("passages"), F.left(F.array_join(F.transform("xs", lambda x: x["p"]), "\n\n"), F.lit(PASSAGE_CHARS)).alias("text"))
+    return parts.select(*keys, F.size("xs").alias("passages"), F.array_join(F.transform("xs", lambda x: x["p"]), "\n\n").alias("text"))
 
 
 def voice_category(sentence: Column) -> Column:

@@ -25,6 +25,16 @@ def meeting_dates(feed):
     return meetings(feed)
 
 
+@query("rejected_patterns", """SELECT course_id, start_day AS start, end_day AS "end", CASE WHEN start_day > end_day THEN 'ends before it starts' ELSE 'longer than 240 days' END AS why
+ FROM (SELECT course_id, start_day, CASE WHEN course_id IN ('2', '3') THEN start_day + 241 WHEN course_id = '4' THEN start_day + 240 WHEN course_id = '5' THEN start_day - 1 ELSE end_day END AS end_day FROM patterns)
+ WHERE start_day > end_day OR end_day - start_day > 240""", "patterns")
+def rejected_patterns(feed):
+    """The feed's patterns, some of them stretched or turned round: those that ``meeting_dates`` has no days for, and why."""
+    end = (F.when(F.col(C).isin("2", "3"), F.date_add("start", 241)).when(F.col(C) == "4", F.date_add("start", 240))
+           .when(F.col(C) == "5", F.date_sub("start", 1)).otherwise(F.col("end")))
+    return attendance.rejected_patterns(feed.patterns.withColumn("end", end), C)
+
+
 @query("attendance_totals", "SELECT * FROM totals", USES)
 def attendance_totals(feed):
     return totals(feed)

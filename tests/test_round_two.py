@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gradeloom.functions import dates, late_policy, scores
-from gradeloom.operators import attendance, files, html_audit, identity, merges, risk
+from gradeloom.operators import attendance, files, html_audit, identity, merges, overlap, prose, risk
 from gradeloom.plans import changes
 from gradeloom.streaming import chains, upserts
 
@@ -176,3 +176,25 @@ def test_every_name_is_searched_whole(spark):
     assert "name_top3_all" in REGISTRY
     every = {(r.course_id, r.name) for r in roster(Feed(spark, sf)).collect()}
     assert {(r.course_id, r.written) for r in runner("name_top3_all")(spark, sf).collect()} == every
+
+
+def test_every_passage_of_a_long_text(spark):
+    text = " ".join(f"Sentence {i} has {'late work' if i % 40 == 20 else 'nothing'} here." for i in range(8000))
+    got = prose.policy_passages(spark.createDataFrame([(1, text)], "k int, t string"), ["k"], "t", r"\blate\b", 90).first()
+    assert got.passages == 200 and len(got.text) > 4000 and got.text.count("late work") == 200
+    assert [f"Sentence {i} has late work here." in got.text for i in range(20, 8000, 40)] == [True] * 200
+
+
+def test_every_shared_passage_of_a_pair(spark):
+    runs = [" ".join(f"s{i}w{j}" for j in range(12 - i)) for i in range(6)]
+    a, b = (" ".join(f"{run} {x}{i}a {x}{i}b" for i, run in enumerate(runs)) for x in "xy")
+    df = spark.createDataFrame([("g", 1, a), ("g", 2, b)], "grp string, doc_id long, text string")
+    pairs = overlap.overlap_pairs(df, ["grp"])
+    got = overlap.shared_passages(pairs, overlap.distinct_texts(df, ["grp"], "doc_id", "text"), ["grp"]).orderBy("rank").collect()
+    assert [(r.rank, r.passage) for r in got] == list(enumerate(runs, 1))
+
+
+def test_rejected_patterns_are_registered():
+    from gradeloom.queries import REGISTRY
+
+    assert {"rejected_patterns", "shared_passages_all"} <= set(REGISTRY)
