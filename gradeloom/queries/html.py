@@ -182,8 +182,7 @@ def body_corpus(feed):
 
 @query("bulk_rewrite", "SELECT page_id, 2 AS changes FROM bodies WHERE page_id % 8 = 4", B)
 def bulk_rewrite(feed):
-    short = feed.bodies.where(F.col("html").contains("You Do It")).select("page_id", F.regexp_extract("html", r"(?s)<h2>Top</h2>.*$", 0).alias("html"))
-    return html_audit.bulk_rewrite(short, "page_id", "html").select("page_id", "changes")
+    return html_audit.bulk_rewrite(feed.bodies, "page_id", "html").select("page_id", "changes")
 
 
 @query("rewrite_gate", """SELECT page_id, note, list_filter([CASE WHEN page_id % 4 = 1 THEN 'text changed' END, CASE WHEN page_id % 8 IN (3, 6) AND page_id % 4 = 2 THEN 'href set changed' END,

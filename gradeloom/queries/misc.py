@@ -376,6 +376,13 @@ def slot_verify(feed):
     return changes.slot_verify(rows, "page_id")
 
 
+@query("slot_verify_pages")
+def slot_verify_pages(feed):
+    """The pages themselves, whole, under their own titles; ``slot_verify`` has planted bodies, as its SQL has them."""
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return changes.slot_verify(feed.pages.select("page_id", F.lit("page").alias("kind"), title.alias("title"), "html"), "page_id")
+
+
 # ------------------------------------------------------------------- sources
 @query("read_snapshot", """SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, count(*) AS n, sum(l_quantity) AS score, count(*) FILTER (WHERE l_returnflag='R') AS late FROM lineitem GROUP BY 1""")
 def read_snapshot(feed):

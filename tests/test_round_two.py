@@ -1,6 +1,7 @@
 """Rules that the first round left open: long tags, whole keys, unreadable values, restarts, absent rows, cleaned HTML."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -198,3 +199,42 @@ def test_rejected_patterns_are_registered():
     from gradeloom.queries import REGISTRY
 
     assert {"rejected_patterns", "shared_passages_all"} <= set(REGISTRY)
+
+
+def test_whole_pages_are_rewritten(spark):
+    from gradeloom.queries.feed import Feed
+
+    feed = Feed(spark, "/root/testdata/sf0.001")
+    plain = {r.page_id: r.html for r in feed.bodies.collect()}
+    got = {r.page_id: (r.html, r.changes) for r in html_audit.bulk_rewrite(feed.bodies, "page_id", "html").collect()}
+    want = {}
+    for k, page in plain.items():
+        done, n = "", 0
+        for piece in re.split(r"(?<=</p>)", page):  # a paragraph at a time
+            m = re.search(r"<p>\s*<(strong|b|em|i)>(.*)</\1>\s*</p>$", piece, re.S)
+            text = re.sub("<[^>]+>", "", m[2]).strip() if m and "<p>" not in m[2] else ""
+            if re.fullmatch(r"You Do It \d+", text) and "<h2" in page:
+                piece, n = f"{piece[:m.start()]}<h3>{text}</h3>", n + 1
+            elif len(text) >= 40 and not re.search(r"[{};]|\breturn\b|\(\s*\)|\bpublic\s+\w|\bvoid\b", text):
+                piece, n = f"{piece[:m.start()]}<p>{m[2]}</p>", n + 1
+            done += piece
+        if n:
+            want[k] = (done, n)
+    assert got == want and all(len(html) > 1000 for html, _ in got.values()) and len(got) >= 6
+
+
+def test_whole_pages_are_verified(spark):
+    from gradeloom.queries import runner
+    from gradeloom.queries.feed import Feed
+
+    sf = "/root/testdata/sf0.001"
+    pages = {r.page_id: r.html for r in Feed(spark, sf).pages.collect()}
+    got = {r.page_id: (r.problems, r.state) for r in runner("slot_verify_pages")(spark, sf).collect()}
+    assert set(got) == set(pages)
+    for k, page in pages.items():
+        heads = re.findall(r"<h2[^>]*>(.*?)</h2>", page, re.S)
+        hero, title = (re.sub("[^a-z0-9]", "", re.sub("<[^>]*>", "", re.sub("&(amp|mdash|ndash|ldquo|rdquo);", "", t)).lower())
+                       for t in (heads[0] if heads else "", re.search(r"<title>(.*?)</title>", page, re.S)[1]))
+        want = ["not one h2"] if len(heads) != 1 else [] if hero and (title in hero and title or hero in title) else ["hero does not match"]
+        want += ["non-ascii"] if re.search(r"[^\x00-\x7f]", page) else []
+        assert got[k] == (want, "fail") if want else got[k][0] in ([], ["style"])
