@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import (ann_forest, chat_perspectives, license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade,
+from gradeloom.llm import (ann_forest, chat_perspectives, fst_count, license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade,
                            simple8b, warc)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ann_forest": ann_forest.op9_ann_forest,
     "op10_pii": pii_crf.op10_pii,
+    "op12_fst_counts": fst_count.op12_fst_counts,
 }
 
 SQL = {
