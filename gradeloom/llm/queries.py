@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gradeloom.llm import (ann_forest, chat_perspectives, fst_count, license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade,
-                           simple8b, warc)
+                           simple8b, spelling, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_cascade.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ann_forest": ann_forest.op9_ann_forest,
     "op10_pii": pii_crf.op10_pii,
+    "op11_spelling": spelling.op11_spelling,
     "op12_fst_counts": fst_count.op12_fst_counts,
 }
 
@@ -26,4 +27,5 @@ SQL = {
     "op6_ngram_jaccard": ngram_join.SQL,
     "op7_chat_perspectives": chat_perspectives.SQL,
     "op8_license_scan": license_scan.SQL,
+    "op11_spelling": spelling.SQL,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gradeloom.llm import fst_count
+from gradeloom.llm import fst_count, spelling
 
 DOCS = "doc_id long, text string, source string, n_tokens int"
 
@@ -70,3 +70,84 @@ def test_op12_equals_the_library_on_the_whole_table(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     want = sorted((r.doc_id, len((r.text or "").encode()), n, n > 512) for r, n in zip(docs, lengths(library, [r.text for r in docs]), strict=True))
     assert sorted(map(tuple, fst_count.op12_fst_counts(spark, "/root/testdata/sf0.001").collect())) == want
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def brute_variants(counts: dict[str, int]) -> list[tuple]:
+    out, form = {}, {}
+    for word, n in counts.items():
+        near = [(-counts[o], o) for o in counts if one_edit(word, o)]
+        form[word] = min(near)[1] if near and -min(near)[0] >= 10 * n else None
+        out[word] = (n, len(near))
+    rows = []
+    for word, (n, near) in out.items():
+        root = word
+        while form[root]:
+            root = form[root]
+        rows.append((word, form[word], root, n, near, counts.get(form[word])))
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("dictionary", [4, 40, 1 << 16])
+def test_variants_equal_brute_force(spark, monkeypatch, dictionary):
+    """Few letters and a coarse or fine dictionary: long grams, words without a positive bound, forms of forms."""
+    monkeypatch.setattr(spelling, "DICTIONARY", dictionary)
+    rnd = random.Random(dictionary)
+    counts = {}
+    for _ in range(120):
+        word = "".join(rnd.choice("aabbé") for _ in range(rnd.randrange(7, 12)))
+        counts[word] = rnd.choice([2, 3, 20, 30, 400])
+        for _ in range(4):
+            i, c = rnd.randrange(len(word) + 1), rnd.choice("abé")
+            word = rnd.choice([word[:i] + c + word[i:], word[:i] + c + word[i + 1:], word[:i] + word[i + 1:]])
+            if len(word) >= 7:
+                counts.setdefault(word, rnd.choice([2, 3, 20, 30, 400]))
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+    assert sorted(map(tuple, got.collect())) == brute_variants(counts)
+
+
+def test_gram_bounds_hold_for_every_edit():
+    """Whatever the edit, a word keeps as many grams as its bound says, at the same distance from the start or the end."""
+    rnd = random.Random(3)
+    over = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 5))): 9 for _ in range(40)}
+    over |= {g[:n]: 9 for g in list(over) for n in range(2, len(g))}
+    d = spelling.Dictionary(over)
+    for _ in range(400):
+        word = "".join(rnd.choice("abc") for _ in range(rnd.randrange(7, 12)))
+        grams = d.grams(word)
+        bound = d.bound(word, grams)
+        for i in range(len(word) + 1):
+            for other in {word[:i] + c + word[i + k:] for c in ("a", "b", "c", "z", "") for k in (0, 1)} - {word}:
+                if one_edit(word, other):
+                    have = {(other[b:e], b) for b, e, _ in d.grams(other)}
+                    back = {(g, b - len(other)) for g, b in have}
+                    kept = sum((word[b:e], b) in have or (word[b:e], b - len(word)) in back for b, e, _ in grams)
+                    assert kept >= len(grams) - bound, (word, other)
+
+
+def test_words_and_edges(spark):
+    import zlib
+
+    rows = [(1, "Straße STRASSEN strassen", "a", 1), (None, "strassen", "a", 1), (2, None, "b", 1), (2, "", "b", 1), (2, "ÀBCDEFGH x7 \u0100abcdefg", "b", 1)]
+    rows += [(i, "variant" * 1000 + " longword", "c", 1) for i in range(40)]
+    want = {}
+    for i, text, *_ in rows:
+        import re
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            word = run[:h % len(run)] + run[h % len(run) + 1:] if h % 31 == 0 else run
+            if len(word) >= 7:
+                want[word] = want.get(word, 0) + 1
+    docs = spark.createDataFrame(rows, DOCS)
+    assert {r.word: r.n for r in spelling.word_counts(docs).collect()} == want
+    assert spelling.variants(spelling.word_counts(spark.createDataFrame([], DOCS))).count() == 0
+    assert spelling.variants(spark.createDataFrame([("abcdefg", 5)], "word string, n long")).collect()[0].root == "abcdefg"
