@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import (ann_forest, chat_perspectives, fst_count, license_scan, mixing, ngram_join, pii_crf, piece_bpe, quality_cascade,
+from gradeloom.llm import (ann_forest, chat_perspectives, fst_count, license_scan, mixing, ngram_join, pair_maxscore, pii_crf, piece_bpe, quality_cascade,
                            simple8b, spelling, warc)
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_pii": pii_crf.op10_pii,
     "op11_spelling": spelling.op11_spelling,
     "op12_fst_counts": fst_count.op12_fst_counts,
+    "op13_pair_maxscore": pair_maxscore.op13_pair_maxscore,
 }
 
 SQL = {
@@ -28,4 +29,5 @@ SQL = {
     "op7_chat_perspectives": chat_perspectives.SQL,
     "op8_license_scan": license_scan.SQL,
     "op11_spelling": spelling.SQL,
+    "op13_pair_maxscore": pair_maxscore.SQL,
 }

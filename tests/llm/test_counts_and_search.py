@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gradeloom.llm import fst_count, spelling
+from gradeloom.llm import fst_count, pair_maxscore, spelling
 
 DOCS = "doc_id long, text string, source string, n_tokens int"
 
@@ -151,3 +151,64 @@ def test_words_and_edges(spark):
     assert {r.word: r.n for r in spelling.word_counts(docs).collect()} == want
     assert spelling.variants(spelling.word_counts(spark.createDataFrame([], DOCS))).count() == 0
     assert spelling.variants(spark.createDataFrame([("abcdefg", 5)], "word string, n long")).collect()[0].root == "abcdefg"
+
+
+def brute_ranking(docs, items, k):
+    """item_id, rank, doc_id, score by the formula, over all documents; equal rows of items once."""
+    import math
+    import re
+
+    def terms(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+    held = [(i, t) for i, text, *_ in docs if (t := terms(text))]
+    n, size, out = len(held), sum(len(t) for _, t in held), []
+    df = {}
+    for _, t in held:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    for item, text, *_ in set(items):
+        scored = []
+        for i, t in held:
+            m = 75 + 25 * len(t) * n // size
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1))) * (1_000_000_000 * t.count(w) // (1000 * t.count(w) + 12 * m))
+                        for w in terms(text) if w in df)
+            if score > 0:
+                scored.append((-score, i is None, i or 0))
+        out += [(item, r, None if none else i, -s) for r, (s, none, i) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("tokens", "terms"), [(1, 1), (60, 8), (1 << 21, 1 << 16)])
+def test_ranking_equals_brute_force(spark, monkeypatch, tokens, terms):
+    """Shards and blocks of any size, common words (weight near 0), equal texts (ties), nulls, repeated ids and extra columns."""
+    monkeypatch.setattr(pair_maxscore, "SHARD_TOKENS", tokens)
+    monkeypatch.setattr(pair_maxscore, "BLOCK_TERMS", terms)
+    rnd = random.Random(tokens)
+    words = [*"abcdefghij", "The", "é1", "über"]
+    text = lambda top: " ".join(rnd.choice(words[-rnd.randrange(1, 14):]) for _ in range(rnd.randrange(1, top)))
+    docs = [(i, text(40), "a", 0) for i in range(120)] + [(900 + i, "the The b", "b", 0) for i in range(30)]
+    docs += [(None, "the über", "b", 0), (None, None, "b", 1), (5, "", "b", 1), (7, "?! \n", "b", 1), (8, "über-über " * 900, "b", 1)]
+    items = [(i, text(12)) for i in range(12)] + [(3, "the the b"), (3, "the the b"), (50, None), (51, ""), (None, "über"), (52, "nowhere")]
+    got = pair_maxscore.ranked(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), k=7)
+    found = sorted([(r.item_id, r.rank, r.doc_id, r.score) for r in got.collect()], key=str)
+    assert found == brute_ranking(docs, items, 7)
+
+
+def test_pair_bounds_tighten_and_hold():
+    rnd = random.Random(4)
+    for _ in range(300):
+        n = rnd.randrange(1, 6)
+        rows = [[rnd.choice([0, 0, rnd.randrange(9)]) for _ in range(n)] for _ in range(12)]
+        tops = [max(r[i] for r in rows) for i in range(n)]
+        joint = [None] + [max([r[i - 1] + r[i] for r in rows if r[i - 1] and r[i]], default=0) for i in range(1, n)]
+        bounds = pair_maxscore.prefix_bounds(tops, joint)
+        for j in range(n + 1):
+            assert max(sum(r[:j]) for r in rows) <= bounds[j] <= sum(tops[:j])
+    assert pair_maxscore.prefix_bounds([5, 5, 2], [None, 6, None]) == [0, 5, 6, 8]
+
+
+def test_ranking_of_empty_tables(spark):
+    none, items = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert pair_maxscore.ranked(none, items).count() == 0
+    assert pair_maxscore.ranked(spark.createDataFrame([(1, "a b", "x", 0)], DOCS), items.where("false")).count() == 0
