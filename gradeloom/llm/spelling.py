@@ -160,19 +160,20 @@ def near_pairs(words: DataFrame) -> DataFrame:
         F.transform("base", lambda g: F.struct(F.lit("b").alias("index"), g.gram.alias("gram"), g.at.alias("at"))))).alias("g"))
     behind = F.col("size") - F.col("g.at") - F.length("g.gram")
 
-    def keyed(size, suffix: str) -> DataFrame:
-        """One row per way of meeting: equal lengths, or (size being the shorter length) an edit behind or before the gram."""
-        ways = F.explode(F.array(F.xxhash64("g.index", "g.gram", "g.at", "size", F.lit(0)),
-                                 F.xxhash64("g.index", "g.gram", "g.at", size, F.lit(1)),
-                                 F.xxhash64("g.index", "g.gram", behind, size, F.lit(2)))).alias("key")
-        return each.select(ways, *[F.col(c).alias(c + suffix) for c in ("word", "n", "sig", "size")])
-
-    short, long = keyed(F.col("size"), "_a"), keyed(F.col("size") - 1, "_b")
-    met = short.join(long, "key").where("(size_a = size_b AND word_a < word_b OR size_a + 1 = size_b) AND bit_count(sig_a ^ sig_b) <= 2 "
-                                        "AND levenshtein(word_a, word_b, 1) = 1")
+    def way(kind: int, at, shorter, role: int):
+        return F.struct(F.xxhash64("g.index", "g.gram", at, shorter, F.lit(kind)).alias("key"), F.lit(role).alias("role"))
+
+    # Ways of meeting: equal lengths (role 0), or the shorter (1) and the longer (2) word, the edit being behind or before the gram.
+    ways = [way(0, F.col("g.at"), F.col("size"), 0)]
+    for shorter, role in ((F.col("size"), 1), (F.col("size") - 1, 2)):
+        ways += [way(1, F.col("g.at"), shorter, role), way(2, behind, shorter, role)]
+    keyed = each.select("word", "n", "sig", F.explode(F.array(*ways)).alias("w")).select("w.key", "w.role", "word", "n", "sig")
+    # both sides are one shuffle; a condition on one role alone would be pushed below it and part them
+    met = keyed.alias("a").join(keyed.alias("b"), F.expr("a.key = b.key")).where(
+        "a.role * 3 + b.role IN (0, 5) AND (a.role = 1 OR a.word < b.word) AND bit_count(a.sig ^ b.sig) <= 2 AND levenshtein(a.word, b.word, 1) = 1")
     both = met.select(F.explode(F.array(
-        F.struct(F.col("word_a").alias("word"), F.col("n_a").alias("n"), F.col("word_b").alias("near"), F.col("n_b").alias("near_n")),
-        F.struct(F.col("word_b").alias("word"), F.col("n_b").alias("n"), F.col("word_a").alias("near"), F.col("n_a").alias("near_n")))).alias("p"))
+        F.struct(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")),
+        F.struct(F.col("b.word").alias("word"), F.col("b.n").alias("n"), F.col("a.word").alias("near"), F.col("a.n").alias("near_n")))).alias("p"))
     return both.select("p.*").repartition("word").distinct()
 
 
