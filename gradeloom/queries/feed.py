@@ -145,27 +145,39 @@ class Feed:
         return rows.groupBy("course_id", "day").agg(F.max_by("on", "k").alias("on"))
 
     # --------------------------------------------------------------------- risk
+    def _work(self) -> DataFrame:
+        """Orders as hand-ins: 25 customers are a section, which has a course for urgent and one for other work; a year is an item."""
+        course = F.floor(F.col("o_custkey") / 25) * 2 + F.when(F.substring("o_orderpriority", 1, 1) < "3", 0).otherwise(1)
+        return self.orders.withColumns({"course_id": course.cast("string"), "year": F.year("o_orderdate")}).withColumn(
+            "assignment_id", F.concat_ws("-", "course_id", "year"))
+
+    @cached_property
+    def due_items(self) -> DataFrame:
+        """Dated work per course; a few items are not published."""
+        rows = self._work().select("course_id", "assignment_id", "year").distinct()
+        return rows.select("course_id", "assignment_id", F.make_timestamp("year", F.lit(12), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("due_at"),
+                           ((F.col("course_id").cast("int") + F.col("year") * 3) % 13 != 0).alias("published"), F.lit(100.0).alias("points_possible"))
+
     @cached_property
     def coursework(self) -> DataFrame:
-        """Orders as dated work: priority is the course, customer the student, order the item."""
-        key, date = F.col("o_orderkey"), F.col("o_orderdate")
-        return self.orders.select(
-            F.substring("o_orderpriority", 1, 1).alias("course_id"), s("o_custkey").alias("user_id"),
-            s("o_orderkey").alias("assignment_id"), date.alias("due_at"), (key % 13 != 0).alias("published"),
-            F.when(F.col("o_orderstatus") == "F", "graded").when(F.col("o_orderstatus") == "O", "submitted")
-            .otherwise("unsubmitted").alias("workflow_state"),
-            F.when(F.col("o_orderstatus") != "P", date + F.make_dt_interval((key % 5).cast("int"))).alias("submitted_at"),
+        """The last hand-in of each customer for an item; who handed in nothing has no row."""
+        last = F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus", "o_totalprice")).alias("x")
+        key, date, status = F.col("x.o_orderkey"), F.col("x.o_orderdate"), F.col("x.o_orderstatus")
+        return self._work().groupBy("course_id", "assignment_id", s("o_custkey").alias("user_id")).agg(last).select(
+            "course_id", "user_id", "assignment_id",
+            F.when(status == "F", "graded").when(status == "O", "submitted").otherwise("unsubmitted").alias("workflow_state"),
+            F.when(status != "P", date + F.make_dt_interval((key % 5).cast("int"))).alias("submitted_at"),
             (key % 17 == 0).alias("missing"), (key % 11 == 0).alias("excused"),
-            F.when(key % 7 == 0, 0.0).otherwise(F.col("o_totalprice")).alias("score"),
-            F.lit(100.0).alias("points_possible"))
+            F.when(key % 7 == 0, 0.0).otherwise(F.col("x.o_totalprice")).alias("score"), F.lit(100.0).alias("points_possible"))
 
     @cached_property
     def enrollment(self) -> DataFrame:
-        courses = self.coursework.select("course_id", "user_id").distinct()
-        people = self.customer.select(s("c_custkey").alias("user_id"), F.col("c_name").alias("name"),
-                                      F.round(F.col("c_acctbal") / 80, 1).alias("current_score"),
-                                      F.expr("timestamp'1999-06-01' + make_dt_interval(cast(c_custkey % 60 as int))").alias("last_seen"))
-        return courses.join(people, "user_id")
+        """Every customer is in both courses of their section, with or without orders."""
+        section = F.floor(F.col("c_custkey") / 25) * 2
+        return self.customer.select(
+            F.explode(F.array(section, section + 1).cast("array<string>")).alias("course_id"), s("c_custkey").alias("user_id"), F.col("c_name").alias("name"),
+            F.round(F.col("c_acctbal") / 80, 1).alias("current_score"),
+            F.expr("timestamp'1999-06-01' + make_dt_interval(cast(c_custkey % 60 as int))").alias("last_seen"))
 
     # --------------------------------------------------------------------- html
     @cached_property
@@ -377,21 +389,28 @@ SELECT course_id, user_id, count(*) FILTER (WHERE status='present' AND m) AS pre
  CAST(coalesce(sum(minutes) FILTER (WHERE status='tardy' AND m),0) AS BIGINT) AS minutes
 FROM (SELECT * FROM roster UNION SELECT course_id, user_id FROM marks) LEFT JOIN
  (SELECT marks.*, meetings.day IS NOT NULL AS m FROM marks LEFT JOIN meetings USING (course_id, day)) USING (course_id, user_id) GROUP BY ALL"""
+FEED_SQL["work"] = """
+SELECT *, course_id || '-' || year(o_orderdate) AS assignment_id FROM
+ (SELECT *, CAST(o_custkey // 25 * 2 + CASE WHEN o_orderpriority[1] < '3' THEN 0 ELSE 1 END AS VARCHAR) AS course_id FROM orders)"""
+FEED_SQL["due_items"] = """
+SELECT DISTINCT course_id, assignment_id, make_timestamp(year(o_orderdate), 12, 1, 0, 0, 0.0) AS due_at,
+ (CAST(course_id AS INT) + year(o_orderdate)*3) % 13 <> 0 AS published FROM work"""
 FEED_SQL["coursework"] = """
-SELECT o_orderpriority[1] AS course_id, CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey AS VARCHAR) AS assignment_id,
- o_orderdate AS due_at, o_orderkey%13<>0 AS published,
- CASE o_orderstatus WHEN 'F' THEN 'graded' WHEN 'O' THEN 'submitted' ELSE 'unsubmitted' END AS workflow_state,
- CASE WHEN o_orderstatus<>'P' THEN o_orderdate + to_days(CAST(o_orderkey%5 AS INT)) END AS submitted_at,
- o_orderkey%17=0 AS missing, o_orderkey%11=0 AS excused, CASE WHEN o_orderkey%7=0 THEN 0.0 ELSE o_totalprice END AS score FROM orders"""
+SELECT course_id, user_id, assignment_id, CASE x.s WHEN 'F' THEN 'graded' WHEN 'O' THEN 'submitted' ELSE 'unsubmitted' END AS workflow_state,
+ CASE WHEN x.s<>'P' THEN x.d + to_days(CAST(x.k%5 AS INT)) END AS submitted_at, x.k%17=0 AS missing, x.k%11=0 AS excused, CASE WHEN x.k%7=0 THEN 0.0 ELSE x.p END AS score
+FROM (SELECT course_id, assignment_id, CAST(o_custkey AS VARCHAR) AS user_id, max({'d': o_orderdate, 'k': o_orderkey, 's': o_orderstatus, 'p': o_totalprice}) AS x FROM work GROUP BY ALL)"""
+FEED_SQL["enrollment"] = """
+SELECT CAST(unnest([c_custkey//25*2, c_custkey//25*2+1]) AS VARCHAR) AS course_id, CAST(c_custkey AS VARCHAR) AS user_id, c_name AS name, round(c_acctbal/80,1) AS g,
+ TIMESTAMP '1999-06-01' + to_days(CAST(c_custkey%60 AS INT)) AS last_seen FROM customer"""
 FEED_SQL["stats"] = """
-SELECT c.course_id, c.user_id, any_value(c_name) AS name, any_value(CASE WHEN g<=100 THEN g END) AS grade,
+SELECT course_id, user_id, any_value(name) AS name, any_value(CASE WHEN g<=100 THEN g END) AS grade,
  list_sort(list_distinct(coalesce(list(assignment_id) FILTER (WHERE absent), []))) AS missing_ids,
  list_sort(list_distinct(coalesce(list(assignment_id) FILTER (WHERE zero), []))) AS zero_ids,
- max(submitted_at) AS last_submit, any_value(TIMESTAMP '1999-06-01' + to_days(CAST(c_custkey%60 AS INT))) AS last_activity_at
-FROM (SELECT *, NOT excused AND (missing OR (submitted_at IS NULL AND workflow_state='unsubmitted')) AS absent,
-  NOT excused AND NOT (missing OR (submitted_at IS NULL AND workflow_state='unsubmitted')) AND score=0 AS zero FROM coursework
-  WHERE published AND due_at <= TIMESTAMP '1999-07-01') c
- JOIN (SELECT *, round(c_acctbal/80,1) AS g FROM customer) ON CAST(c_custkey AS VARCHAR)=c.user_id GROUP BY c.course_id, c.user_id"""
+ max(submitted_at) AS last_submit, any_value(last_seen) AS last_activity_at
+FROM (SELECT *, NOT coalesce(excused, false) AND nothing AS absent, NOT coalesce(excused, false) AND NOT nothing AND score=0 AS zero FROM
+  (SELECT *, coalesce(missing, false) OR (submitted_at IS NULL AND coalesce(workflow_state, 'unsubmitted')='unsubmitted') AS nothing
+   FROM due_items JOIN enrollment USING (course_id) LEFT JOIN coursework USING (course_id, assignment_id, user_id)
+   WHERE published AND due_at <= TIMESTAMP '1999-07-01')) GROUP BY course_id, user_id"""
 FEED_SQL["risk"] = """
 SELECT *, least(100, p0+least(40,missing*10)+least(20,zeros*5)+CASE WHEN missing>0 AND ds>=14 THEN 12 ELSE 0 END+CASE WHEN da>=14 THEN 8 ELSE 0 END) AS score,
  list_filter([CASE WHEN grade<80 THEN 'grade ' || CAST(round_even(grade,0) AS BIGINT) || '%' END,

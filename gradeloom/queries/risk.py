@@ -1,4 +1,4 @@
-"""Risk queries: orders are dated work, customers students, order priority the course."""
+"""Risk queries: orders are hand-ins, years the dated work, customers students in two courses each."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from gradeloom.queries import attendance as attendance_queries
 from gradeloom.queries.feed import EVENT_COURSE, event_course
 from gradeloom.queries.registry import query
 
-USES = "coursework stats risk"
+STATS_USES = "work due_items coursework enrollment stats"
+USES = f"{STATS_USES} risk"
 
 
 def now():
@@ -18,24 +19,27 @@ def now():
 
 def scanned(feed):
     """Items of an earlier check: everything due before 1998."""
-    return feed.coursework.where("published AND due_at <= TIMESTAMP'1998-01-01'")
+    return feed.due_items.where("published AND due_at <= TIMESTAMP'1998-01-01'")
 
 
 def stats(feed):
-    """Two scans: the first state is kept, the second folds only newly due items onto it."""
-    first = risk.fold_stats(None, risk.fold_delta(scanned(feed)), feed.enrollment, now())
-    fresh = risk.due_unscanned(feed.coursework, scanned(feed).select("course_id", "assignment_id"), now())
-    return risk.fold_stats(first, risk.fold_delta(fresh), feed.enrollment, now())
+    """Two scans: the first state is kept, the second folds only newly due items onto it, for all enrolled students."""
+    def delta(items):
+        sent = feed.coursework.join(items, ["course_id", "assignment_id"], "left_semi")
+        return risk.fold_delta(risk.expected_submissions(sent, items, feed.enrollment))
+    first = risk.fold_stats(None, delta(scanned(feed)), feed.enrollment, now())
+    fresh = risk.due_unscanned(feed.due_items, scanned(feed).select("course_id", "assignment_id"), now())
+    return risk.fold_stats(first, delta(fresh), feed.enrollment, now())
 
 
-@query("due_unscanned", """SELECT course_id, assignment_id, due_at FROM coursework WHERE published AND due_at <= TIMESTAMP '1999-07-01'
- AND due_at > TIMESTAMP '1998-01-01'""", "coursework")
+@query("due_unscanned", """SELECT course_id, assignment_id, due_at FROM due_items WHERE published AND due_at <= TIMESTAMP '1999-07-01'
+ AND due_at > TIMESTAMP '1998-01-01'""", "work due_items")
 def due_unscanned(feed):
-    return risk.due_unscanned(feed.coursework, scanned(feed).select("course_id", "assignment_id"), now()).select(
+    return risk.due_unscanned(feed.due_items, scanned(feed).select("course_id", "assignment_id"), now()).select(
         "course_id", "assignment_id", "due_at")
 
 
-@query("risk_fold", "SELECT course_id, user_id, name, grade, missing_ids, zero_ids, last_submit, last_activity_at FROM stats", "coursework stats")
+@query("risk_fold", "SELECT course_id, user_id, name, grade, missing_ids, zero_ids, last_submit, last_activity_at FROM stats", STATS_USES)
 def risk_fold(feed):
     return stats(feed).select("course_id", "user_id", "name", "grade", "missing_ids", "zero_ids", "last_submit", "last_activity_at")
 
