@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions.text import mask_pii, slug, word_count
 from gradeloom.operators import audit, identity
 from gradeloom.queries.registry import query
+from gradeloom.streaming import upserts
 
 
 def c(n):
@@ -54,6 +55,22 @@ def mask_roster(feed):
     return identity.mask_roster(texts(feed), roster(feed))
 
 
+NICKS = f"""{PEOPLE}, nicks AS (SELECT *, CASE c_custkey%4 WHEN 0 THEN 'Ziz' || substr(last, 3) WHEN 1 THEN 'Rusty' WHEN 2 THEN 'Al' ELSE '' END AS nick FROM roster)"""
+
+
+@query("mask_nicknames", f"""WITH {NICKS} SELECT course_id, c_custkey AS text_id, CASE c_custkey%4
+ WHEN 0 THEN 'See ' || tag || ' or ' || tag || ', or ' || tag || '; ' || upper(nick) || 's.' WHEN 1 THEN 'See ' || tag || ' or Rusty, or rusty; RUSTYs.' WHEN 2 THEN 'See ' || tag || ' or Al, or al; ALs.'
+ ELSE 'See ' || tag || ' or , or ; s.' END AS text FROM nicks""")
+def mask_nicknames(feed):
+    """Nicknames: quoted inside the name, alone, in lower case, and as part of a longer word; short ones and ordinary words stay alone."""
+    k = c("c_custkey") % 4
+    nick = F.when(k == 0, F.concat(F.lit("Ziz"), F.substr("last", F.lit(3)))).when(k == 1, "Rusty").when(k == 2, "Al").otherwise("")
+    people = roster(feed).withColumn("nickname", nick)
+    shown = F.when(c("nickname") == "", c("name")).otherwise(F.concat(c("first"), F.lit(' "'), c("nickname"), F.lit('" '), c("last")))
+    text = F.concat(F.lit("See "), shown, F.lit(" or "), "nickname", F.lit(", or "), F.lower("nickname"), F.lit("; "), F.upper("nickname"), F.lit("s."))
+    return identity.mask_roster(people.select("course_id", c("c_custkey").alias("text_id"), text.alias("text")), people).select("course_id", "text_id", "text")
+
+
 @query("unmask", f"WITH {PEOPLE} SELECT course_id, c_custkey AS text_id, 'Tell ' || name || ', not Student-9999: ' || name || '.' AS text FROM roster")
 def unmask(feed):
     rows = roster(feed).select("course_id", c("c_custkey").alias("text_id"), F.concat(F.lit("Tell "), "tag", F.lit(", not Student-9999: "), "tag", F.lit(".")).alias("text"))
@@ -80,19 +97,19 @@ def near_name(feed):
 
 @query("name_top3", f"""WITH {PEOPLE} SELECT course_id, written, place, name, tag, CAST(distance AS INT) AS distance FROM (SELECT w.course_id, w.written, r.name, r.tag, levenshtein(lower(w.written), lower(r.name)) AS distance,
  row_number() OVER (PARTITION BY w.course_id, w.written ORDER BY levenshtein(lower(w.written), lower(r.name)), r.name, r.tag) AS place
- FROM (SELECT DISTINCT course_id, substr(name, 1, 9) AS written FROM roster WHERE c_custkey%10=0) w JOIN roster r USING (course_id) WHERE levenshtein(lower(w.written), lower(r.name)) <= 6) WHERE place <= 3""")
+ FROM (SELECT DISTINCT course_id, name AS written FROM roster) w JOIN roster r USING (course_id) WHERE levenshtein(lower(w.written), lower(r.name)) <= 6) WHERE place <= 3""")
 def name_top3(feed):
-    typed = roster(feed).where("c_custkey % 10 = 0").select("course_id", F.left("name", F.lit(9)).alias("written")).distinct()
-    return identity.nearest_names(typed, roster(feed))
+    """Every whole name of every customer against the names of its course."""
+    people = roster(feed)
+    return identity.nearest_names(people.select("course_id", F.col("name").alias("written")).distinct(), people)
 
 
 @query("name_top3_all", f"""WITH {PEOPLE} SELECT course_id, written, place, name, tag, CAST(distance AS INT) AS distance FROM (SELECT w.course_id, w.written, r.name, r.tag, levenshtein(lower(w.written), lower(r.name)) AS distance,
  row_number() OVER (PARTITION BY w.course_id, w.written ORDER BY levenshtein(lower(w.written), lower(r.name)), r.name, r.tag) AS place
  FROM (SELECT DISTINCT course_id, name AS written FROM roster) w JOIN roster r USING (course_id) WHERE levenshtein(lower(w.written), lower(r.name)) <= 6) WHERE place <= 3""")
 def name_top3_all(feed):
-    """Every whole name of every customer; ``name_top3`` is the same on a tenth of them, as its SQL has it."""
-    people = roster(feed)
-    return identity.nearest_names(people.select("course_id", F.col("name").alias("written")).distinct(), people)
+    """The former name of ``name_top3``."""
+    return name_top3(feed)
 
 
 @query("display_name", """SELECT c_custkey, CASE c_custkey%5 WHEN 0 THEN 'Ann "Bo" Lee' WHEN 1 THEN 'Ann Lee' WHEN 2 THEN 'Ann "O''Neil" May Lee' WHEN 3 THEN 'Ann Lee' ELSE '"Bo"' END AS shown FROM customer""")
@@ -174,11 +191,31 @@ def audit_verify(feed):
     rows = stage(chained(feed))
     ch = c("chain_id").cast("int") % 4
     line = F.when((ch == 1) & (c("seq") == 5), F.regexp_replace("line", '"sentence": "', '"sentence": "x')).otherwise(c("line"))
-    kept = rows.where(~((ch == 2) & (c("seq") == 6))).select("chain_id", "seq", F.substring(F.get_json_object("line", "$.at"), 1, 10).alias("file"), line.alias("line"))
-    files = kept.groupBy("chain_id", "file").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("l")).select(
-        "chain_id", "file", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n\nnot json\n")).alias("value"))
+    kept = rows.where(~((ch == 2) & (c("seq") == 6))).select("chain_id", "seq", day(), line.alias("line"))
     mark = rows.groupBy("chain_id").agg((F.max("seq") + F.when(ch == 3, 2).otherwise(0)).alias("seq"), F.max_by("hash", "seq").alias("hash"))
-    return audit.audit_verify(audit.parse_log(audit.read_log(files)), mark)
+    return audit.audit_verify(audit.parse_log(audit.read_log(feed.spark, day_files(feed, kept))), mark)
+
+
+def day():
+    return F.substring(F.get_json_object("line", "$.at"), 1, 10).alias("file")
+
+
+def day_files(feed, rows) -> str:
+    """Log rows as one text file per chain and day, a blank and a broken line at the end of each."""
+    path = upserts.new_folder(feed.spark, "log")
+    junk = rows.select("chain_id", "file").distinct().select("chain_id", F.lit(1 << 60).cast("bigint").alias("seq"), "file", F.explode(F.array(F.lit(""), F.lit("not json"))).alias("line"))
+    (rows.unionByName(junk).repartition("chain_id", "file").sortWithinPartitions("chain_id", "file", "seq", "line")
+     .select("chain_id", "file", "line").write.partitionBy("chain_id", "file").text(path))
+    return path
+
+
+@query("log_lines", """SELECT chain_id, file, CAST(row_number() OVER (PARTITION BY chain_id, file ORDER BY ts, event_id) - 1 AS BIGINT) AS line, event_id AS entry_id FROM
+ (SELECT CAST(user_id%10 AS VARCHAR) AS chain_id, strftime(ts, '%Y-%m-%d') AS file, event_id, ts FROM events)""")
+def log_lines(feed):
+    """The whole log as day files, split into small blocks, each line with its number."""
+    rows = chained(feed).select("chain_id", "seq", day(), "line")
+    read = audit.read_log(feed.spark, day_files(feed, rows))
+    return read.select("chain_id", "file", "line", F.get_json_object("raw", "$.entry_id").cast("bigint").alias("entry_id"))
 
 
 @query("canonical_digest", r"""SELECT event_id, sha256('{"event":"' || event_type || '","k":' || regexp_extract(props, '([0-9]+)', 1) || ',"name":"\u00e9t\u00e9"}') AS digest FROM events""")
