@@ -54,3 +54,17 @@ def slug(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     body = squash(text)
     return F.when(body == "", 0).otherwise(F.size(F.split(body, " ")))
+
+
+def norm_title(text: Column) -> Column:
+    """A title as letters and digits alone, for matching: a few references read, markup and the rest dropped."""
+    read = F.coalesce(text, F.lit(""))
+    for name, plain in (("&amp;", "&"), ("&mdash;", "-"), ("&ndash;", "-"), ("&ldquo;", '"'), ("&rdquo;", '"')):
+        read = F.replace(read, F.lit(name), F.lit(plain))
+    return F.lower(F.regexp_replace(F.regexp_replace(read, r"<[^>]+>", ""), r"[^a-zA-Z0-9]", ""))
+
+
+def clip(text: Column, size: int = 240) -> Column:
+    """Squashed text of at most ``size`` characters, an ellipsis being the last where some is left out."""
+    body = squash(text)
+    return F.when(F.length(body) <= size, body).otherwise(F.concat(F.left(body, F.lit(size - 1)), F.lit("…")))

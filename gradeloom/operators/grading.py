@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -179,6 +181,26 @@ def stack_curve(flat: Column, by_criterion: Column, scope: str, delta: Column) -
     return flat, F.map_concat(rest, F.create_map(F.lit(scope), F.round(old + delta, 4)))
 
 
+def curve_pool(plan: DataFrame, rest: DataFrame, keys: list[str], scope: str, total: Callable[[Column, Column], Column],
+               possible: Column, flat: str = "curve_flat", by_criterion: str = "curve_by") -> DataFrame:
+    """What a curve does to the whole graded pool: figures and letters before and after, of the plan's students and the ``rest``.
+
+    The plan's steps are stacked on the curves already there (``stack_curve``); ``total(flat, by_criterion)`` is a student's final total
+    under a curve. A plan keeps the entries' columns, so both parts are one table without a join.
+    """
+    rows = plan.select(*rest.columns, "delta").unionByName(rest.withColumn("delta", F.lit(0.0)))
+    new_flat, new_by = stack_curve(F.col(flat), F.col(by_criterion), scope, F.col("delta"))
+    rows = rows.withColumns({"_was": total(F.col(flat), F.col(by_criterion)), "_flat": new_flat, "_by": new_by})
+    rows = rows.withColumn("_now", F.when(F.col("delta") == 0, F.col("_was")).otherwise(total(F.col("_flat"), F.col("_by")))).withColumn("_p", possible)
+    names = [n for n, _ in LETTER_SCALE] + [FAIL_LETTER]
+    figures = []
+    for side, value in (("before", F.col("_was")), ("after", F.col("_now"))):
+        mark = letter(percent_of(value, F.col("_p")))
+        figures += [exact_mean(value, 2).alias(f"mean_{side}"), F.round(exact_median(value), 2).alias(f"median_{side}"),
+                    F.array(*[F.count_if(mark == n) for n in names]).alias(f"letters_{side}")]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("delta") != 0).alias("n_changed"), *figures)
+
+
 def weak_row_evidence(scored: DataFrame, health: DataFrame, keys: list[str], user: str, scores: str = "scores",
                       criteria: int = 3, students: int = 6) -> DataFrame:
     """The lowest scorers of each assignment's weakest criteria, candidates for their notes."""
@@ -219,13 +241,14 @@ def complete_submissions(enrolled: DataFrame, submissions: DataFrame, keys: list
 
 def grade_export(entries: DataFrame, criteria: list[tuple[str, str]], scored: Column, earned: Column,
                  total: Column, possible: Column) -> DataFrame:
-    """A wide grade sheet: one row per student, one column per criterion."""
+    """A wide grade sheet: one row per student, one column per criterion; with ``name`` in the entries also that and the row's place by name."""
     rows = entries.withColumn("_s", scored).withColumn("_e", earned).withColumn("_t", total).withColumn("_p", possible)
     when = lambda c: F.when(F.col("_s"), c)
     pct = F.round(percent_of(F.col("_t"), F.col("_p")), 1)
     change = F.round(F.col("_t") - F.col("_e"), 2)
+    named = ["name", F.row_number().over(W.partitionBy("assignment_id").orderBy(F.lower("name"), "user_id")).alias("place")] if "name" in entries.columns else []
     return rows.select(
-        "assignment_id", "user_id", when(F.col("_e")).alias("earned"), when(F.when(change != 0, change)).alias("curve"),
+        "assignment_id", "user_id", *named, when(F.col("_e")).alias("earned"), when(F.when(change != 0, change)).alias("curve"),
         when(F.col("_t")).alias("total"), F.col("_p").alias("points_possible"), when(pct).alias("percent"),
         when(letter(pct)).alias("letter"), "source", F.array_join("flags", "; ").alias("flags"),
         *[F.col("scores")[cid].alias(name) for cid, name in criteria],

@@ -56,26 +56,34 @@ def absolute_url(url: Column, base: str) -> Column:
 def message_assets(messages: DataFrame, key: str, base: str) -> DataFrame:
     """One row per file on a message: attachments, then the recording, then images and file links in
     the body; the first of each file stays. ``messages``: key, body, attachments
-    array<struct<id,name,mime,url>>, media struct<id,name,mime,url>."""
-    shape = lambda rank, i, ident, name, mime, url, hint: F.struct(
-        F.lit(rank).alias("rank"), i.alias("at"), ident.alias("ident"), name.alias("name"), mime.alias("mime"), url.alias("raw"), F.lit(hint).alias("hint"))
+    array<struct<id,name,mime,url>>, media struct<id,name,mime,url>, and where it forwards others ``forwarded``
+    array<struct<body,attachments,media>> in their order, whose files follow its own. A recording is known by its media id."""
+    own = messages.select(key, F.lit(0).alias("_seq"), "body", "attachments", "media")
+    if "forwarded" in messages.columns:
+        passed = messages.select(key, F.posexplode("forwarded").alias("_at", "m")).select(key, (F.col("_at") + 1).alias("_seq"), "m.body", "m.attachments", "m.media")
+        own = own.unionByName(passed)
+    messages = own
+    shape = lambda rank, i, ident, name, mime, url, hint, media=None: F.struct(
+        F.lit(rank).alias("rank"), i.alias("at"), (F.lit(None).cast("string") if media is None else media).alias("media_id"), ident.alias("ident"), name.alias("name"), mime.alias("mime"), url.alias("raw"), F.lit(hint).alias("hint"))
     blank = F.lit("")
     attached = F.transform(F.filter("attachments", lambda a: a["id"].rlike(r"^\d+$")), lambda a, i: shape(0, i, a["id"], F.coalesce(a["name"], F.lit("file")), F.coalesce(a["mime"], blank), a["url"], ""))
     m = F.col("media")
-    media = F.when(m["url"].isNotNull(), F.array(shape(1, F.lit(0), F.lit(None).cast("string"), F.coalesce(m["name"], F.lit("recording")), F.coalesce(m["mime"], blank), m["url"], "")))
+    media = F.when(m["url"].isNotNull(), F.array(shape(1, F.lit(0), F.lit(None).cast("string"), F.coalesce(m["name"], F.lit("recording")), F.coalesce(m["mime"], blank), m["url"], "",
+                                                         F.left(F.regexp_replace(F.coalesce(m["id"], blank), "[^A-Za-z0-9_-]", ""), F.lit(40)))))
     attr = lambda tag, n: F.regexp_extract(tag, rf'(?i)\b{n}\s*=\s*"([^"]*)"', 1)
     images = F.transform(F.regexp_extract_all("body", F.lit(r"(?i)<img\b[^>]*>"), F.lit(0)), lambda t, i: shape(
         2, i, F.lit(None).cast("string"), F.coalesce(F.nullif(attr(t, "alt"), blank), F.lit("image")), blank, attr(t, "src"), "image"))
     links = F.transform(F.filter(F.regexp_extract_all("body", F.lit(r"(?is)<a\b[^>]*>.*?</a>"), F.lit(0)), lambda t: attr(t, "href").rlike(r"/files/\d+")), lambda t, i: shape(
         3, i, F.lit(None).cast("string"), F.coalesce(F.nullif(F.trim(F.regexp_replace(t, ANY_TAG, "")), blank), F.lit("file")), blank, attr(t, "href"), ""))
-    none = F.slice(attached, 1, 0)
-    rows = messages.select(key, F.inline(F.concat(attached, F.coalesce(media, none), images, links)))
+    none = F.array().cast("array<struct<rank:int,at:int,media_id:string,ident:string,name:string,mime:string,raw:string,hint:string>>")
+    rows = messages.select(key, "_seq", F.inline(F.concat(F.coalesce(attached, none), F.coalesce(media, none), images, links)))
     rows = rows.withColumn("url", absolute_url(F.col("raw"), base)).where("url IS NOT NULL")
     fid = F.coalesce("ident", F.nullif(F.regexp_extract("url", r"/files/(\d+)", 1), blank))
-    ident = F.coalesce(F.concat(F.lit("a-"), fid), F.concat(F.lit("u-"), F.sha2("url", 256)))
+    told = F.nullif("media_id", blank)
+    ident = F.coalesce(F.concat(F.lit("a-"), fid), F.concat(F.lit("u-"), F.sha2(F.coalesce(F.concat(F.lit("media:"), told), F.col("url")), 256)))
     kind = file_kind(F.col("mime"), F.col("name"), F.col("url"))
     kind = F.when((F.col("hint") == "image") & (kind == "file") & ~F.lower("url").contains("svg"), "image").otherwise(kind)
-    rows = rows.select(key, ident.alias("asset"), F.struct("rank", "at").alias("o"), F.struct("name", kind.alias("kind"), "url").alias("v"))
+    rows = rows.select(key, ident.alias("asset"), F.struct("_seq", "rank", "at").alias("o"), F.struct("name", kind.alias("kind"), "url").alias("v"))
     return rows.groupBy(key, "asset").agg(F.min_by("v", "o").alias("v")).select(key, "asset", "v.*")
 
 

@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.scores import PLACEHOLDER_SOURCES, same_score
 
-# Fixed value: how much history one person keeps.
-
-
 def three_way_merge(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
     """Draft grades against the gradebook, with the last agreed score as the baseline.
 
     ``local``: total (final), source, synced_score, in_conflict. ``remote``: score, status,
     needs_written. One full outer join; the outcome ladder is one expression.
+
+    Where ``remote`` has ``cells`` (map criterion to points) and ``local`` ``scores`` and ``total_only``, they are merged too: an adopted
+    grade takes the cells of criteria in ``remote.criteria`` (all, if there are none) when they add up to its score; else it has no cells
+    and is marked ``total_only``, for then its total alone is known.
     """
-    j = local.select(*keys, F.col("total"), "source", "synced_score", "in_conflict", F.lit(True).alias("_l")).join(
-        remote.select(*keys, "score", "status", "needs_written", F.lit(True).alias("_r")), keys, "full_outer")
+    with_cells = "cells" in remote.columns
+    mine = ["total", "source", "synced_score", "in_conflict", *(["scores", "total_only"] if with_cells else [])]
+    theirs = ["score", "status", "needs_written", *(["cells", "criteria"] if with_cells else [])]
+    j = local.select(*keys, *mine, F.lit(True).alias("_l")).join(remote.select(*keys, *theirs, F.lit(True).alias("_r")), keys, "full_outer")
     c = F.col
     placeholder = c("_l").isNull() | c("total").isNull() | F.coalesce(c("source").isin(*PLACEHOLDER_SOURCES), F.lit(False))
     base_known = c("synced_score").isNotNull()
@@ -33,8 +36,16 @@ def three_way_merge(local: DataFrame, remote: DataFrame, keys: list[str]) -> Dat
     j = j.withColumn("outcome", outcome)
     takes = c("outcome") == "adopted"
     agrees = takes | (c("outcome") == "in_sync")
+    cells = []
+    if with_cells:
+        known = F.map_filter(F.coalesce("cells", F.create_map().cast("map<string,double>")), lambda k, _v: (F.coalesce(F.size("criteria"), F.lit(0)) <= 0)
+                             | F.array_contains("criteria", k))
+        adds_up = (F.size(known) > 0) & same_score(F.aggregate(F.map_values(known), F.lit(0.0), lambda a, v: a + v), F.round("score", 2))
+        none = F.map_filter(known, lambda _k, _v: F.lit(False))
+        cells = [F.when(takes, F.when(adds_up, known).otherwise(none)).otherwise(c("scores")).alias("scores"),
+                 F.when(takes, ~adds_up).otherwise(c("total_only")).alias("total_only")]
     return j.select(
-        *keys, "outcome", F.when(takes, F.round("score", 2)).otherwise(c("total")).alias("total"),
+        *keys, "outcome", *cells, F.when(takes, F.round("score", 2)).otherwise(c("total")).alias("total"),
         F.when(takes, "lms").otherwise(c("source")).alias("source"),
         F.when(agrees, F.round("score", 2)).otherwise(c("synced_score")).alias("synced_score"),
         F.when(c("outcome") == "conflict", F.struct(c("score").alias("remote_score"), c("total").alias("local_score"))).alias("conflict"))

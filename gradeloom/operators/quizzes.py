@@ -98,6 +98,14 @@ def fold_auto(written: Column, auto: Column) -> Column:
                     F.map_concat(own, F.create_map(F.lit("_quiz_auto"), auto)).alias("scores"))
 
 
+def question_scores(recorded: Column, cells: Column) -> Column:
+    """Map of question to points to post: what is recorded per question, else the rubric's ``q<number>`` cells. Zero is a grade, null none."""
+    own = F.map_filter(recorded, lambda k, v: v.isNotNull() & (k != ""))
+    asked = F.map_filter(cells, lambda k, v: k.rlike(r"^q\d+$") & v.isNotNull())
+    by_id = F.transform_keys(asked, lambda k, _v: F.substring(k, 2, 1 << 30))
+    return F.map_concat(own, F.map_filter(by_id, lambda k, _v: ~F.map_contains_key(own, k)))
+
+
 def question_shape(q: DataFrame, keys: list[str]) -> DataFrame:
     """Three spellings of a question to one. Column pairs: text/question_text, type/question_type,
     points/points_possible, name/question_name; answers as struct(text, answer_text, weight,

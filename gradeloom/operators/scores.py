@@ -108,6 +108,11 @@ def a11y_multi_course(forecast: DataFrame) -> DataFrame:
                         F.round(F.avg("before"), 1).alias("before"), F.round(F.avg("after"), 1).alias("after"))
 
 
+def unscanned_courses(courses: DataFrame, forecast: DataFrame, course: str) -> DataFrame:
+    """Courses without a scored file of any kind; they are no part of the mean."""
+    return courses.select(course).distinct().join(forecast.select(course), course, "left_anti")
+
+
 def worst_files(scored: DataFrame, course: str, key: str, top: int = WORST) -> DataFrame:
     order = W.partitionBy(course).orderBy("after", key)
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select(

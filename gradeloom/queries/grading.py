@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradeloom.functions import late_policy, scores
 from gradeloom.operators import grading
 from gradeloom.queries.registry import query
+from gradeloom.sources import snapshots
+from gradeloom.staging import shared_folder
 
 A = ["assignment_id"]
 
@@ -249,6 +253,78 @@ def grade_export(feed):
                                 scored(), earned(), shown(), possible())
 
 
+@query("grade_sheet", """SELECT assignment_id, user_id, name, CAST(row_number() OVER (PARTITION BY assignment_id ORDER BY lower(name), user_id) AS INT) AS place, CASE WHEN scored THEN shown END AS total
+ FROM (SELECT f.*, c_name AS name FROM final f JOIN orders ON o_orderkey = CAST(split_part(user_id, '-', 1) AS BIGINT) JOIN customer ON c_custkey=o_custkey)""", "grades final")
+def grade_sheet(feed):
+    """Sheets with names, written to the sink and read back."""
+    people = feed.orders.join(feed.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("_k"), F.col("c_name").alias("name"))
+    rows = feed.grades.withColumn("_k", F.substring_index("user_id", "-", 1).cast("bigint")).join(people, "_k").withColumn("comment", F.lit(""))
+    sheet = grading.grade_export(rows, [("c1", "Depth of Work")], scored(), earned(), shown(), possible())
+    path = f"{shared_folder(feed.spark)}/sheet-{uuid.uuid4().hex}"
+    snapshots.write_grade_sheet(sheet, path)
+    back = feed.spark.read.option("header", True).csv(path)
+    return back.select(F.col("assignment_id").cast("string").alias("assignment_id"), "user_id", "name", F.col("place").cast("int").alias("place"), F.col("total").cast("double").alias("total"))
+
+
+CRITERION = """SELECT *, b + 4 AS raw, CAST(split_part(user_id, '-', 2) AS INT) <= 4 AS picked FROM (SELECT *, greatest(0.0, least(c1 + curve_c1, 50.0)) AS b FROM final WHERE scored)"""
+POOLED = f"""SELECT *, CASE WHEN delta=0 THEN shown ELSE round(least(68.0, greatest(0.0, CASE WHEN total_only THEN total ELSE greatest(0.0, least(c1+round(curve_c1+delta,4),50.0))+least(c2,10.0)+least(c3,8.0) END + curve_flat)),2) END AS curved
+ FROM (SELECT *, CASE WHEN picked THEN round(least(greatest(raw,b),50.0)-b,2) ELSE 0 END AS delta FROM ({CRITERION}))"""
+
+
+def letters_sql(value):
+    p = f"round(100.0*{value}/68,10)"
+    cuts = [(90, None), (80, 90), (70, 80), (60, 70), (None, 60)]
+    parts = [" AND ".join(x for x in (f"{p}>={lo}" if lo else "", f"{p}<{hi}" if hi else "") if x) for lo, hi in cuts]
+    return "[" + ", ".join(f"count(*) FILTER (WHERE {x})" for x in parts) + "]"
+
+
+def picked():
+    return F.substring_index("user_id", "-", -1).cast("int") <= 4
+
+
+def criterion_plan(feed):
+    before = F.greatest(F.lit(0.0), F.least(F.col("scores")["c1"] + F.coalesce(F.col("curve_by")["c1"], F.lit(0.0)), F.lit(50.0)))
+    return grading.curve_plan(graded(feed), A, "flat", before, F.lit(50.0), 4.0, None, picked())
+
+
+@query("curve_criterion", f"""SELECT assignment_id, user_id, round(b,2) AS before, round(least(greatest(raw,b),50.0),2) AS after, round(least(greatest(raw,b),50.0)-b,2) AS delta, raw > 50 AS capped
+ FROM ({CRITERION}) WHERE picked""", "grades final")
+def curve_criterion(feed):
+    """A curve of one criterion for picked students, on top of the curve it has."""
+    return criterion_plan(feed).select("assignment_id", "user_id", "before", "after", "delta", "capped")
+
+
+@query("curve_pool", f"""SELECT assignment_id, count(*) AS n, count(*) FILTER (WHERE delta<>0) AS n_changed, round(sum(CAST(shown AS DECIMAL(18,2)))::DOUBLE/count(*)+1e-9,2) AS mean_before,
+ round((median(CAST(round(shown*100) AS BIGINT))/100.0+1e-9),2) AS median_before, {letters_sql("shown")} AS letters_before, round(sum(CAST(curved AS DECIMAL(18,2)))::DOUBLE/count(*)+1e-9,2) AS mean_after,
+ round((median(CAST(round(curved*100) AS BIGINT))/100.0+1e-9),2) AS median_after, {letters_sql("curved")} AS letters_after FROM ({POOLED}) GROUP BY 1""", "grades final")
+def curve_pool(feed):
+    """The criterion curve stacked on everyone's curve, and what it does to the whole pool."""
+    total = lambda flat, by: scores.final_total(F.col("scores"), F.col("total"), F.col("total_only"), rubric_map(), possible(), flat, by)
+    return grading.curve_pool(criterion_plan(feed), graded(feed).where(~picked()), A, "c1", total, possible())
+
+
+LMS = """SELECT p.*, CAST(assignment_id AS INT)%3=0 AS lms, CASE WHEN CAST(assignment_id AS INT)%2=0 THEN 'hour' ELSE 'day' END AS lms_interval FROM policies p"""
+
+
+@query("late_platform", f"""SELECT assignment_id, kind, flag, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, round(sum(points),2) AS points FROM
+ (SELECT assignment_id, units, CASE WHEN lms THEN 'lms' WHEN none THEN 'none_accepted' ELSE kind END AS kind,
+   CASE WHEN lms THEN NULL WHEN none THEN 'late penalty: not accepted' WHEN docks THEN 'late penalty applied' END AS flag,
+   CASE WHEN lms THEN NULL WHEN none THEN round(total,2) WHEN docks AND kind='flat_percent' THEN round(total*percent/100.0,2)
+    WHEN docks THEN round(total*least(percent*units, 100.0-floor_percent)/100.0,2) END AS points
+  FROM (SELECT *, kind='none_accepted' OR coalesce(kind IN ('percent_per_day','percent_per_hour') AND units > max_days, false) AS none, units > 0 AND kind IN ('flat_percent','percent_per_day','percent_per_hour') AS docks FROM
+   (SELECT *, CASE WHEN seconds_late - grace_hours*3600 > 0 THEN ceil((seconds_late - grace_hours*3600) / CASE WHEN i='hour' THEN 3600 ELSE 86400 END) ELSE 0 END AS units
+    FROM (SELECT l.*, p.*, CASE WHEN lms THEN lms_interval ELSE interval END AS i FROM late_rows l JOIN ({LMS}) p USING (assignment_id) WHERE late)))) GROUP BY ALL""", "syllabi policies late_rows")
+def late_platform(feed):
+    """Where the platform deducts for lateness itself, the penalty is recorded and nothing is docked twice."""
+    k = F.col("assignment_id").cast("int")
+    lms = F.struct((k % 3 == 0).alias("enabled"), F.when(k % 2 == 0, "hour").otherwise("day").alias("interval"), F.lit(10.0).alias("percent"),
+                   (k % 5 == 0).alias("floor_enabled"), F.lit(20.0).alias("floor_percent"))
+    both = policies(feed).select("assignment_id", late_policy.with_lms_policy(F.col("p"), lms).alias("p"))
+    rows = feed.late_rows.join(both, A).select("assignment_id", scores.late_penalty(F.col("late"), F.col("seconds_late"), F.col("total"), F.col("p")).alias("lp")).where("lp IS NOT NULL")
+    return rows.groupBy("assignment_id", F.col("lp.kind").alias("kind"), F.col("lp.flag").alias("flag")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("lp.units").alias("units"), F.round(F.sum("lp.points"), 2).alias("points"))
+
+
 AU = ["assignment_id", "user_id"]
 
 

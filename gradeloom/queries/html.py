@@ -279,3 +279,64 @@ def a11y_forecast_parts(feed):
     listed = n.select("course_id", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), c.cast("long").alias("listed")) for p, c in (
         ("Pages", F.col("n")), ("PDFs", F.floor(F.col("n") / 2)), ("PowerPoint", F.lit(None)), ("Word", F.lit(0)))])))
     return scores.forecast_parts(scored(feed), listed, "course_id")
+
+
+# Files that are no pages: parts are office files, suppliers PDFs.
+OFFICE = """SELECT CAST(p_partkey%30 AS VARCHAR) AS course_id, CAST(p_partkey AS VARCHAR) AS file_id, CASE WHEN p_size%2=0 THEN 'Word' ELSE 'PowerPoint' END AS part, before, CASE WHEN fixed THEN after ELSE before END AS after, fixed FROM
+ (SELECT *, round(100.0 - least(p_size%4 + p_size%3, 3)*12 - least(p_size%5, 3)*8 - least(p_size%6, 3)*10, 1) AS before, p_size%3<>1 AS fixed,
+  round(100.0 - least(p_size%4, 3)*12 - least(p_size%5 - least(p_size%5, p_size%2), 3)*8 - CASE WHEN p_size%7=0 THEN 0 ELSE least(p_size%6, 3)*10 END, 1) AS after FROM part)"""
+PDFS = """SELECT CAST(s_suppkey%30 AS VARCHAR) AS course_id, CAST(s_suppkey AS VARCHAR) AS file_id, 'PDFs' AS part, round(greatest(0, 100.0 - b), 1) AS before, round(greatest(0, 100.0 - CASE WHEN fixed THEN a ELSE b END), 1) AS after, fixed FROM
+ (SELECT s_suppkey, s_suppkey%2=0 AS fixed, CASE s_suppkey%4 WHEN 0 THEN 105 WHEN 1 THEN 65 ELSE 0 END + least(s_suppkey%5, 3)*8 AS b,
+  CASE WHEN s_suppkey%4<2 AND s_suppkey%3=1 THEN 20 ELSE 0 END + least(s_suppkey%5, 3)*8 AS a FROM supplier)"""
+
+
+def office(feed):
+    size = F.col("p_size")
+    rows = feed.part.select(
+        (F.col("p_partkey") % 30).cast("string").alias("course_id"), F.col("p_partkey").cast("string").alias("file_id"), (size % 2).alias("_odd"),
+        (size % 4).alias("alt_todo"), (size % 3).alias("alt_done"), (size % 5).alias("untitled"), F.least(size % 5, size % 2).alias("titled"),
+        (size % 6).alias("headerless"), (size % 7 == 0).alias("headers_fixed"), (size % 3 != 1).alias("fixed"))
+    word = scores.office_before_after(rows.where("_odd = 0"), ["course_id", "file_id"], "Word")
+    return word.unionByName(scores.office_before_after(rows.where("_odd = 1"), ["course_id", "file_id"], "PowerPoint"))
+
+
+def pdfs(feed):
+    k = F.col("s_suppkey")
+    rows = feed.supplier.select(
+        (k % 30).cast("string").alias("course_id"), k.cast("string").alias("file_id"),
+        F.when(k % 4 == 0, "scanned image").when(k % 4 == 1, "text-untagged").when(k % 4 == 2, "tagged").alias("class_before"),
+        (k % 5).alias("figures_waiting"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("compliant"), (k % 2 == 0).alias("fixed"))
+    return scores.pdf_before_after(rows, ["course_id", "file_id"])
+
+
+@query("office_before_after", OFFICE)
+def office_before_after(feed):
+    return office(feed)
+
+
+@query("pdf_before_after", PDFS)
+def pdf_before_after(feed):
+    return pdfs(feed)
+
+
+ALL_FILES = f"SELECT course_id, before, after, fixed FROM ({SCORED}) UNION ALL SELECT course_id, before, after, fixed FROM ({OFFICE}) UNION ALL SELECT course_id, before, after, fixed FROM ({PDFS})"
+FORECAST_ALL = f"""SELECT course_id, files, fixed, round(b,1) AS before, round(a,1) AS after, round(round(a,1)-round(b,1),1) AS gain FROM
+ (SELECT course_id, count(*) AS files, count(*) FILTER (WHERE fixed) AS fixed, avg(before) AS b, avg(after) AS a FROM ({ALL_FILES}) GROUP BY 1)"""
+
+
+def all_forecast(feed):
+    cols = ["course_id", "part", "before", "after", "fixed"]
+    return scores.a11y_forecast(scored(feed).select(cols).unionByName(office(feed).select(cols)).unionByName(pdfs(feed).select(cols)), "course_id")
+
+
+@query("a11y_forecast_files", FORECAST_ALL, "bodies texts")
+def a11y_forecast_files(feed):
+    """Pages, office files and PDFs in one mean per course."""
+    return all_forecast(feed)
+
+
+@query("a11y_unscanned", f"SELECT CAST(c AS VARCHAR) AS course_id FROM (SELECT DISTINCT c_custkey%40 AS c FROM customer) WHERE CAST(c AS VARCHAR) NOT IN (SELECT course_id FROM ({ALL_FILES}))", "bodies texts")
+def a11y_unscanned(feed):
+    """Courses that have no scored file."""
+    courses = feed.customer.select((F.col("c_custkey") % 40).cast("string").alias("course_id"))
+    return scores.unscanned_courses(courses, all_forecast(feed), "course_id")

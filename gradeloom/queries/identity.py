@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradeloom.functions.text import mask_pii, slug, word_count
+from gradeloom.functions.html import asciify
+from gradeloom.functions.text import clip, mask_pii, norm_title, slug, word_count
 from gradeloom.operators import audit, identity
 from gradeloom.queries.registry import query
 from gradeloom.streaming import upserts
@@ -134,6 +135,25 @@ def slugs(feed):
     return feed.part.select("p_partkey", slug(F.concat_ws("  & ", "p_name", "p_type")).alias("slug"), word_count(F.concat_ws("\n ", "p_name", "p_type")).alias("words"))
 
 
+@query("norm_title", r"""SELECT page_id, lower(regexp_replace(regexp_replace(replace(replace(t, '&amp;', '&'), '&mdash;', '-'), '<[^>]+>', '', 'g'), '[^a-zA-Z0-9]', '', 'g')) AS norm
+ FROM (SELECT page_id, '<b>Unit ' || page_id || '</b> &mdash; ' || regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) || ' &amp; more' AS t FROM pages)""")
+def norm_titles(feed):
+    """Titles of the pages themselves, as they are matched."""
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return feed.pages.select("page_id", norm_title(F.concat(F.lit("<b>Unit "), c("page_id").cast("string"), F.lit("</b> &mdash; "), title, F.lit(" &amp; more"))).alias("norm"))
+
+
+@query("clip", r"""SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE substr(t, 1, 239) || '…' END AS clipped FROM
+ (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS t FROM documents)""")
+def clipped(feed):
+    return feed.documents.select("doc_id", clip(c("text")).alias("clipped"))
+
+
+@query("asciify", r"""SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda x: CASE WHEN unicode(x) < 128 THEN x ELSE '&#' || unicode(x) || ';' END), '') AS ascii FROM documents""")
+def asciified(feed):
+    return feed.documents.select("doc_id", asciify(c("text")).alias("ascii"))
+
+
 # --------------------------------------------------------------------- audit
 LOG = """log AS (SELECT CAST(user_id%10 AS VARCHAR) AS chain_id, event_id AS seq, ts AS "at", CAST(user_id%7 AS VARCHAR) AS course_id, event_type AS area, CASE event_id%5 WHEN 0 THEN 'posted' WHEN 1 THEN 'opened' WHEN 2 THEN 'extended' ELSE 'read' END AS action,
  CASE WHEN event_id%9=0 THEN 'error' ELSE 'ok' END AS result, CAST(user_id AS VARCHAR) AS sid, 'User ' || user_id || CASE WHEN event_id%2=0 THEN ' A' ELSE ' B' END AS sname FROM events)"""

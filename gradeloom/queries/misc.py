@@ -59,6 +59,24 @@ def message_assets(feed):
     return out.join(keyed.select("key", "conv_id", "turn").distinct(), "key").select("conv_id", "turn", "asset", "name", "kind")
 
 
+@query("forwarded_assets", """SELECT conv_id, turn, x.asset, x.name, x.kind FROM (SELECT conv_id, turn, unnest(list_concat([{'asset':'a-8','name':'a view','kind':'image'}],
+ CASE WHEN turn%2=0 THEN [{'asset':'a-5','name':'plan.docx','kind':'file'}] ELSE [] END, CASE WHEN turn%3=0 THEN [{'asset':'u-' || sha256('media:m-' || turn),'name':'recording','kind':'audio'}] ELSE [] END)) AS x FROM conversations)""")
+def forwarded_assets(feed):
+    """Messages that forward two others: what these hold comes after their own, each file once, a recording by its media id."""
+    shape = "array<struct<id:string,name:string,mime:string,url:string>>"
+    media = F.when(c("turn") % 3 == 0, F.struct(F.concat(F.lit("m-!"), st("turn")).alias("id"), F.lit(None).cast("string").alias("name"), F.lit("audio/mp4").alias("mime"), F.concat(F.lit("//cdn.example.com/v/"), st("conv_id")).alias("url")))
+    plan = F.struct(F.lit("5").alias("id"), F.lit("plan.docx").alias("name"), F.lit("").alias("mime"), F.lit("/files/5").alias("url"))
+    files_ = F.when(c("turn") % 2 == 0, F.array(plan)).cast(shape)
+    inner = lambda body, attached, m: F.struct(body.alias("body"), attached.alias("attachments"), m.alias("media"))
+    none = F.lit(None)
+    kind = "struct<id:string,name:string,mime:string,url:string>"
+    msgs = feed.conversations.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("key"), F.concat("text", F.lit('<img src="/files/8/v.png" alt="a view">')).alias("body"),
+                                     none.cast(shape).alias("attachments"), none.cast(kind).alias("media"),
+                                     F.array(inner(F.lit('<a href="/files/8">old</a>'), files_, media.cast(kind)), inner(F.lit("x"), files_, media.cast(kind))).alias("forwarded"))
+    out = inbox.message_assets(msgs, "key", "https://lms.example.com")
+    return out.join(msgs.select("key", "conv_id", "turn").distinct(), "key").select("conv_id", "turn", "asset", "name", "kind")
+
+
 def threads(feed):
     k = c("c_custkey")
     return feed.customer.select(

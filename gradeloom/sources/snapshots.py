@@ -42,5 +42,7 @@ def append_log(rows: DataFrame, path: str, at: Column | str = "at") -> None:
 
 
 def write_grade_sheet(sheet: DataFrame, path: str) -> None:
-    """A wide grade sheet as CSV with a header, one folder per run."""
+    """Wide grade sheets as CSV with a header, one folder per run; an assignment's rows together, by place where the sheet has places."""
+    if "place" in sheet.columns:
+        sheet = sheet.repartition("assignment_id").sortWithinPartitions("assignment_id", "place")
     sheet.write.option("header", True).csv(path)
