@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import zlib
+from html import unescape as unescape_one
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -32,22 +34,47 @@ def all_of(html: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(html, F.lit(f"(?is){pattern}"), F.lit(group))
 
 
-def unescape(text: Column) -> Column:
-    """Character references to characters: every named one that ends in ``;`` and the numeric ones."""
-    names = F.from_json(F.lit(json.dumps({k: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+#: Named references dealt to buckets by their CRC, so that a look-up compares a name or two; the longest of those that may lack the ``;``.
+BUCKETS = 512
+OPEN_NAMES = range(max(len(k) for k in html5 if not k.endswith(";")), 1, -1)
+
+
+def _names() -> Column:
+    table: list[dict[str, str]] = [{} for _ in range(BUCKETS)]
+    for name, value in html5.items():
+        table[zlib.crc32(name.encode()) % BUCKETS][name] = value
+    return F.from_json(F.lit(json.dumps(table)), "array<map<string,string>>")
 
-    def decoded(ref):
-        hexed = F.when(ref.rlike(r"^#[xX]"), F.substr(ref, F.lit(3))).otherwise(
-            F.conv(F.when(ref.rlike(r"^#\d"), F.rtrim(F.substr(ref, F.lit(2)), F.lit(";"))), 10, 16))
-        hexed = F.rtrim(hexed, F.lit(";"))
-        ok = ref.startswith("#") & (F.length(hexed) <= 6)
-        char = F.decode(F.unhex(F.lpad(F.when(ok, hexed), 8, "0")), "UTF-32")
-        return F.when(ref.startswith("#"), char).otherwise(F.try_element_at(names, ref))
+
+def unescape(text: Column) -> Column:
+    """Character references to characters, as browsers read them.
+
+    Names may lack the ``;`` where HTML allows it, then the longest name counts. Numbers may lack it too; those of the old Windows page stand
+    for its characters, impossible ones for U+FFFD, and non-characters for nothing.
+    """
+    names, low = _names(), F.array(*[F.lit(unescape_one(f"&#{n};")) for n in range(0xA0)])
+
+    def named(ref):
+        return F.try_element_at(F.get(names, (F.crc32(ref.cast("binary")) % BUCKETS).cast("int")), ref)
+
+    def number(ref):
+        hexed = ref.rlike(r"^#[xX]")
+        digits = F.ltrim(F.regexp_extract(ref, r"^#[xX]?([0-9a-fA-F]+)", 1), F.lit("0"))
+        of = lambda base: F.conv(F.concat(F.lit("0"), digits), base, 10).cast("bigint")
+        n = F.when(F.length(digits) > 8, F.lit(1 << 40)).otherwise(F.when(hexed, of(16)).otherwise(of(10)))
+        bad = n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        none = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(~bad, n)), 8, "0")), "UTF-32")
+        return F.when(n < 0xA0, F.get(low, n.cast("int"))).when(bad, "\ufffd").when(none, "").otherwise(char)
 
     def segment(seg):
-        ref = F.regexp_extract(seg, r"^(#\d{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]*;)", 1)
-        value = F.when(ref != "", decoded(ref))
-        return F.coalesce(F.concat(value, F.substr(seg, F.length(ref) + 1)), F.concat(F.lit("&"), seg))
+        ref = F.regexp_extract(seg, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        # the reference as it stands, then its beginnings: one look-up expression for all, as the table is a big constant
+        tries = F.array(ref, *[F.when(F.length(ref) > n, F.left(ref, F.lit(n))) for n in OPEN_NAMES])
+        read = F.filter(F.transform(tries, lambda t: F.struct(F.length(t).alias("n"), named(t).alias("v"))), lambda x: x["v"].isNotNull())
+        named_text = F.get(F.transform(F.slice(read, 1, 1), lambda x: F.concat(x["v"], F.substr(seg, x["n"] + 1))), F.lit(0))
+        numbered = F.concat(number(ref), F.substr(seg, F.length(ref) + 1))
+        return F.coalesce(F.when(ref.startswith("#"), numbered).when(ref != "", named_text), F.concat(F.lit("&"), seg))
 
     parts = F.split(text, "&")
     tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), segment)

@@ -58,13 +58,17 @@ def queue_groups(queue: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def file_triage(pages: DataFrame, files: DataFrame) -> DataFrame:
-    """Page facts to a class per file, worst first. ``files``: file_id, encrypted, tagged."""
+    """Page facts to a class per file, worst first. ``files``: file_id, encrypted, tagged, and signed where that is known.
+
+    A signed file is a class of its own, whatever is in it: a change would break the signature.
+    """
+    signed = F.coalesce("signed", F.lit(False)) if "signed" in files.columns else F.lit(False)
     per = pages.groupBy("file_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if("has_text").alias("text_pages"), F.count_if("has_image").alias("image_pages"))
     j = files.join(per, "file_id", "left").na.fill(0, ["pages", "text_pages", "image_pages"])
-    cls = (F.when(F.col("encrypted"), "encrypted").when((F.col("pages") > 0) & (F.col("text_pages") < 0.5 * F.col("pages")) & (F.col("image_pages") > 0), "scanned-image")
+    cls = (F.when(F.col("encrypted"), "encrypted").when(signed, "signed").when((F.col("pages") > 0) & (F.col("text_pages") < 0.5 * F.col("pages")) & (F.col("image_pages") > 0), "scanned-image")
            .when((F.col("text_pages") == 0) & (F.col("image_pages") == 0), "empty/odd").when(F.col("tagged"), "tagged").otherwise("text-untagged"))
     level = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
-    return j.withColumn("class", cls).withColumn("severity", level[F.col("class")]).orderBy(F.desc("severity"), "file_id")
+    return j.withColumn("class", cls).withColumn("severity", F.coalesce(level[F.col("class")], F.lit(1))).orderBy(F.desc("severity"), "file_id")
 
 
 def alt_is_useless(alt: Column) -> Column:

@@ -246,7 +246,7 @@ def grade_export(entries: DataFrame, criteria: list[tuple[str, str]], scored: Co
     when = lambda c: F.when(F.col("_s"), c)
     pct = F.round(percent_of(F.col("_t"), F.col("_p")), 1)
     change = F.round(F.col("_t") - F.col("_e"), 2)
-    named = ["name", F.row_number().over(W.partitionBy("assignment_id").orderBy(F.lower("name"), "user_id")).alias("place")] if "name" in entries.columns else []
+    named = ["name", F.row_number().over(W.partitionBy("assignment_id").orderBy(F.lower("name"), "user_id", "_t")).alias("place")] if "name" in entries.columns else []
     return rows.select(
         "assignment_id", "user_id", *named, when(F.col("_e")).alias("earned"), when(F.when(change != 0, change)).alias("curve"),
         when(F.col("_t")).alias("total"), F.col("_p").alias("points_possible"), when(pct).alias("percent"),

@@ -79,12 +79,16 @@ def quiz_review(bank: DataFrame, takers: DataFrame, answers: DataFrame, user: st
 
     ``takers``: user, quiz_id. ``answers``: user, quiz_id, question_id, answer_id, text, points, correct.
     """
-    rows = takers.join(bank, "quiz_id").join(
-        answers.withColumnRenamed("text", "a_text"), [user, "quiz_id", "question_id"], "left")
+    # markup is cleaned once per choice and once per answer, before the questions fan out over the takers
+    key = ["quiz_id", "question_id"]
+    choices = bank.select(*key, F.posexplode("answers").alias("_at", "a")).select(*key, F.col("a.id").alias("answer_id"), "_at", html_to_text(F.col("a.text")).alias("_c"))
+    choices = choices.groupBy(*key, "answer_id").agg(F.min_by("_c", "_at").alias("_choice"))
+    given = answers.select(user, *key, "answer_id", "points", "correct", F.when(F.col("text").isNotNull(), html_to_text(F.col("text"))).alias("_text"))
+    given = given.join(choices, [*key, "answer_id"], "left").drop("answer_id")
+    rows = takers.join(bank.drop("answers"), "quiz_id").join(given, [user, *key], "left")
     manual = F.col("question_type").isin(*MANUAL_TYPES)
-    choice = F.get(F.filter("answers", lambda a: a["id"] == F.col("answer_id")), F.lit(0))["text"]
-    response = F.when(manual, F.coalesce(F.nullif(html_to_text(F.col("a_text")), F.lit("")), F.lit("(no written answer)"))).otherwise(
-        F.coalesce(F.nullif(html_to_text(choice), F.lit("")), F.lit("(no choice recorded)")))
+    response = F.when(manual, F.coalesce(F.nullif(F.col("_text"), F.lit("")), F.lit("(no written answer)"))).otherwise(
+        F.coalesce(F.nullif(F.col("_choice"), F.lit("")), F.lit("(no choice recorded)")))
     return rows.select(user, "quiz_id", "question_id", "position", "question_type", response.alias("response"), "points",
                        "points_possible", "correct", manual.alias("manual"))
 

@@ -253,7 +253,7 @@ def grade_export(feed):
                                 scored(), earned(), shown(), possible())
 
 
-@query("grade_sheet", """SELECT assignment_id, user_id, name, CAST(row_number() OVER (PARTITION BY assignment_id ORDER BY lower(name), user_id) AS INT) AS place, CASE WHEN scored THEN shown END AS total
+@query("grade_sheet", """SELECT assignment_id, user_id, name, CAST(row_number() OVER (PARTITION BY assignment_id ORDER BY lower(name), user_id, shown) AS INT) AS place, CASE WHEN scored THEN shown END AS total
  FROM (SELECT f.*, c_name AS name FROM final f JOIN orders ON o_orderkey = CAST(split_part(user_id, '-', 1) AS BIGINT) JOIN customer ON c_custkey=o_custkey)""", "grades final")
 def grade_sheet(feed):
     """Sheets with names, written to the sink and read back."""

@@ -144,12 +144,13 @@ def queue_groups(feed):
     return files.queue_groups(rows, ["lane"])
 
 
-@query("file_triage", """SELECT p_partkey AS file_id, coalesce(n,0) AS pages, coalesce(t,0) AS text_pages, coalesce(i,0) AS image_pages, CASE WHEN p_size=1 THEN 'encrypted' WHEN n>0 AND t<0.5*n AND i>0 THEN 'scanned-image' WHEN coalesce(t,0)=0 AND coalesce(i,0)=0 THEN 'empty/odd' WHEN p_size%2=0 THEN 'tagged' ELSE 'text-untagged' END AS class
- FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, count(*) FILTER (WHERE l_quantity>25) AS t, count(*) FILTER (WHERE l_discount>0.05::DOUBLE) AS i FROM lineitem GROUP BY 1) ON l_partkey=p_partkey""")
+@query("file_triage", """SELECT *, CASE class WHEN 'scanned-image' THEN 3 WHEN 'text-untagged' THEN 2 WHEN 'encrypted' THEN 2 WHEN 'empty/odd' THEN 1 WHEN 'tagged' THEN 0 ELSE 1 END AS severity FROM (SELECT p_partkey AS file_id, coalesce(n,0) AS pages, coalesce(t,0) AS text_pages, coalesce(i,0) AS image_pages, CASE WHEN p_size=1 THEN 'encrypted' WHEN p_size%13=3 THEN 'signed' WHEN n>0 AND t<0.5*n AND i>0 THEN 'scanned-image' WHEN coalesce(t,0)=0 AND coalesce(i,0)=0 THEN 'empty/odd' WHEN p_size%2=0 THEN 'tagged' ELSE 'text-untagged' END AS class
+ FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, count(*) FILTER (WHERE l_quantity>25) AS t, count(*) FILTER (WHERE l_discount>0.05::DOUBLE) AS i FROM lineitem GROUP BY 1) ON l_partkey=p_partkey)""")
 def file_triage(feed):
     pages = feed.lineitem.select(c("l_partkey").alias("file_id"), (c("l_quantity") > 25).alias("has_text"), (c("l_discount") > 0.05).alias("has_image"))
-    facts = feed.part.select(c("p_partkey").alias("file_id"), (c("p_size") == 1).alias("encrypted"), (c("p_size") % 2 == 0).alias("tagged"))
-    return files.file_triage(pages, facts).select("file_id", "pages", "text_pages", "image_pages", "class")
+    facts = feed.part.select(c("p_partkey").alias("file_id"), (c("p_size") == 1).alias("encrypted"), (c("p_size") % 2 == 0).alias("tagged"),
+                             (c("p_size") % 13 == 3).alias("signed"))
+    return files.file_triage(pages, facts).select("file_id", "pages", "text_pages", "image_pages", "class", "severity")
 
 
 def figures(feed):
