@@ -15,7 +15,7 @@ third of all rows is spread over thousands of keys.
 
 Null source: a source of its own. Null or empty text: 0 tokens; taken with its block, in every epoch that reaches it. Sources without
 tokens keep their documents once. Null ids and repeated rows: each row counts; equal rows follow one another. Extra columns stay;
-columns named like the results are replaced. Empty table: empty result.
+columns named like the results (in any case) are replaced. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -29,19 +29,20 @@ BLOCK_DIGITS = 3
 PASSES, POINTS = 5, 64
 ENTROPY_SHARE, MAX_REPEATS = 0.95, 2.0
 RESULTS = ("n_tokens", "epoch", "start_tokens", "slot")
-OWN = ("mix_source", "mix_row", "mix_block")
 
 
 def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns ``names`` as in_0, in_1, ..., so that no name of the caller meets the operator's own, with tokens and place."""
     source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     row = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
                 .cast("binary"))
-    return (docs.drop(*RESULTS, *OWN).withColumn("n_tokens", tokens(F.col("text"))).withColumn("mix_source", source)
-            .withColumn("mix_row", row).withColumn("mix_block", F.substring("mix_row", 1, BLOCK_DIGITS)))
+    carried = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)]
+    return docs.select(*carried, tokens(F.col("text")).alias("n_tokens"), source.alias("mix_source"), row.alias("mix_row"),
+                       F.substring(row, 1, BLOCK_DIGITS).alias("mix_block"))
 
 
 def exponent(sources: DataFrame, total: int, entropy_share: float, max_repeats: float, budget: int | None) -> float:
@@ -96,7 +97,8 @@ def budgets(blocks: DataFrame, entropy_share: float, max_repeats: float, budget:
 
 def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: float = MAX_REPEATS, budget_tokens: int | None = None) -> DataFrame:
     """``docs``, each row as often as the mixture takes it, with n_tokens, epoch, start_tokens (tokens of its source before it) and slot."""
-    keyed = _keyed(docs)
+    names = [c for c in docs.columns if c.lower() not in RESULTS]
+    keyed = _keyed(docs, names)
     blocks = stage(keyed.groupBy("mix_source", "mix_block").agg(F.sum("n_tokens").alias("t")))
     quotas = stage(budgets(blocks, entropy_share, max_repeats, budget_tokens)).select("mix_source", F.col("t").alias("of"), "quota")
     epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("of") > 0, F.floor(F.col("quota") / F.col("of"))).otherwise(0))).alias("epoch")
@@ -113,7 +115,7 @@ def mix(docs: DataFrame, entropy_share: float = ENTROPY_SHARE, max_repeats: floa
               .withColumn("start_tokens", F.col("before") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
               .where("start_tokens + n_tokens <= quota"))
     slot = F.when(F.col("quota") > 0, F.col("start_tokens") / F.col("quota")).otherwise(0.0)
-    return placed.withColumn("slot", slot).select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*RESULTS, *OWN)], *RESULTS)
+    return placed.withColumn("slot", slot).select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)], *RESULTS)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
