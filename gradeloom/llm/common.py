@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.staging import stage
 
-__all__ = ["Memo", "clean_columns", "documents", "digest_key", "stage", "table", "words_of", "free_name"]
+__all__ = ["Memo", "clean_columns", "documents", "digest_key", "stage", "table", "words_of", "free_name", "sample_texts"]
 
 #: Entries a worker's memo holds before it starts anew; a matter of speed only.
 MEMO_ENTRIES = 400_000
@@ -57,6 +57,21 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem if stem.lower() not in taken else f"{stem}_{uuid.uuid4().hex[:8]}"
 
 
+def sample_texts(docs: DataFrame, text: str, rows: int, where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """text: at most ``rows`` distinct texts, those of the smallest hashes.
+
+    The rows are counted first and only hashes below a cut, under which about four times as many rows are expected, go on: the texts that
+    meet in one task are a bounded number, whatever the size of the table. Copies fall together before they are sorted.
+    """
+    part = min(1.0, 4 * rows / max(docs.count(), 1))
+    few = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    if part < 1.0:
+        few = few.where(F.col("h") < int(part * 2**64) - 2**63)
+    if where is not None:
+        few = few.where(where(F.col("text")))
+    return few.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(rows).select("text")
+
+
 def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only ``names``, so that extra columns with clashing names cannot meet the operator's own."""
     return df.select(*names)

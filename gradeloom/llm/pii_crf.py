@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import batches_of, documents
+from gradeloom.llm.common import batches_of, documents, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MAX_CHARS = 16, 80
@@ -270,8 +270,7 @@ def fit(samples: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
 
 def sample_islands(docs: DataFrame, text: str = "text") -> list[str]:
     """At most SAMPLE_ISLANDS island texts, from at most SAMPLE_DOCS documents, in a fixed order."""
-    few = (docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-           .orderBy("h", "text").limit(SAMPLE_DOCS).select("text"))
+    few = sample_texts(docs, text, SAMPLE_DOCS, lambda x: x.rlike("[0-9@]"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 256):

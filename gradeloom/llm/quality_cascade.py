@@ -5,7 +5,7 @@ in the order of rejection per cost, and a text that one rule rejects is not show
 a text is kept when every rule accepts it, so the result does not depend on the sample. The expensive measure (repeated word
 windows) is only taken where the cheaper rules leave a text alive, unless the caller asks for all measures.
 
-The sample is the ``SAMPLE_ROWS`` rows with the smallest hashes (bounded; it fixes the order and nothing else).
+The sample is the ``SAMPLE_ROWS`` distinct texts with the smallest hashes (bounded; it fixes the order and nothing else).
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null or empty text: no words, all counts 0, rejected by ``few_words``. Null ids, repeated rows and
 other columns: every row is judged by itself and kept as it is. Ties in the order go by rule name. Empty table: empty result.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import batches_of, documents
+from gradeloom.llm.common import batches_of, documents, sample_texts
 
 SAMPLE_ROWS = 400
 WINDOW = 8
@@ -133,9 +133,9 @@ def estimate(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[E
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> list[Rule]:
-    rows = (docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("h")).orderBy("h", "text").limit(SAMPLE_ROWS).select("text"))
     if len(rules) < 2:
         return list(rules)
+    rows = sample_texts(docs, text, SAMPLE_ROWS)
     names = [r.name for r in rules]
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
