@@ -161,7 +161,8 @@ def joined(segments: DataFrame) -> DataFrame:
     parts = F.sort_array(F.collect_list(F.struct("number", "block")))
     first = F.min(F.when(F.col("number") == 1, F.struct("kind", "page_id", "url", "digest", "refers_to")))
     grouped = segments.groupBy("origin").agg(parts.alias("parts"), first.alias("first"), F.max("total").alias("total"))
-    block = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["block"]))
+    # one pass over all segments: adding them to a growing block one by one would copy it once per segment
+    block = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), ""))
     whole = (F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("parts"))) & (F.octet_length("joined") == F.col("total"))
     return (grouped.withColumn("joined", block)
             .select("first.*", F.col("joined").alias("block"), F.coalesce(whole, F.lit(False)).alias("whole")))
