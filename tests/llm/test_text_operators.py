@@ -282,6 +282,40 @@ def test_license_labels(spark, docs, none):
     assert license_scan.scan(broken).first().labels == "mit"  # a shifted diagonal is merged
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "cc-by-nd"),
+    ("Creative Commons Attribution-Non-Commercial-No Derivatives 3.0", "cc-by-nc-nd"),
+    ("Creative Commons Attribution Share Alike", "cc-by-sa"),
+    ("see CC BY-SA 3.0 here", "cc-by,cc-by-sa"), ("under CC BY-NC-SA 4.0", "cc-by,cc-by-nc-sa"),  # the base phrase stands in both
+    ("This work is licensed under the GNU Lesser General Public License version 3", "gpl,lgpl"),  # as here
+    ("Creative things and commons", ""),
+])
+def test_qualified_licenses(spark, text, labels):
+    got = license_scan.scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert [r.labels for r in got] == [labels] * 2
+
+
+def test_mixture_keeps_columns_that_clash(spark):
+    names = ("quota", "before", "order", "t", "of", "in_0", "mix_row", "turn")
+    table = spark.createDataFrame([(i, f"some words {i}", f"s{i % 2}", "kept", *(f"{n}{i}" for n in names)) for i in range(40)],
+                                  "doc_id long, text string, source string, N_TOKENS string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mixing.mix(table)
+    assert got.columns == ["doc_id", "text", "source", *names, *mixing.RESULTS]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names) and got.count() >= 40
+
+
+def test_samples_are_bounded_and_distinct(spark):
+    from gradeloom.llm.common import sample_texts
+
+    table = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit("copy")).otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    got = [r.text for r in sample_texts(table, "text", 50).collect()]
+    assert len(set(got)) == len(got) == 50
+    assert sample_texts(table.where("text = 'copy'"), "text", 50).count() <= 1 and sample_texts(table.limit(0), "text", 50).count() == 0
+
+
 def test_pipeline_keeps_columns_and_rows(spark, docs, none):
     import corpus_pipeline
 
