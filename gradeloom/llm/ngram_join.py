@@ -8,14 +8,17 @@ shared tokens left in their prefixes. Steps:
 
 1. texts with equal sets form one class (copies meet nowhere again);
 2. sharedness: tokens travel in packed blobs, once per batch and not per row, to the task of their hash range, which answers
-   each batch with the tokens that other classes have too. A token of a third of all texts is one entry per batch;
+   each batch with the tokens that stand twice there or in another batch too. A token of a third of all texts is one entry per batch. A text
+   whose copies lie in several batches keeps tokens that only it has: that weakens its filter and changes no result;
 3. families: classes that share prefix tokens of the first order are brought together through each token's hub, linear in the prefixes;
-4. a family is compared in blocks of bounded size, as matrices: a pair must share a prefix token under every order (the filters are
-   intersected) and then reach the threshold on its whole sets. Of a block's links only a spanning set leaves the task;
-5. these links are folded to components.
+4. in a family of several blocks, every class is verified against the hub it shares most prefix tokens with. These links join most near
+   copies, one comparison each;
+5. a family is compared in blocks of bounded size, as matrices: pairs that step 4 has not joined must share a prefix token under every order
+   (the filters are intersected one after the other), and what is left is verified on whole sets. Two blocks of classes that are joined already
+   never meet. Of a block's links only a spanning set leaves the task;
+6. these links are folded to components.
 
-No pair of a group becomes a row, and none is dropped. Work inside one family of distinct near copies grows with the square of its
-blocks, in matrix products; families of exact copies are one class and cost nothing.
+No pair of a group becomes a row, and no link between components is lost.
 
 Null texts, texts without words: empty set, n_shingles 0, linked with nothing, component_id their own doc_id. Null doc_id: the row
 stays, and takes its group's smallest doc_id (null if the group has none). Repeated rows: one class. Empty table: empty result.
@@ -111,7 +114,7 @@ def _members(carried: bool):
 def _pack(ranges: int):
     """Batches of distinct classes: each distinct token once, to the task of its hash range; tokens that two classes of the
     batch have are known to be shared and stay with the batch."""
-    width, bytes_each = range_width(ranges)
+    width = range_width(ranges)
 
     def flush(sets: dict[bytes, np.ndarray], place: tuple[int, int]) -> Iterator[pa.RecordBatch]:
         keys, arrays = list(sets), list(sets.values())
@@ -130,10 +133,9 @@ def _pack(ranges: int):
         home = (once // np.uint64(width)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else []
         for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
-            rows.append((int(home[a]), squeeze(once[a:b] - np.uint64(int(home[a]) * width), bytes_each), whose[a:b].tobytes(), joined, None))
+            rows.append((int(home[a]), squeeze(once[a:b] - np.uint64(int(home[a]) * width)), whose[a:b].tobytes(), None, None))
         cols = list(zip(*rows, strict=True))
-        yield table(PACKED, home=cols[0], batch=[name] * len(rows), tokens=cols[1], owner=cols[2],
-                    classes=[c if s is not None else _owners(c, o) for c, o, s in zip(cols[3], cols[2], cols[4], strict=True)], sizes=cols[4])
+        yield table(PACKED, home=cols[0], batch=[name] * len(rows), tokens=cols[1], owner=cols[2], classes=cols[3], sizes=cols[4])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -154,64 +156,57 @@ def _pack(ranges: int):
     return pack
 
 
-def range_width(ranges: int) -> tuple[int, int]:
-    """Tokens per hash range, and the bytes that a token's place in its range needs."""
-    width = min(-(-(1 << 64) // ranges), (1 << 64) - 1)
-    return width, -(-(width - 1).bit_length() // 8)
+def range_width(ranges: int) -> int:
+    """Tokens per hash range."""
+    return min(-(-(1 << 64) // ranges), (1 << 64) - 1)
 
 
-def squeeze(values: np.ndarray, bytes_each: int) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :bytes_each].tobytes()
+def squeeze(values: np.ndarray) -> bytes:
+    """Ascending values as differences of as many bytes as the largest one needs; that number stands first."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def unsqueeze(blob: bytes, bytes_each: int) -> np.ndarray:
-    out = np.zeros((len(blob) // bytes_each, 8), np.uint8)
-    out[:, :bytes_each] = np.frombuffer(blob, np.uint8).reshape(-1, bytes_each)
-    return out.view("<u8").ravel()
-
-
-def _owners(classes: bytes, owner: bytes) -> bytes:
-    """Short names (8 bytes) of the classes that own a range's tokens, after their numbers in the batch."""
-    used = np.unique(np.frombuffer(owner, np.uint16))
-    used = used[used != NOBODY]
-    return used.tobytes() + np.frombuffer(classes, np.uint64).reshape(-1, 2)[used, 0].tobytes()
+def unsqueeze(blob) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    steps = raw[1:].reshape(-1, raw[0])
+    out = np.zeros((len(steps), 8), np.uint8)
+    out[:, :raw[0]] = steps
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _answer(ranges: int):
-    width, bytes_each = range_width(ranges)
+    width = range_width(ranges)
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        """For one hash range: the tokens of each batch that some other class has too."""
-        rows = group.to_pylist()
-        asked = [r for r in rows if r["sizes"] is None]
-        out = [{k: r[k] for k in ANSWER.names} for r in rows if r["sizes"] is not None]
-        if not asked:
-            return pa.Table.from_pylist(out, schema=ANSWER)
+        """For one hash range: the tokens of each batch that stand in another batch too, or twice in one."""
+        asked = group.filter(group.column("sizes").is_null())
+        heads = group.filter(group.column("sizes").is_valid()).select(ANSWER.names)
         base = np.uint64(key[0].as_py() * width)
-        tokens = [unsqueeze(r["tokens"], bytes_each) + base for r in asked]
-        owners = [np.frombuffer(r["owner"], np.uint16) for r in asked]
-        names = []
-        for r, owner in zip(asked, owners, strict=True):
-            half = len(r["classes"]) // 10
-            used, short = np.frombuffer(r["classes"][:2 * half], np.uint16), np.frombuffer(r["classes"][2 * half:], np.uint64)
-            full = np.zeros(len(owner), np.uint64)
-            full[owner != NOBODY] = short[np.searchsorted(used, owner[owner != NOBODY])]
-            names.append(full)
-        cuts = np.cumsum([0, *map(len, tokens)])
-        every, named = np.concatenate(tokens), np.concatenate(names)
-        by = np.lexsort((named, every))
-        t, c = every[by], named[by]
+        tokens = [unsqueeze(b.as_buffer()) + base for b in asked.column("tokens")]
+        if not tokens:
+            return heads.cast(ANSWER)
+        owners = [np.frombuffer(b.as_buffer(), np.uint16) for b in asked.column("owner")]
+        every, many = np.concatenate(tokens), np.concatenate(owners) == NOBODY
+        by = np.argsort(every, kind="stable")
+        t = every[by]
         start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         run = np.diff(np.r_[start, len(t)])
-        # one class in several batches is still one class; 0 marks a token that a batch knows to be shared
         shared = np.zeros(len(t), bool)
-        shared[by] = np.repeat((c[start] != c[start + run - 1]) | (c[start] == 0), run)
-        for i, r in enumerate(asked):
-            mine = shared[cuts[i]:cuts[i + 1]] & (owners[i] != NOBODY)
-            if mine.any():
-                out.append({"batch": r["batch"], "tokens": tokens[i][mine].tobytes(), "owner": owners[i][mine].tobytes(),
-                            "classes": None, "sizes": None})
-        return pa.Table.from_pylist(out, schema=ANSWER)
+        shared[by] = np.repeat((run > 1) | np.logical_or.reduceat(many[by], start), run)
+        shared &= ~many  # those stay with their batch
+        out, at = {"batch": [], "tokens": [], "owner": []}, 0
+        for batch, mine, owner in zip(asked.column("batch"), tokens, owners, strict=True):
+            chosen = shared[at:at + len(mine)]
+            at += len(mine)
+            if chosen.any():
+                out["batch"].append(batch.as_py())
+                out["tokens"].append(mine[chosen].tobytes())
+                out["owner"].append(owner[chosen].tobytes())
+        empty = [None] * len(out["batch"])
+        found = pa.Table.from_batches([table(ANSWER, **out, classes=empty, sizes=empty)])
+        return pa.concat_tables([heads.cast(ANSWER), found])
 
     return answer
 
@@ -266,11 +261,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([cls, pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)]))], schema=TOKEN)
 
 
-def families(alive: DataFrame) -> DataFrame:
-    """node, label: classes that prefixes of the first order bring together, directly or through others. Linear in the prefixes."""
+def families(alive: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, label: classes that prefixes of the first order bring together, directly or through others; and hub, cls, n: how many of its
+    prefix tokens a class has at each hub, a token's smallest class. Linear in the prefixes."""
     tokens = stage(alive.mapInArrow(_prefixes, "cls binary, token long"))
     hubs = tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
-    return components(tokens.join(hubs, "token").where("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+    met = stage(tokens.join(hubs, "token").where("hub <> cls").groupBy("hub", "cls").agg(F.count("*").alias("n")))
+    return components(met.select(F.col("hub").alias("a"), F.col("cls").alias("b"))), met
 
 
 def _meetings(token: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -301,86 +298,148 @@ def _meetings(token: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, ri
     return total + np.bincount(np.concatenate(places), minlength=total.size).reshape(total.shape)
 
 
-def linked(sizes: np.ndarray, shared: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Matrix of links between the ``left`` and the ``right`` sets: prefixes meet under every order, and whole sets are alike enough."""
+def alike_enough(both, a, b):
+    return DENOMINATOR * both >= NUMERATOR * (a + b - both)
+
+
+def linked(sizes: np.ndarray, shared: list[np.ndarray], left: np.ndarray, right: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Matrix of links between the ``left`` and the ``right`` sets that are not joined yet: sizes in reach, prefixes that meet under every order,
+    one order after the other on what the last one left, and then whole sets that are alike enough."""
     owner = np.repeat(np.arange(len(shared), dtype=np.int32), [len(x) for x in shared])
     _, token, df = np.unique(np.concatenate(shared), return_inverse=True, return_counts=True)
     token, start = token.astype(np.int32), np.cumsum([0, *map(len, shared)])
-    kinds = []
-    for k in (None, *range(ORDERS)):
-        chosen = df[token] > 1  # tokens that meet nothing here are left out
-        if k is not None:
-            first = np.zeros(len(token), bool)
-            for i, x in enumerate(shared):
-                first[start[i]:start[i + 1]] = np.isin(x, prefix(x, int(sizes[i]), k), assume_unique=True)
-            chosen &= first
-        kinds.append((token[chosen], owner[chosen]))
+    meets = df[token] > 1  # tokens that meet nothing here are left out
+    orders = []
+    for k in range(ORDERS):
+        first = np.zeros(len(token), bool)
+        for i, x in enumerate(shared):
+            first[start[i]:start[i + 1]] = np.isin(x, prefix(x, int(sizes[i]), k), assume_unique=True)
+        orders.append((token[meets & first], owner[meets & first]))
     alike = np.zeros((len(left), len(right)), bool)
     for low in range(0, len(left), ROWS):
         rows = left[low:low + ROWS]
-        whole, *met = (_meetings(t, o, len(shared), rows, right) for t, o in kinds)
-        both = whole.astype(np.int64)
-        reach = DENOMINATOR * both >= NUMERATOR * (sizes[rows][:, None] + sizes[right][None, :] - both)
-        for m in met:
-            reach &= m > 0
-        alike[low:low + ROWS] = reach
+        may = joined[rows][:, None] != joined[right][None, :]
+        small, great = np.minimum(sizes[rows][:, None], sizes[right][None, :]), np.maximum(sizes[rows][:, None], sizes[right][None, :])
+        may &= DENOMINATOR * small >= NUMERATOR * great
+        for t, o in orders:
+            r, c = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+            if len(r):
+                may[np.ix_(r, c)] &= _meetings(t, o, len(shared), rows[r], right[c]) > 0
+        r, c = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        if len(r):
+            both = _meetings(token[meets], owner[meets], len(shared), rows[r], right[c]).astype(np.int64)
+            alike[np.ix_(low + r, c)] = may[np.ix_(r, c)] & alike_enough(both, sizes[rows[r]][:, None], sizes[right[c]][None, :])
     return alike
 
 
-def spanning(alike: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """The smallest member that each of n members reaches through the links of one matrix."""
-    label = np.arange(n)
+def spanning(alike: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The smallest member that each member reaches through the links of one matrix and the groups it starts in (``label``: their smallest)."""
+    n = len(label)
     while True:
         new = label.copy()
         for low in range(0, len(left), ROWS):
             part, rows = alike[low:low + ROWS], left[low:low + ROWS]
             np.minimum.at(new, rows, np.where(part, label[right][None, :], n).min(1, initial=n))
             np.minimum.at(new, right, np.where(part, label[rows][:, None], n).min(0, initial=n))
+        np.minimum.at(new, label, new.copy())
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
+def _links(out: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], schema=LINK)
+
+
 def _verify(group: pa.Table) -> pa.Table:
     """Links among the families of a group, or between two blocks of a large one; only a spanning set of them leaves the task."""
-    out_a, out_b = [], []
-    labels = group.column("label").to_pylist()
+    out = []
     by: dict[bytes, list[int]] = {}
-    for i, label in enumerate(labels):
+    for i, label in enumerate(group.column("label").to_pylist()):
         by.setdefault(label, []).append(i)
-    cls, sizes, block = group.column("cls").to_pylist(), np.array(group.column("n").to_pylist(), np.int64), np.array(group.column("block").to_pylist())
-    blobs = group.column("shared").to_pylist()
+    cls, sizes, block = group.column("cls").to_pylist(), np.array(group.column("n").to_pylist(), np.int64), group.column("block").to_pylist()
+    first_block, last_block = (np.array([b == x for b, x in zip(block, group.column(end).to_pylist(), strict=True)], bool) for end in ("low", "high"))
+    near, blobs = group.column("near").to_pylist(), group.column("shared")
     for members in by.values():
         at = np.array(members)
-        shared = [np.frombuffer(blobs[i], np.uint64) for i in members]
-        first, last = block[at] == block[at].min(), block[at] == block[at].max()
-        left, right = np.flatnonzero(first), np.flatnonzero(last)
-        root = spanning(linked(sizes[at], shared, left, right), left, right, len(members))
-        for i in np.flatnonzero(root != np.arange(len(members))):
-            out_a.append(cls[members[root[i]]])
-            out_b.append(cls[members[i]])
-    return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], schema=LINK)
+        first: dict[bytes, int] = {}
+        joined = np.array([first.setdefault(near[i], k) for k, i in enumerate(members)])
+        shared = [np.frombuffer(blobs[i].as_buffer(), np.uint64) for i in members]
+        left, right = np.flatnonzero(first_block[at]), np.flatnonzero(last_block[at])
+        root = spanning(linked(sizes[at], shared, left, right, joined), left, right, joined)
+        # a group that was joined before is told of by its first member only
+        out += [(cls[members[root[k]]], cls[members[k]]) for k in np.flatnonzero((root != joined) & (joined == np.arange(len(members))))]
+    return _links(out)
+
+
+def _star(group: pa.Table) -> pa.Table:
+    """Links of classes to their hub; the hubs' own sets are rows of the group, with ``cls`` = ``hub``."""
+    hubs, cls, n, blobs = (group.column(c).to_pylist() for c in ("hub", "cls", "n", "shared"))
+    centre = {h: i for i, (h, c) in enumerate(zip(hubs, cls, strict=True)) if h == c}
+    sets, out, last = {}, [], None
+    for i in sorted(range(len(cls)), key=lambda i: hubs[i]):
+        if cls[i] == hubs[i]:
+            continue
+        j = centre[hubs[i]]
+        if j != last:  # one hub's set and prefixes at a time
+            last, x = j, np.frombuffer(blobs[j], np.uint64)
+            sets = [prefix(x, n[j], k) for k in range(ORDERS)]
+        y = np.frombuffer(blobs[i], np.uint64)
+        if all(np.isin(prefix(y, n[i], k), sets[k]).any() for k in range(ORDERS)):
+            if alike_enough(len(np.intersect1d(x, y, assume_unique=True)), n[i], n[j]):
+                out.append((cls[j], cls[i]))
+    return _links(out)
+
+
+def star_links(large: DataFrame, met: DataFrame, alive: DataFrame) -> DataFrame:
+    """a, b: verified links of the classes of ``large`` (cls, tokens, blocks) to the hub that each shares most prefix tokens with.
+
+    A hub's members are dealt over as many tasks as its family has blocks, and its set goes to each of them once.
+    """
+    best = met.join(large, "cls").groupBy("cls", "blocks").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+    homes = max(1, math.ceil((large.agg(F.sum("tokens")).first()[0] or 0) / BLOCK_TOKENS))
+    dealt = stage(best.select("hub", "cls", F.pmod(F.xxhash64("hub"), F.lit(homes)).alias("home"),
+                              F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("part")))
+    every = dealt.union(dealt.select("hub", F.col("hub").alias("cls"), "home", "part").distinct()).join(alive, "cls")
+    return every.groupBy("home", "part").applyInArrow(_star, "a binary, b binary")
 
 
 def labels_of(alive: DataFrame) -> DataFrame:
     """node, label for the classes that have a link: the components of all links.
 
-    A family is verified by blocks of at most about BLOCK_SETS sets and BLOCK_TOKENS tokens, each pair of blocks in a task of its own; small
-    families share a task. Both bounds hold whatever the size of a family.
+    A family is verified by blocks of about BLOCK_SETS sets and BLOCK_TOKENS tokens at most, whatever its size, each pair of blocks in a task of its
+    own; small families share a task. In a large one, classes that their hubs join fill blocks of their own, which do not meet each
+    other; the rest stands in common blocks.
     """
     length = (F.octet_length("shared") / 8).alias("tokens")
-    placed = stage(families(alive).withColumnRenamed("node", "cls").join(alive.select("cls", length), "cls"))  # sets stay behind
-    sizes = placed.groupBy("label").agg(F.count("*").alias("sets"), F.sum("tokens").alias("tokens"))
-    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    family, met = families(alive)
+    placed = stage(family.withColumnRenamed("node", "cls").join(alive.select("cls", length), "cls"))  # sets stay behind
+    sums = (F.count("*").alias("sets"), F.sum("tokens").alias("tokens"))
+    filled = F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)
+    sizes = stage(placed.groupBy("label").agg(*sums).select("label", F.ceil(filled).cast("int").alias("blocks")))
     every = placed.agg(F.sum("tokens")).first()[0] or 0
     shelf = F.pmod(F.xxhash64("label"), F.lit(max(1, math.ceil(every / (BLOCK_TOKENS / 2)))))
-    home = F.when(F.col("blocks") == 1, F.concat(F.lit("s"), shelf.cast("string"))).otherwise(F.concat(F.lit("f"), F.hex("label")))
-    told = (placed.join(sizes.select("label", blocks.alias("blocks")), "label")
-            .select("cls", "label", "blocks", home.alias("home"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
-            .join(alive, "cls").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("home", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "label", "block", "cls", "n", "shared"))
-    return components(stage(told.groupBy("home", "low", "high").applyInArrow(_verify, "a binary, b binary")))
+    one = F.lit("")
+    small = (placed.join(sizes.where("blocks = 1"), "label")
+             .select("cls", "label", F.col("cls").alias("near"), one.alias("block"), F.concat(F.lit("s"), shelf.cast("string")).alias("home"),
+                     one.alias("low"), one.alias("high")))
+    large = stage(placed.join(sizes.where("blocks > 1"), "label"))
+    stars = stage(star_links(large, met, alive))
+    near = components(stars).select(F.col("node").alias("cls"), F.col("label").alias("near"))
+    held = stage(large.join(near, "cls", "left").withColumn("near", F.coalesce("near", "cls")).select("cls", "label", "near", "tokens"))
+    groups = held.groupBy("label", "near").agg(*sums).select("label", "near", filled.alias("filled"), (filled >= 0.5).alias("own"))
+    common = groups.where("NOT own").groupBy("label").agg(F.ceil(F.sum("filled")).cast("int").alias("common"))
+    blocks = groups.join(common, "label", "left").select("label", "near", "own", F.when(F.col("own"), F.ceil("filled")).otherwise(F.col("common")).alias("of"))
+    mine = F.when(F.col("own"), F.hex("near")).otherwise("")
+    dealt = stage(held.join(blocks, ["label", "near"])
+                  .select("cls", "label", "near", mine.alias("mine"), F.concat_ws(":", mine, F.pmod(F.xxhash64("cls"), F.col("of")).cast("string")).alias("block")))
+    others = dealt.select("label", "block", "mine").distinct().groupBy("label").agg(F.collect_list(F.struct("block", "mine")).alias("others"))
+    meet = F.explode(F.filter("others", lambda o: (o["mine"] == "") | (o["mine"] != F.col("mine")))).alias("other")
+    split = (dealt.join(others, "label").select("cls", "label", "near", "block", F.concat(F.lit("f"), F.hex("label")).alias("home"), meet)
+             .select("cls", "label", "near", "block", "home", F.least("block", "other.block").alias("low"), F.greatest("block", "other.block").alias("high")))
+    found = small.union(split).join(alive, "cls").groupBy("home", "low", "high").applyInArrow(_verify, "a binary, b binary")
+    return components(stage(found.union(stars)))
 
 
 def near_duplicates(docs: DataFrame, row_key: Column | None = None) -> DataFrame:

@@ -142,7 +142,25 @@ def test_near_duplicates_in_families_and_chains(spark, monkeypatch):
     r.shuffle(table)
     monkeypatch.setattr(ngram_join, "BATCH_TOKENS", 700)
     monkeypatch.setattr(ngram_join, "RANGE_TOKENS", 3000)
-    check_links(spark.createDataFrame(table, "doc_id long, text string").repartition(4), table)
+    far = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    check_links(far, table)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)  # several blocks per family, some of joined classes alone
+    check_links(far, table)
+
+
+def test_filters_are_intersected_before_sets_are_compared(monkeypatch):
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 400, 60).astype(np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.r_[s[:-2], [np.uint64(1000 + i)]]) for i, s in enumerate(sets[:10])]
+    sizes, every = np.array([len(s) for s in sets]), np.arange(len(sets))
+    seen, whole = [], ngram_join._meetings
+    monkeypatch.setattr(ngram_join, "_meetings", lambda t, o, n, left, right: seen.append((len(left), len(right))) or whole(t, o, n, left, right))
+    got = ngram_join.linked(sizes, sets, every, every, every)
+    want = [[i != j and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert got.tolist() == want and any(map(any, want))
+    assert len(seen) == 3 and seen[0] >= seen[1] >= seen[2] and not ngram_join.linked(sizes, sets, every, every, 0 * every).any()
+    for values in (sets[0], np.array([0, 2**63, 2**64 - 1], np.uint64), np.array([7], np.uint64)):
+        assert ngram_join.unsqueeze(ngram_join.squeeze(values)).tolist() == values.tolist()
 
 
 def test_tasks_that_hold_the_same_texts(spark):
