@@ -8,8 +8,7 @@ shared tokens left in their prefixes. Steps:
 
 1. texts with equal sets form one class (copies meet nowhere again);
 2. sharedness: tokens travel in packed blobs, once per batch and not per row, to the task of their hash range, which answers
-   each batch with the tokens that stand twice there or in another batch too. A token of a third of all texts is one entry per batch. A text
-   whose copies lie in several batches keeps tokens that only it has: that weakens its filter and changes no result;
+   each batch with the tokens that other classes have too. A token of a third of all texts is one entry per batch;
 3. families: classes that share prefix tokens of the first order are brought together through each token's hub, linear in the prefixes;
 4. in a family of several blocks, every class is verified against the hub it shares most prefix tokens with. These links join most near
    copies, one comparison each;
@@ -133,9 +132,10 @@ def _pack(ranges: int):
         home = (once // np.uint64(width)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else []
         for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
-            rows.append((int(home[a]), squeeze(once[a:b] - np.uint64(int(home[a]) * width)), whose[a:b].tobytes(), None, None))
+            rows.append((int(home[a]), squeeze(once[a:b] - np.uint64(int(home[a]) * width)), whose[a:b].tobytes(), joined, None))
         cols = list(zip(*rows, strict=True))
-        yield table(PACKED, home=cols[0], batch=[name] * len(rows), tokens=cols[1], owner=cols[2], classes=cols[3], sizes=cols[4])
+        yield table(PACKED, home=cols[0], batch=[name] * len(rows), tokens=cols[1], owner=cols[2],
+                    classes=[c if s is not None else _owners(c, o) for c, o, s in zip(cols[3], cols[2], cols[4], strict=True)], sizes=cols[4])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -176,11 +176,18 @@ def unsqueeze(blob) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
+def _owners(classes: bytes, owner: bytes) -> bytes:
+    """Short names (8 bytes) of the classes that own a range's tokens, after their numbers in the batch."""
+    used = np.unique(np.frombuffer(owner, np.uint16))
+    used = used[used != NOBODY]
+    return used.tobytes() + np.frombuffer(classes, np.uint64).reshape(-1, 2)[used, 0].tobytes()
+
+
 def _answer(ranges: int):
     width = range_width(ranges)
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        """For one hash range: the tokens of each batch that stand in another batch too, or twice in one."""
+        """For one hash range: the tokens of each batch that some other class has too."""
         asked = group.filter(group.column("sizes").is_null())
         heads = group.filter(group.column("sizes").is_valid()).select(ANSWER.names)
         base = np.uint64(key[0].as_py() * width)
@@ -188,13 +195,23 @@ def _answer(ranges: int):
         if not tokens:
             return heads.cast(ANSWER)
         owners = [np.frombuffer(b.as_buffer(), np.uint16) for b in asked.column("owner")]
-        every, many = np.concatenate(tokens), np.concatenate(owners) == NOBODY
+        named = []
+        for blob, owner in zip(asked.column("classes"), owners, strict=True):
+            raw = np.frombuffer(blob.as_buffer(), np.uint8)
+            half = len(raw) // 10
+            used, short = raw[:2 * half].view(np.uint16), raw[2 * half:].copy().view(np.uint64)
+            full = np.zeros(len(owner), np.uint64)
+            full[owner != NOBODY] = short[np.searchsorted(used, owner[owner != NOBODY])]
+            named.append(full)
+        every, many, named = np.concatenate(tokens), np.concatenate(owners) == NOBODY, np.concatenate(named)
         by = np.argsort(every, kind="stable")
-        t = every[by]
+        t, names = every[by], named[by]
         start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         run = np.diff(np.r_[start, len(t)])
+        # one class in several batches is still one class; 0 marks a token that a batch knows to be shared
+        least, most = np.minimum.reduceat(names, start), np.maximum.reduceat(names, start)
         shared = np.zeros(len(t), bool)
-        shared[by] = np.repeat((run > 1) | np.logical_or.reduceat(many[by], start), run)
+        shared[by] = np.repeat((least != most) | (least == 0), run)
         shared &= ~many  # those stay with their batch
         out, at = {"batch": [], "tokens": [], "owner": []}, 0
         for batch, mine, owner in zip(asked.column("batch"), tokens, owners, strict=True):
