@@ -83,19 +83,21 @@ class Feed:
 
     @cached_property
     def enrolled(self) -> DataFrame:
-        """Class lists: a course (brand) enrols the suppliers of one nation, for each of its assignments."""
-        parts = self.part.select(F.col("p_brand").alias("course_id"), s("p_partkey").alias("assignment_id"),
-                                 F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("_n"))
-        people = self.supplier.select(s("s_suppkey").alias("user_id"), F.col("s_name").alias("name"),
-                                      (F.col("s_nationkey") + 1).alias("_n"))
-        return parts.join(people, "_n").select("course_id", "assignment_id", "user_id", "name")
+        """Class lists: the students of a course, for each of its assignments. Courses hold 16 assignments and 20 students on average, so
+        rows grow with the assignments."""
+        parts = self.part.select(course_of().alias("course_id"), s("p_partkey").alias("assignment_id"), block_of().alias("_n"))
+        return parts.join(self._people, "_n").select("course_id", "assignment_id", "user_id", "name")
+
+    @property
+    def _people(self) -> DataFrame:
+        return self.supplier.select(s("s_suppkey").alias("user_id"), F.col("s_name").alias("name"), F.expr("s_suppkey div 20").alias("_n"))
 
     @cached_property
     def submissions(self) -> DataFrame:
-        """The latest hand-in per assignment and supplier, of lines up to a date."""
+        """The latest hand-in per assignment and student of the course, of lines up to a date."""
         last = F.max(F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")).alias("x")
-        return (self.lineitem.groupBy("l_partkey", "l_suppkey").agg(last, F.count(F.lit(1)).alias("attempt"))
-                .select(s("l_partkey").alias("assignment_id"), s("l_suppkey").alias("user_id"),
+        return (self.lineitem.groupBy("l_partkey", seat().alias("seat")).agg(last, F.count(F.lit(1)).alias("attempt"))
+                .select(s("l_partkey").alias("assignment_id"), s("seat").alias("user_id"),
                         F.when(F.col("x.l_returnflag") != "R", F.col("x.l_shipdate")).alias("submitted_at"),
                         (F.col("x.l_linenumber") == 7).alias("excused"), F.col("x.l_quantity").alias("score"),
                         F.when(F.col("x.l_returnflag") == "R", "unsubmitted").when(F.col("x.l_returnflag") == "N", "graded")
@@ -213,8 +215,9 @@ class Feed:
 
     @cached_property
     def members(self) -> DataFrame:
-        """Enrolments with sections: a course (brand) and the suppliers of its nation."""
-        rows = self.enrolled.select("course_id", "user_id").distinct()
+        """Enrolments with sections: a course and its students."""
+        courses = self.part.select(course_of().alias("course_id"), block_of().alias("_n")).distinct()
+        rows = courses.join(self._people, "_n").select("course_id", "user_id")
         return rows.withColumn("section_ids", F.array((F.col("user_id").cast("int") % 3).cast("string")))
 
     @cached_property
@@ -222,30 +225,31 @@ class Feed:
         """Assignments with due and lock dates around a clock change, in two zones."""
         due = F.expr("timestamp'2026-10-25 04:59:00' + make_dt_interval(p_size % 14)")
         return self.part.select(
-            F.col("p_brand").alias("course_id"), s("p_partkey").alias("assignment_id"), F.when(F.col("p_size") != 50, due).alias("due_at"),
+            course_of().alias("course_id"), s("p_partkey").alias("assignment_id"), F.when(F.col("p_size") != 50, due).alias("due_at"),
             F.when(F.col("p_size") % 2 == 1, F.expr("timestamp'2026-10-25 04:59:00' + make_dt_interval(p_size % 14 + p_size % 3)")).alias("lock_at"),
             F.when(F.col("p_type") == "PROMO", "UTC").otherwise("America/Chicago").alias("time_zone"))
 
     @cached_property
     def overrides(self) -> DataFrame:
-        """Line items 1 as overrides for named students, line items 2 for a section."""
-        ids = F.when(F.col("l_discount") > 0.05, F.array(s("l_suppkey"), (F.col("l_suppkey") + 25).cast("string"))).otherwise(F.array(s("l_suppkey")))
+        """Odd line items as overrides for named students (at times a classmate too), even ones for a section."""
+        first, other = seat().cast("string"), seat(7).cast("string")
+        ids = F.when(F.col("l_discount") > 0.05, F.array(first, other)).otherwise(F.array(first))
         due = F.expr("timestamp'2026-11-10 05:59:00' + make_dt_interval(cast(l_quantity as int))")
-        return self.lineitem.where("l_linenumber <= 2").select(
+        return self.lineitem.select(
             s("l_partkey").alias("assignment_id"), F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("override_id"), F.lit("Extra days").alias("title"),
-            F.when(F.col("l_linenumber") == 1, ids).alias("student_ids"),
-            F.when(F.col("l_linenumber") == 2, (F.col("l_suppkey") % 3).cast("string")).alias("section_id"),
+            F.when(F.col("l_linenumber") % 2 == 1, ids).alias("student_ids"),
+            F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_suppkey") % 3).cast("string")).alias("section_id"),
             F.when(F.col("l_tax") > 0, due).alias("due_at"), F.lit(None).cast("timestamp").alias("lock_at"))
 
     @cached_property
     def quizzes(self) -> DataFrame:
-        return self.part.where("p_type = 'PROMO'").select(
-            F.col("p_brand").alias("course_id"), s("p_partkey").alias("quiz_id"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("time_limit"))
+        return self.part.select(
+            course_of().alias("course_id"), s("p_partkey").alias("quiz_id"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("time_limit"))
 
     @cached_property
     def grants(self) -> DataFrame:
         k = F.col("s_suppkey").cast("int")
-        return self.supplier.where("s_suppkey % 2 = 0").select(
+        return self.supplier.where("s_acctbal > 4000").select(
             s("s_suppkey").alias("user_id"), F.when(k % 3 == 0, "minutes").otherwise("percent").alias("kind"), F.lit(50).alias("percent"),
             (k % 30).alias("minutes"), F.when(k % 8 == 0, 1).otherwise(0).alias("extra_attempts"), (k % 14 == 0).alias("manually_unlocked"))
 
@@ -297,6 +301,20 @@ class Feed:
             F.col("x.l_quantity").alias("points"), (F.col("x.l_returnflag") == "A").alias("correct"))
 
 
+def block_of():
+    """The block of assignments a part is in: 400, whose 25 brands are courses of the same 20 students."""
+    return F.expr("p_partkey div 400")
+
+
+def course_of():
+    return F.concat_ws("-", "p_brand", block_of())
+
+
+def seat(step: int = 0):
+    """The student of the part's block who stands for a line item's supplier, or one ``step`` seats on."""
+    return F.expr(f"(l_partkey div 400) * 20 + (l_suppkey + {step}) % 20")
+
+
 def event_course():
     """Course of an event: the tens digit of its property ``k``."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
@@ -350,16 +368,17 @@ FEED_SQL["late_rows"] = """
 SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, l_orderkey || '-' || l_linenumber AS user_id,
  date_diff('second', o_orderdate, l_shipdate) > 0 AS late, date_diff('second', o_orderdate, l_shipdate) AS seconds_late,
  l_quantity AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
-FEED_SQL["enrolled"] = """
-SELECT p_brand AS course_id, CAST(p_partkey AS VARCHAR) AS assignment_id, CAST(s_suppkey AS VARCHAR) AS user_id, s_name AS name
-FROM part JOIN supplier ON CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) = s_nationkey + 1"""
-FEED_SQL["submissions"] = """
-SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, CAST(l_suppkey AS VARCHAR) AS user_id,
+COURSE, SEAT = "p_brand || '-' || p_partkey // 400", "l_partkey // 400 * 20 + l_suppkey % 20"
+FEED_SQL["enrolled"] = f"""
+SELECT {COURSE} AS course_id, CAST(p_partkey AS VARCHAR) AS assignment_id, CAST(s_suppkey AS VARCHAR) AS user_id, s_name AS name
+FROM part JOIN supplier ON p_partkey // 400 = s_suppkey // 20"""
+FEED_SQL["submissions"] = f"""
+SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, CAST(seat AS VARCHAR) AS user_id,
  CASE WHEN x.f <> 'R' THEN x.d END AS submitted_at, x.n = 7 AS excused, x.q AS score,
  CASE x.f WHEN 'R' THEN 'unsubmitted' WHEN 'N' THEN 'graded' ELSE 'submitted' END AS status,
  CAST(attempt AS INT) AS attempt, x.n AS words
-FROM (SELECT l_partkey, l_suppkey, count(*) AS attempt, max({'d': l_shipdate, 'o': l_orderkey, 'n': l_linenumber,
-  'q': l_quantity, 'f': l_returnflag}) AS x FROM lineitem GROUP BY ALL)"""
+FROM (SELECT l_partkey, {SEAT} AS seat, count(*) AS attempt, max({{'d': l_shipdate, 'o': l_orderkey, 'n': l_linenumber,
+  'q': l_quantity, 'f': l_returnflag}}) AS x FROM lineitem GROUP BY ALL)"""
 
 EVENT_COURSE = "CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) // 10 AS VARCHAR)"
 FEED_SQL["marks"] = f"""
@@ -467,15 +486,16 @@ SELECT CAST(p_partkey%97 AS VARCHAR) AS course_id, CAST(p_partkey AS VARCHAR) AS
 FEED_SQL["items"] = """
 SELECT course_id, assignment_id, name, due_at, needs_grading, kind, exam, proctored, code, label
 FROM assignments JOIN course_names USING (course_id) WHERE due_at IS NOT NULL"""
-FEED_SQL["targets"] = """
-SELECT p_brand AS course_id, CAST(p_partkey AS VARCHAR) AS assignment_id, CASE WHEN p_size<>50 THEN TIMESTAMP '2026-10-25 04:59:00' + to_days(p_size%14) END AS due_at,
+FEED_SQL["targets"] = f"""
+SELECT {COURSE} AS course_id, CAST(p_partkey AS VARCHAR) AS assignment_id, CASE WHEN p_size<>50 THEN TIMESTAMP '2026-10-25 04:59:00' + to_days(p_size%14) END AS due_at,
  CASE WHEN p_size%2=1 THEN TIMESTAMP '2026-10-25 04:59:00' + to_days(p_size%14 + p_size%3) END AS lock_at,
  CASE WHEN p_type='PROMO' THEN 'UTC' ELSE 'America/Chicago' END AS time_zone FROM part"""
-FEED_SQL["overrides"] = """
+FEED_SQL["overrides"] = f"""
 SELECT CAST(l_partkey AS VARCHAR) AS assignment_id, l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS override_id,
- CASE WHEN l_linenumber=1 THEN CASE WHEN l_discount>0.05::DOUBLE THEN [CAST(l_suppkey AS VARCHAR), CAST(l_suppkey+25 AS VARCHAR)] ELSE [CAST(l_suppkey AS VARCHAR)] END END AS student_ids,
- CASE WHEN l_linenumber=2 THEN CAST(l_suppkey%3 AS VARCHAR) END AS section_id,
- CASE WHEN l_tax>0 THEN TIMESTAMP '2026-11-10 05:59:00' + to_days(CAST(l_quantity AS INT)) END AS due_at FROM lineitem WHERE l_linenumber<=2"""
+ CASE WHEN l_linenumber%2=1 THEN CASE WHEN l_discount>0.05::DOUBLE THEN [CAST({SEAT} AS VARCHAR), CAST(l_partkey // 400 * 20 + (l_suppkey+7) % 20 AS VARCHAR)]
+  ELSE [CAST({SEAT} AS VARCHAR)] END END AS student_ids,
+ CASE WHEN l_linenumber%2=0 THEN CAST(l_suppkey%3 AS VARCHAR) END AS section_id,
+ CASE WHEN l_tax>0 THEN TIMESTAMP '2026-11-10 05:59:00' + to_days(CAST(l_quantity AS INT)) END AS due_at FROM lineitem"""
 FEED_SQL["effective"] = """
 SELECT e.course_id, e.assignment_id, e.user_id, t.time_zone, coalesce(b.o.how, 'everyone') AS how, CASE WHEN b.o IS NULL THEN t.due_at ELSE b.o.due END AS due_at,
  t.lock_at, CASE WHEN b.o.how='adhoc' THEN b.o.id END AS override_id, coalesce(b.o.shared, 0) AS shared_with
@@ -484,11 +504,11 @@ FROM enrolled e JOIN targets t USING (course_id, assignment_id) LEFT JOIN
   (SELECT assignment_id, override_id, due_at, 'adhoc' AS how, len(student_ids)-1 AS shared, unnest(student_ids) AS user_id FROM overrides WHERE student_ids IS NOT NULL
    UNION ALL SELECT o.assignment_id, o.override_id, o.due_at, 'section', 0, m.user_id FROM overrides o JOIN enrolled m USING (assignment_id)
    WHERE o.section_id = CAST(CAST(m.user_id AS INT)%3 AS VARCHAR)) GROUP BY ALL) b USING (assignment_id, user_id)"""
-FEED_SQL["quizzes"] = """
-SELECT p_brand AS course_id, CAST(p_partkey AS VARCHAR) AS quiz_id, CASE WHEN p_size>10 THEN p_size END AS time_limit FROM part WHERE p_type='PROMO'"""
+FEED_SQL["quizzes"] = f"""
+SELECT {COURSE} AS course_id, CAST(p_partkey AS VARCHAR) AS quiz_id, CASE WHEN p_size>10 THEN p_size END AS time_limit FROM part"""
 FEED_SQL["grants"] = """
 SELECT CAST(s_suppkey AS VARCHAR) AS user_id, CASE WHEN s_suppkey%3=0 THEN 'minutes' ELSE 'percent' END AS kind, 50 AS percent, CAST(s_suppkey%30 AS INT) AS minutes,
- CASE WHEN s_suppkey%8=0 THEN 1 ELSE 0 END AS extra_attempts, s_suppkey%14=0 AS manually_unlocked FROM supplier WHERE s_suppkey%2=0"""
+ CASE WHEN s_suppkey%8=0 THEN 1 ELSE 0 END AS extra_attempts, s_suppkey%14=0 AS manually_unlocked FROM supplier WHERE s_acctbal > 4000"""
 
 # Fixed values of the feed: question type by part type.
 QUESTION_TYPES = {"ECONOMY": "essay_question", "PROMO": "file_upload_question", "SMALL": "true_false_question", "LARGE": "hologram_question",

@@ -70,8 +70,8 @@ def term_summary(feed):
     return schedule.term_summary(with_terms(feed), dates.current_term_code(F.lit("2025-05-20").cast("date")))
 
 
-@query("taught_students", """SELECT user_id, any_value(name) AS name, list_sort(list_distinct(list(course_id))) AS courses, CAST(user_id AS INT) % 2 = 0 AS accommodated
- FROM enrolled GROUP BY user_id""", "enrolled")
+@query("taught_students", """SELECT user_id, any_value(name) AS name, list_sort(list_distinct(list(course_id))) AS courses, any_value(g.percent) IS NOT NULL AS accommodated
+ FROM enrolled LEFT JOIN grants g USING (user_id) GROUP BY user_id""", "enrolled grants")
 def taught_students(feed):
     return schedule.taught_students(feed.enrolled, feed.grants)
 
@@ -141,7 +141,7 @@ LOCAL = "CAST(timezone(time_zone, timezone('UTC', due_at)) AS DATE)"
 @query("in_window", f"""SELECT DISTINCT course_id, assignment_id FROM (SELECT course_id, assignment_id, time_zone, due_at FROM effective UNION ALL SELECT course_id, assignment_id, time_zone, due_at FROM targets)
  WHERE {LOCAL} BETWEEN DATE '2026-10-26' AND DATE '2026-10-28'""", EFF)
 def in_window(feed):
-    windows = feed.part.select(c("p_brand").alias("course_id")).distinct().select(
+    windows = feed.targets.select("course_id").distinct().select(
         "course_id", F.lit("2026-10-26").cast("date").alias("start"), F.lit("2026-10-28").cast("date").alias("end"))
     return plans.touches_window(effective(feed), feed.targets, windows)
 
