@@ -10,19 +10,21 @@ Format, one Parquet row per block of whole documents (so Spark's committer and s
 Shards are ranges of doc_id in ascending order, blocks ascend within a shard, so (shard, block) is the order of the whole file set.
 Offsets of a shard are the sum of the shards before it: one number per shard, never a global sort of ids.
 
-Ids are those of the tokenizers library without special tokens, ``END`` after each document. Pre-tokens never cross white space
-there, so a text is encoded by the pieces between its blanks and line feeds, recurring ones once per worker.
+Ids are those of the tokenizers library without special tokens, ``END`` after each document. Where a tokenizer's pre-tokens never cross white
+space, which is checked when it is loaded, recurring pieces and pre-tokens are encoded once per worker; else every whole text is.
 
-Null or empty text: only the end id. Null doc_id: sorts first. Repeated doc_ids: ordered by text; equal rows follow one another. Extra columns
+Null or empty text: only the end id. Null doc_id: sorts first. Repeated doc_ids: ordered by the hash of the text, then the text; equal rows follow one another. Extra columns
 are not written. Empty table: no blocks, empty result.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,16 @@ ESCAPED = (1 << 15) - 1
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 #: Bits of every code.
 WIDTH = np.array([c.bit_length() for c in range(ESCAPED + 1)], np.uint8)
-#: Letters that the pre-tokenizer parts from a full stop or a comma after them.
-_LETTERS_AND_MARK = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]")
+# How a tokenizer must normalise and cut a text for its ids to be put together from those of pre-tokens.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pieces whose characters no normal form changes and whose lower case is the same everywhere, and ``CUT`` for such pieces.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ‘’“”–—…]+")
+_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: A worker's memo: entries, and the longest piece kept; a matter of speed only.
 ENTRIES, LENGTH = 600_000, 40
+#: Pre-tokens asked for in one text.
+TOGETHER = 500
 
 BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())),
                    ("n_ids", pa.int64()), ("words", pa.binary()), ("escapes", pa.binary())])
@@ -109,32 +117,71 @@ def unpack(words: bytes, escapes: bytes, n: int) -> np.ndarray:
 # ---- encoding -----------------------------------------------------------------------------------------------------------------
 
 class Encoder:
+    """Ids of whole texts, put together from those of their pre-tokens where the tokenizer's own configuration shows that this is the same.
+
+    A text is cut at blanks and line feeds, a plain piece further as ``CUT`` does; the library is asked for each pre-token once. Pieces with
+    other characters or a mark of an added token are asked for whole. A tokenizer that works in another way gets whole texts.
+    """
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        told = json.loads(self.tokenizer.to_str())
+        cuts = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_pieces = (
+            (told["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and cuts[0] == {"type": "Split", "pattern": {"Regex": CUT}, "behavior": "Removed", "invert": True}
+            and [(c.get("type"), c.get("add_prefix_space"), c.get("use_regex")) for c in cuts[1:]] == [("ByteLevel", False, False)]
+            and not told["truncation"] and not told["padding"] and not told["model"].get("dropout"))
+        # an added token may stand inside a text: its content must show by its mark, hold no blank and take none beside it
+        self.by_pieces &= all(t["content"].startswith("<|") and " " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])
+                              for t in told["added_tokens"])
+        # every character can end a pre-token, and exactly the ids with the suffix do
+        vocab, suffix = told["model"]["vocab"], told["model"].get("end_of_word_suffix")
+        self.by_pieces &= bool(suffix) and sum(len(t) == 1 + len(suffix) and t.endswith(suffix) for t in vocab) >= 256
+        if self.by_pieces:
+            self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.is_end[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def asked(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def asked_together(self, pre_tokens: list[str]) -> list[bytes]:
+        """Ids of plain pre-tokens: many in one text, which is cut after the ids that end a pre-token."""
+        texts = [" ".join(pre_tokens[i:i + TOGETHER]) for i in range(0, len(pre_tokens), TOGETHER)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found)))
+        ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
+        if len(ends) != len(pre_tokens):
+            raise ValueError("the tokenizer cuts plain text in another way than its configuration says")
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, END included."""
-        end, memo, older = END.to_bytes(4, "little"), self.memo, self.older.get
+        end = END.to_bytes(4, "little")
+        if not self.by_pieces:
+            return [ids + end for ids in self.asked([t or "" for t in texts])]
+        memo, older = self.memo, self.older.get
         memo[""] = b""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = {p: older(p) for p in set().union(*cut) if p not in memo}
-        miss = [p for p, i in new.items() if i is None]
-        marked = [p for p in miss if _LETTERS_AND_MARK.fullmatch(p)]
-        bare = {p: None for p in miss} | {x: None for p in marked for x in (p[:-1], p[-1])}
-        bare = {p: memo.get(p) or older(p) for p in bare.keys() - set(marked)}
-        ask = [p for p, i in bare.items() if i is None]
-        for p, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            bare[p] = np.array(e.ids, "<u4").tobytes()
-        new |= bare | {p: bare[p[:-1]] + bare[p[-1]] for p in marked}
+        new = {p: older(p) for p in set().union(*cut).difference(memo)}
+        parts = {p: _PRE_TOKENS.findall(p.lower()) for p, i in new.items() if i is None and "<|" not in p and _PLAIN.fullmatch(p)}
+        odd = [p for p, i in new.items() if i is None and p not in parts]
+        new.update(zip(odd, self.asked(odd), strict=True))
+        bare = {x: memo.get(x) or new.get(x) or older(x) for x in set(chain.from_iterable(parts.values()))}
+        ask = [x for x, i in bare.items() if i is None]
+        bare.update(zip(ask, self.asked_together(ask), strict=True))
+        new |= bare
+        new |= {p: b"".join([bare[x] for x in xs]) for p, xs in parts.items()}
         memo.update(new)
         out = [b"".join(map(memo.__getitem__, pieces)) + end for pieces in cut]
-        for p in new:
-            if len(p) > LENGTH:
-                del memo[p]
+        for p in [p for p in new if len(p) > LENGTH]:
+            del memo[p]
         if len(memo) > ENTRIES:  # the last generation stays in reach, so frequent pieces are not lost
             self.memo, self.older = {}, memo
         return out
@@ -168,7 +215,7 @@ def write(docs: DataFrame, path: str | None = None, partitions: int | None = Non
             return pa.RecordBatch.from_pylist([{"shard": 0, "block": block, "doc_ids": keys, "doc_ends": ends.tolist(), "n_ids": len(ids),
                                                 "words": words, "escapes": escapes}], schema=BLOCK)
 
-        for batch in batches_of(batches, 512):
+        for batch in batches_of(batches, 128):
             for key, blob in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 keys.append(key)
                 blobs.append(blob)

@@ -251,6 +251,22 @@ def test_simple8b_round_trip():
         assert len(words) % 8 == 0 and (simple8b.unpack(words, escapes, len(ids)) == ids).all()
 
 
+def test_token_ids_are_the_librarys():
+    import random
+
+    import public_tokenizers
+
+    r = random.Random(5)
+    signs = "aAzZ09'stredvml .,!?<|>endoftexstar\n\t\x1c\x85 éÉßÿ×÷ªµ’“—…İıǆ٣é一Σσς\u200b\u0301"
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    texts += ["<|endoftext|>", "a<|startoftext|>b", "It'S don'T 's''s", "", "x" * 50_000, "'" * 3000, " \n "]
+    for name, by_pieces in ((simple8b.TOKENIZER, True), ("byte_bpe_50k.json", False)):
+        encoder = simple8b.Encoder(public_tokenizers.path(name))
+        assert encoder.by_pieces is by_pieces
+        end = simple8b.END.to_bytes(4, "little")
+        assert encoder.encode(texts) == [ids + end for ids in encoder.asked(texts)] == encoder.encode(texts)
+
+
 def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
