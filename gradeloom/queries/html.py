@@ -180,9 +180,31 @@ def body_corpus(feed):
     return corpus.groupBy("kind").agg(F.count(F.lit(1)).alias("bodies"), F.count_distinct("sha256").alias("distinct_bodies"), F.min("sha256").alias("first_sha"))
 
 
-@query("bulk_rewrite", "SELECT page_id, 2 AS changes FROM bodies WHERE page_id % 8 = 4", B)
+CODE_LINES = '<p><strong>if (x &lt; 1) {</strong></p> <p><b>&nbsp;&nbsp;return&nbsp;x;<br></b></p><p><em>}</em></p><p><i><b>Read the <u>whole</u> chapter twice before the next class.</b></i></p>'
+CODE_BLOCK = ('<div style="' + html_audit.CODE_STYLE.replace("'", "''") + '">if (x &lt; 1) {\n  return x;\n}</div><p>Read the <u>whole</u> chapter twice before the next class.</p>')
+PARTED, REDUCED = '<span style="border: 1px solid #d7dce3; font-weight: bold">kept', '<span style="font-weight: bold">kept'
+
+
+def rewritable(feed):
+    """The pages, with code runs after every fifth and boxes of two kinds, some without an end, after others."""
+    k = F.col("page_id")
+    more = (F.when(k % 5 == 1, CODE_LINES).when(k % 5 == 2, f"{PARTED} <span>x</span></span>")
+            .when(k % 5 == 3, '<span style="border: 1px solid #d7dce3">open').otherwise(""))
+    return feed.bodies.select("page_id", F.concat("html", more).alias("html"))
+
+
+@query("bulk_rewrite", fr"""SELECT page_id, changes, boxes, held, sha256(CASE WHEN held IS NULL THEN n ELSE o END) AS sha256 FROM
+ (SELECT *, trim(html || CASE page_id%5 WHEN 1 THEN '{CODE_LINES}' WHEN 2 THEN '{PARTED} <span>x</span></span>' WHEN 3 THEN '<span style="border: 1px solid #d7dce3">open' ELSE '' END) AS o,
+   trim(replace(replace(replace(html, '<p><strong>You Do It 1</strong></p>', '<h3 style="{html_audit.HEADING_STYLE}">You Do It 1</h3>'),
+     '<p><b>This sentence is bold for no good reason at all.</b></p>', '<p>This sentence is bold for no good reason at all.</p>'), '<span style="border: 1px solid #d7dce3;">boxed</span>', 'boxed')
+    || CASE page_id%5 WHEN 1 THEN '{CODE_BLOCK}' WHEN 2 THEN '{REDUCED} <span>x</span></span>' ELSE '' END) AS n,
+   CASE WHEN page_id%5 = 3 THEN 'unbalanced span' END AS held,
+   CASE WHEN page_id%5 IN (2, 3) THEN 1 ELSE 0 END + CASE WHEN page_id%8 = 7 THEN 1 ELSE 0 END AS boxes,
+   CASE WHEN page_id%5 IN (2, 3) THEN 1 ELSE 0 END + CASE WHEN page_id%8 = 7 THEN 1 ELSE 0 END + CASE WHEN page_id%8 = 4 THEN 2 ELSE 0 END + CASE WHEN page_id%5 = 1 THEN 2 ELSE 0 END AS changes
+  FROM bodies) WHERE changes > 0""", B)
 def bulk_rewrite(feed):
-    return html_audit.bulk_rewrite(feed.bodies, "page_id", "html").select("page_id", "changes")
+    done = html_audit.bulk_rewrite(rewritable(feed), "page_id", "html", heading_style=html_audit.HEADING_STYLE, colour=html_audit.HAIRLINE)
+    return done.select("page_id", "changes", "boxes", "held", F.sha2("html", 256).alias("sha256"))
 
 
 @query("rewrite_gate", """SELECT page_id, note, list_filter([CASE WHEN page_id % 4 = 1 THEN 'text changed' END, CASE WHEN page_id % 8 IN (3, 6) AND page_id % 4 = 2 THEN 'href set changed' END,
