@@ -142,25 +142,27 @@ def replace_map(texts: DataFrame, keys: list[str], text: str, mapping: dict[str,
 
 def text_survival(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Share of the original's words that still occur in the revised text; pass at 98%."""
-    def words(df):
-        toks = F.filter(F.split("text", r"(?U)\s+"), lambda w: ~w.startswith("/"))
-        return df.select(key, F.explode(F.transform(toks, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))).alias("w")).where("w <> ''")
-    counted = words(old).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
-    kept = words(new).distinct().withColumn("_k", F.lit(True))
-    j = counted.join(kept, [key, "w"], "left")
-    per = j.groupBy(key).agg(F.sum("n").alias("words"), F.sum(F.when(F.col("_k").isNull(), F.col("n")).otherwise(0)).alias("missing"))
+    # what is no letter, digit or blank goes in one pass, as do words that begin with a slash; both versions meet in one shuffle of texts
+    bare = F.regexp_replace("text", r"(?U)(?<!\S)/\S*|[^\p{L}\p{N}\s]+", "")
+    sides = old.select(key, "text", F.lit(True).alias("_old")).union(new.select(key, "text", F.lit(False))).repartition(key)
+    each = sides.select(key, "_old", F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "").alias("w"))
+    each = each.select(key, F.col("_old").cast("int").alias("_n"), F.explode(F.when(F.col("_old"), F.col("w")).otherwise(F.array_distinct("w"))).alias("w"))
+    j = each.groupBy(key, "w").agg(F.sum("_n").alias("n"), F.min("_n").alias("_side")).where("n > 0")
+    gone = (F.col("_side") == 1) | F.col(key).isNull()  # a null key meets nothing
+    per = j.groupBy(key).agg(F.sum("n").alias("words"), F.sum(F.when(gone, F.col("n")).otherwise(0)).alias("missing"))
     share = 1.0 - F.col("missing") / F.col("words")
     return per.select(key, "words", "missing", F.round(share, 4).alias("share"), (share >= SURVIVAL).alias("ok"))
 
 
 def word_diff(old: DataFrame, new: DataFrame, key: str, html: str = "html", top: int = 30) -> DataFrame:
     """Words lost and gained between two versions as multisets; totals over all, the top thirty listed."""
-    def counts(df, name):
-        toks = F.regexp_extract_all(F.lower(visible_text(F.col(html))), F.lit("[a-z0-9]+"), F.lit(0))
-        return df.select(key, F.explode(toks).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias(name))
-    j = counts(old, "a").join(counts(new, "b"), [key, "word"], "full_outer").na.fill(0, ["a", "b"]).where("a <> b")
+    toks = F.regexp_extract_all(F.lower(visible_text(F.col(html))), F.lit("[a-z0-9]+"), F.lit(0))
+    sides = old.select(key, html, F.lit(1).alias("_old")).union(new.select(key, html, F.lit(0))).where(F.col(key).isNotNull()).repartition(key)
+    each = sides.select(key, "_old", F.explode(toks).alias("word"))
+    j = each.groupBy(key, "word").agg(F.sum("_old").alias("a"), F.sum(1 - F.col("_old")).alias("b")).where("a <> b")
     side = F.when(F.col("a") > F.col("b"), "lost").otherwise("gained")
     rows = j.select(key, side.alias("side"), "word", F.abs(F.col("a") - F.col("b")).alias("count"))
-    totals = rows.groupBy(key, "side").agg(F.sum("count").alias("total"))
     order = W.partitionBy(key, "side").orderBy(F.desc("count"), "word")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).join(totals, [key, "side"])
+    total = F.sum("count").over(W.partitionBy(key, "side"))
+    ranked = rows.withColumn("place", F.row_number().over(order)).withColumn("total", total)
+    return ranked.where(F.col("place") <= top)

@@ -8,7 +8,7 @@ from gradeloom.operators import files, inbox, overlap, prose
 from gradeloom.plans import changes
 from gradeloom.queries.registry import query
 from gradeloom.sources import snapshots
-from gradeloom.staging import shared_folder
+from gradeloom.staging import shared_folder, stage
 
 
 def c(n):
@@ -226,7 +226,7 @@ def text_survival(feed):
  SELECT page_id, side, word, count, place, total FROM (SELECT *, row_number() OVER (PARTITION BY page_id, side ORDER BY count DESC, word) AS place, CAST(sum(count) OVER (PARTITION BY page_id, side) AS BIGINT) AS total FROM d) WHERE place<=30""", "bodies texts")
 def word_diff(feed):
     from gradeloom.functions.html import visible_text
-    old = feed.bodies.select("page_id", visible_text(c("html")).alias("html"))
+    old = stage(feed.bodies.select("page_id", visible_text(c("html")).alias("html")))
     return files.word_diff(old, old.select("page_id", F.replace("html", F.lit(" the "), F.lit(" one two ")).alias("html")), "page_id")
 
 
