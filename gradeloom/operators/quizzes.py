@@ -83,9 +83,16 @@ def quiz_review(bank: DataFrame, takers: DataFrame, answers: DataFrame, user: st
     key = ["quiz_id", "question_id"]
     choices = bank.select(*key, F.posexplode("answers").alias("_at", "a")).select(*key, F.col("a.id").alias("answer_id"), "_at", html_to_text(F.col("a.text")).alias("_c"))
     choices = choices.groupBy(*key, "answer_id").agg(F.min_by("_c", "_at").alias("_choice"))
-    given = answers.select(user, *key, "answer_id", "points", "correct", F.when(F.col("text").isNotNull(), html_to_text(F.col("text"))).alias("_text"))
-    given = given.join(choices, [*key, "answer_id"], "left").drop("answer_id")
-    rows = takers.join(bank.drop("answers"), "quiz_id").join(given, [user, *key], "left")
+    asked = bank.drop("answers").join(choices.groupBy(*key).agg(F.collect_list(F.struct("answer_id", "_choice")).alias("_choices")), key, "left")
+    # a student's answers to one quiz travel together, and the quiz's questions come to them last
+    text = F.when(F.col("text").isNotNull(), html_to_text(F.col("text")))
+    given = answers.select(user, "quiz_id", F.struct("question_id", "answer_id", "points", "correct", text.alias("_text")).alias("_a"))
+    given = given.groupBy(user, "quiz_id").agg(F.collect_list("_a").alias("_given"))
+    rows = takers.join(given, [user, "quiz_id"], "left").join(asked, "quiz_id")
+    own = F.filter("_given", lambda g: g["question_id"] == F.col("question_id"))
+    rows = rows.select(user, *key, "position", "question_type", "points_possible", "_choices", F.explode_outer(own).alias("_a"))
+    rows = rows.select("*", "_a.answer_id", "_a.points", "_a.correct", "_a._text")
+    rows = rows.withColumn("_choice", F.get(F.filter("_choices", lambda x: x["answer_id"] == F.col("answer_id")), F.lit(0))["_choice"])
     manual = F.col("question_type").isin(*MANUAL_TYPES)
     response = F.when(manual, F.coalesce(F.nullif(F.col("_text"), F.lit("")), F.lit("(no written answer)"))).otherwise(
         F.coalesce(F.nullif(F.col("_choice"), F.lit("")), F.lit("(no choice recorded)")))
