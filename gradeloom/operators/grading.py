@@ -58,7 +58,8 @@ def rubric_health(scored: DataFrame, rubric: DataFrame, keys: list[str], scores:
     cells = (scored.select(*keys, whole.alias("_all"), F.explode(scores).alias("criterion_id", "_v"))
              .select(*keys, "criterion_id", F.coalesce("_v", F.lit(0.0)).alias("v"),
                      (F.col("_all") - F.coalesce("_v", F.lit(0.0))).alias("rest")))
-    joined = cells.join(rubric.where("points > 0").select(*keys, "criterion_id", "label", "points"),
+    # the few rows of the rubric are looked up, so that no task sorts its scores
+    joined = cells.join(rubric.where("points > 0").select(*keys, "criterion_id", "label", "points").hint("shuffle_hash"),
                         [*keys, "criterion_id"])
     v, top = F.col("v"), F.col("points")
     agg = joined.groupBy(*keys, "criterion_id", "label", "points").agg(
@@ -210,7 +211,7 @@ def weak_row_evidence(scored: DataFrame, health: DataFrame, keys: list[str], use
             .select(*keys, "criterion_id", "weak_rank", "mean_pct"))
     cells = scored.select(*keys, user, F.explode(scores).alias("criterion_id", "scored"))
     lowest = W.partitionBy(*keys, "criterion_id").orderBy("scored", user)
-    return (cells.join(weak, [*keys, "criterion_id"])
+    return (cells.join(weak.hint("shuffle_hash"), [*keys, "criterion_id"])
             .withColumn("place", F.row_number().over(lowest)).where(F.col("place") <= students)
             .select(*keys, "weak_rank", "criterion_id", "mean_pct", "place", user, "scored"))
 
