@@ -22,9 +22,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +45,9 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces whose characters no normal form changes and whose lower case is the same everywhere, and ``CUT`` for such pieces.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ‘’“”–—…]+")
-_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-#: A worker's memo: entries, and the longest piece kept; a matter of speed only.
-ENTRIES, LENGTH = 600_000, 40
+_PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^ a-z0-9ß-öø-ÿ]+")
+#: Entries and ids that a worker's store holds before it starts anew; a matter of speed only.
+ENTRIES, STORED = 1_000_000, 1 << 23
 #: Pre-tokens asked for in one text.
 TOGETHER = 500
 
@@ -116,19 +116,60 @@ def unpack(words: bytes, escapes: bytes, n: int) -> np.ndarray:
 
 # ---- encoding -----------------------------------------------------------------------------------------------------------------
 
+class Store(dict):
+    """Numbers of strings, given as they are first asked for, and their ids, which lie in one array.
+
+    ``fill`` returns the ids of new strings, one after the other, and how many each has.
+    """
+
+    def __init__(self, fill: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], fixed: dict[str | None, list[int]]):
+        super().__init__()
+        self.fill, self.fixed = fill, fixed
+        self.start_anew()
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
+        return number
+
+    def start_anew(self) -> None:
+        self.clear()
+        self.update({key: i for i, key in enumerate(self.fixed)})
+        self.new: list[str] = []
+        self.sizes = np.array([len(x) for x in self.fixed.values()])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.array([i for x in self.fixed.values() for i in x], "<u4")
+
+    def ids_of(self, keys: Iterable[str | None], count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``count`` strings, one after the other, and how many there are up to the end of each."""
+        if len(self) > ENTRIES or len(self.ids) > STORED:
+            self.start_anew()
+        numbers = np.fromiter(map(self.__getitem__, keys), np.int64, count)
+        if self.new:
+            ids, sizes = self.fill(self.new)
+            self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
+            self.sizes, self.ids, self.new = np.r_[self.sizes, sizes], np.r_[self.ids, ids], []
+        sizes = self.sizes[numbers]
+        upto = np.cumsum(sizes)
+        places = np.repeat(self.starts[numbers] - (upto - sizes), sizes)
+        places += np.arange(len(places))
+        return self.ids[places], upto
+
+
 class Encoder:
     """Ids of whole texts, put together from those of their pre-tokens where the tokenizer's own configuration shows that this is the same.
 
     A text is cut at blanks and line feeds, a plain piece further as ``CUT`` does; the library is asked for each pre-token once. Pieces with
-    other characters or a mark of an added token are asked for whole. A tokenizer that works in another way gets whole texts.
+    other characters or a mark of an added token are asked for whole. A tokenizer that works in another way gets whole texts. A text becomes the
+    numbers of its pieces, one look-up each, and the ids of a batch of texts are gathered at once; new pieces likewise from their pre-tokens.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = Store(self.fill_pieces, {None: [END], "": []})
+        self.pre_tokens = Store(self.fill_pre_tokens, {" ": []})
         told = json.loads(self.tokenizer.to_str())
         cuts = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         self.by_pieces = (
@@ -150,41 +191,43 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def asked_together(self, pre_tokens: list[str]) -> list[bytes]:
+    def fill_pre_tokens(self, pre_tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain pre-tokens: many in one text, which is cut after the ids that end a pre-token."""
         texts = [" ".join(pre_tokens[i:i + TOGETHER]) for i in range(0, len(pre_tokens), TOGETHER)]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), "<u4", sum(map(len, found)))
-        ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
-        if len(ends) != len(pre_tokens):
+        sizes = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+        if len(sizes) != len(pre_tokens):
             raise ValueError("the tokenizer cuts plain text in another way than its configuration says")
-        raw, ends = ids.tobytes(), ends.tolist()
-        return [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        return ids, sizes
+
+    def fill_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces: plain ones from their pre-tokens, the others as the library gives them."""
+        plain = [bool(_PLAIN.fullmatch(p)) and "<|" not in p for p in pieces]
+        odd = [p for p, is_plain in zip(pieces, plain, strict=True) if not is_plain]
+        asked = self.asked(odd)
+        # a blank, which has no ids, stands after each plain piece
+        parts = _PRE_TOKENS.findall("".join([f"{p} " for p in compress(pieces, plain)]).lower())
+        ids, upto = self.pre_tokens.ids_of(parts, len(parts))
+        ends = upto[np.fromiter((i for i, x in enumerate(parts) if x == " "), np.int64, len(pieces) - len(odd))]
+        plain, sizes = np.array(plain, bool), np.zeros(len(pieces), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(ends, prepend=0), [len(x) // 4 for x in asked]
+        out, of_plain = np.empty(sizes.sum(), "<u4"), np.repeat(plain, sizes)
+        out[of_plain], out[~of_plain] = ids, np.frombuffer(b"".join(asked), "<u4")
+        return out, sizes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, END included."""
-        end = END.to_bytes(4, "little")
         if not self.by_pieces:
+            end = END.to_bytes(4, "little")
             return [ids + end for ids in self.asked([t or "" for t in texts])]
-        memo, older = self.memo, self.older.get
-        memo[""] = b""
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = {p: older(p) for p in set().union(*cut).difference(memo)}
-        parts = {p: _PRE_TOKENS.findall(p.lower()) for p, i in new.items() if i is None and "<|" not in p and _PLAIN.fullmatch(p)}
-        odd = [p for p, i in new.items() if i is None and p not in parts]
-        new.update(zip(odd, self.asked(odd), strict=True))
-        bare = {x: memo.get(x) or new.get(x) or older(x) for x in set(chain.from_iterable(parts.values()))}
-        ask = [x for x, i in bare.items() if i is None]
-        bare.update(zip(ask, self.asked_together(ask), strict=True))
-        new |= bare
-        new |= {p: b"".join([bare[x] for x in xs]) for p, xs in parts.items()}
-        memo.update(new)
-        out = [b"".join(map(memo.__getitem__, pieces)) + end for pieces in cut]
-        for p in [p for p in new if len(p) > LENGTH]:
-            del memo[p]
-        if len(memo) > ENTRIES:  # the last generation stays in reach, so frequent pieces are not lost
-            self.memo, self.older = {}, memo
-        return out
+        cut = [[*t.replace("\n", " ").split(" "), None] if t else [None] for t in texts]
+        ends = np.cumsum([len(pieces) for pieces in cut])
+        if not cut:
+            return []
+        ids, upto = self.pieces.ids_of(chain.from_iterable(cut), int(ends[-1]))
+        raw, ends = ids.tobytes(), (4 * upto[ends - 1]).tolist()
+        return [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=2)
