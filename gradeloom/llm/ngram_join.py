@@ -2,14 +2,15 @@
 
 Tokens are the distinct five-word shingles of a text (its whole word sequence when it has fewer), as 64-bit hashes. Every global
 order used here puts tokens that only one distinct text has first and the shared ones after them, by a hash that differs per
-order. Two sets of similarity t or more share, under *every* order, one of their first n - ceil(t n) + 1 tokens; a token of one
-text cannot be that one. So a text whose shared tokens are fewer than t n drops out at once, and the others are met through the
-shared tokens left in their prefixes. Steps:
+order (families: by how common they are, rare ones first, and then by a hash). Two sets of similarity t or more share, under *every*
+order, one of their first n - ceil(t n) + 1 tokens; a token of one text cannot be that one. So a text whose shared tokens are fewer
+than t n drops out at once, and the others are met through the shared tokens left in their prefixes. Steps:
 
 1. texts with equal sets form one class (copies meet nowhere again);
 2. sharedness: tokens travel in packed blobs, once per batch and not per row, to the task of their hash range, which answers
-   each batch with the tokens that other classes have too. A token of a third of all texts is one entry per batch;
-3. families: classes that share prefix tokens of the first order are brought together through each token's hub, linear in the prefixes;
+   each batch with the tokens that other classes have too, and with how common they are. A token of a third of all texts is one entry per batch;
+3. families: classes that share prefix tokens, rare tokens first, are brought together through each token's hub, linear in the prefixes. A passage
+   of very many texts stands last in the order, so it does not bring them together, and families stay about as large as groups of near copies;
 4. in a family of several blocks, every class is verified against the hub it shares most prefix tokens with. These links join most near
    copies, one comparison each;
 5. a family is compared in blocks of bounded size, as matrices: pairs that step 4 has not joined must share a prefix token under every order
@@ -43,13 +44,16 @@ SIZE, NUMERATOR, DENOMINATOR = 5, 80, 100
 ORDERS = 2
 #: Tokens of one batch (map side) and of one hash range (reduce side): bounds of a task's memory.
 BATCH_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 21
+#: Parts that a hash range is sorted in, one after the other; sets on a token from which on it counts as common.
+SLICES, COMMON = 8, 8
 #: Sets and tokens of a block whose pairs one task compares; rows and columns of its matrices at a time; from how many sets on a token
 #: has a column.
 BLOCK_SETS, BLOCK_TOKENS, ROWS, COLUMNS, OFTEN = 4096, 1 << 20, 512, 512, 24
 #: Stands for "several classes of this batch"; a batch has fewer classes than this.
 NOBODY = np.uint16(0xFFFF)
 
-_word_hash = Memo(xxhash.xxh64_intdigest)
+#: Kept small: every worker of the session holds one until its end.
+_word_hash = Memo(xxhash.xxh64_intdigest, 1 << 17)
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -85,13 +89,25 @@ def prefix(shared: np.ndarray, n: int, order: int) -> np.ndarray:
     return shared[np.argsort(order_key(shared, order), kind="stable")[:max(keep, 0)]]
 
 
+def rarity(sets: np.ndarray) -> np.ndarray:
+    """One byte that grows with the number of sets that have a token; 0 for all tokens that are not common."""
+    return np.where(sets < COMMON, 0, np.minimum(8 * np.log2(np.maximum(sets, 1)), 255)).astype(np.uint8)
+
+
+def rare_prefix(shared: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
+    """Shared tokens among the first n - least + 1 tokens, rare ones first (``common``: ``rarity`` of each)."""
+    keep = len(shared) - least_overlap(n) + 1
+    return shared[np.lexsort((order_key(shared, 0), common))[:max(keep, 0)]]
+
+
 # ---- membership and sharedness ------------------------------------------------------------------------------------------------
 
 MEMBER = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary())])
 PACKED = pa.schema([("home", pa.int64()), ("batch", pa.binary()), ("tokens", pa.binary()), ("owner", pa.binary()), ("classes", pa.binary()),
-                    ("sizes", pa.binary())])
-ANSWER = pa.schema([("batch", pa.binary()), ("tokens", pa.binary()), ("owner", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
-SURVIVOR = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("shared", pa.binary())])
+                    ("sizes", pa.binary()), ("held", pa.binary())])
+ANSWER = pa.schema([("batch", pa.binary()), ("tokens", pa.binary()), ("owner", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary()),
+                    ("common", pa.binary())])
+SURVIVOR = pa.schema([("cls", pa.binary()), ("n", pa.int64()), ("shared", pa.binary()), ("first", pa.binary())])
 
 
 def _members(carried: bool):
@@ -127,15 +143,17 @@ def _pack(ranges: int):
         joined = b"".join(keys)
         # tasks that hold the same classes are different batches; a task run again gives the same names
         name = xxhash.xxh3_128_digest(np.array(place, np.int64).tobytes() + joined)
-        rows = [(int.from_bytes(name[:4], "little") % ranges, tokens[many].tobytes(), owner[many].astype(np.uint16).tobytes(), joined, sizes.tobytes())]
+        rows = [(int.from_bytes(name[:4], "little") % ranges, tokens[many].tobytes(), owner[many].astype(np.uint16).tobytes(), joined, sizes.tobytes(), None)]
         once, whose = tokens[first], np.where(count > 1, NOBODY, owner[first].astype(np.uint16))
         home = (once // np.uint64(width)).astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else []
         for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
-            rows.append((int(home[a]), squeeze(once[a:b] - np.uint64(int(home[a]) * width)), whose[a:b].tobytes(), joined, None))
+            held = np.minimum(count[a:b][whose[a:b] == NOBODY], 0xFFFF).astype(np.uint16)
+            rows.append((int(home[a]), squeeze(once[a:b] - np.uint64(int(home[a]) * width)), whose[a:b].tobytes(), joined, None, held.tobytes()))
         cols = list(zip(*rows, strict=True))
         yield table(PACKED, home=cols[0], batch=[name] * len(rows), tokens=cols[1], owner=cols[2],
-                    classes=[c if s is not None else _owners(c, o) for c, o, s in zip(cols[3], cols[2], cols[4], strict=True)], sizes=cols[4])
+                    classes=[c if s is not None else _owners(c, o) for c, o, s in zip(cols[3], cols[2], cols[4], strict=True)], sizes=cols[4],
+                    held=cols[5])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -187,62 +205,93 @@ def _answer(ranges: int):
     width = range_width(ranges)
 
     def answer(key: tuple, group: pa.Table) -> pa.Table:
-        """For one hash range: the tokens of each batch that some other class has too."""
+        """For one hash range: the tokens of each batch that some other class has too. Of those that the batch knows to be shared, the common ones."""
         asked = group.filter(group.column("sizes").is_null())
-        heads = group.filter(group.column("sizes").is_valid()).select(ANSWER.names)
-        base = np.uint64(key[0].as_py() * width)
-        tokens = [unsqueeze(b.as_buffer()) + base for b in asked.column("tokens")]
+        heads = group.filter(group.column("sizes").is_valid()).select(ANSWER.names[:-1])
+        heads = heads.append_column("common", pa.nulls(len(heads), pa.binary())).cast(ANSWER)
+        low = key[0].as_py() * width
+        tokens = [unsqueeze(b.as_buffer()) + np.uint64(low) for b in asked.column("tokens")]
         if not tokens:
-            return heads.cast(ANSWER)
+            return heads
         owners = [np.frombuffer(b.as_buffer(), np.uint16) for b in asked.column("owner")]
-        named = []
-        for blob, owner in zip(asked.column("classes"), owners, strict=True):
+        named, held = [], []
+        for blob, owner, counts in zip(asked.column("classes"), owners, asked.column("held"), strict=True):
             raw = np.frombuffer(blob.as_buffer(), np.uint8)
             half = len(raw) // 10
-            used, short = raw[:2 * half].view(np.uint16), raw[2 * half:].copy().view(np.uint64)
-            full = np.zeros(len(owner), np.uint64)
-            full[owner != NOBODY] = short[np.searchsorted(used, owner[owner != NOBODY])]
-            named.append(full)
-        every, many, named = np.concatenate(tokens), np.concatenate(owners) == NOBODY, np.concatenate(named)
-        by = np.argsort(every, kind="stable")
-        t, names = every[by], named[by]
-        start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        run = np.diff(np.r_[start, len(t)])
-        # one class in several batches is still one class; 0 marks a token that a batch knows to be shared
-        least, most = np.minimum.reduceat(names, start), np.maximum.reduceat(names, start)
-        shared = np.zeros(len(t), bool)
-        shared[by] = np.repeat((least != most) | (least == 0), run)
-        shared &= ~many  # those stay with their batch
-        out, at = {"batch": [], "tokens": [], "owner": []}, 0
-        for batch, mine, owner in zip(asked.column("batch"), tokens, owners, strict=True):
-            chosen = shared[at:at + len(mine)]
-            at += len(mine)
+            named.append((raw[:2 * half].view(np.uint16), raw[2 * half:].copy().view(np.uint64)))
+            held.append(np.ones(len(owner), np.uint16))
+            held[-1][owner == NOBODY] = np.frombuffer(counts.as_buffer(), np.uint16)
+        # a batch's tokens ascend, so a slice of the range is a slice of every batch
+        inner = np.array([min(low + width * k // SLICES, (1 << 64) - 1) for k in range(1, SLICES)], np.uint64)
+        cuts = [[0, *np.searchsorted(t, inner).tolist(), len(t)] for t in tokens]
+        out = [([], []) for _ in tokens]
+        for k in range(SLICES):
+            parts = [slice(c[k], c[k + 1]) for c in cuts]
+            told = _told([t[p] for t, p in zip(tokens, parts, strict=True)], [o[p] for o, p in zip(owners, parts, strict=True)], named,
+                         [h[p] for h, p in zip(held, parts, strict=True)])
+            for (chosen, common), (x, y) in zip(out, told, strict=True):
+                chosen.append(x)
+                common.append(y)
+        rows = []
+        for batch, mine, owner, (chosen, common) in zip(asked.column("batch"), tokens, owners, out, strict=True):
+            chosen = np.concatenate(chosen)
             if chosen.any():
-                out["batch"].append(batch.as_py())
-                out["tokens"].append(mine[chosen].tobytes())
-                out["owner"].append(owner[chosen].tobytes())
-        empty = [None] * len(out["batch"])
-        found = pa.Table.from_batches([table(ANSWER, **out, classes=empty, sizes=empty)])
-        return pa.concat_tables([heads.cast(ANSWER), found])
+                rows.append((batch.as_py(), mine[chosen].tobytes(), owner[chosen].tobytes(), np.concatenate(common)[chosen].tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        empty = [None] * len(rows)
+        found = table(ANSWER, batch=cols[0], tokens=cols[1], owner=cols[2], classes=empty, sizes=empty, common=cols[3])
+        return pa.concat_tables([heads, pa.Table.from_batches([found])])
 
     return answer
 
 
+def _told(tokens: list[np.ndarray], owners: list[np.ndarray], named: list[tuple[np.ndarray, np.ndarray]],
+          held: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each batch's tokens in one slice of a range: which of them it is told of, and their ``rarity``."""
+    every, many = np.concatenate(tokens), np.concatenate(owners) == NOBODY
+    if not len(every):
+        return [(np.zeros(0, bool), np.zeros(0, np.uint8))] * len(tokens)
+    names = np.zeros(len(every), np.uint64)
+    names[~many] = np.concatenate([short[np.searchsorted(used, o[o != NOBODY])] for o, (used, short) in zip(owners, named, strict=True)])
+    by = np.argsort(every, kind="stable")
+    t = every[by]
+    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    run = np.diff(np.r_[start, len(t)])
+    # one class in several batches is still one class; 0 marks a token that a batch knows to be shared
+    least, most = np.minimum.reduceat(names[by], start), np.maximum.reduceat(names[by], start)
+    chosen, common = np.zeros(len(t), bool), np.zeros(len(t), np.uint8)
+    chosen[by] = np.repeat((least != most) | (least == 0), run)
+    common[by] = np.repeat(rarity(np.add.reduceat(np.concatenate(held)[by], start, dtype=np.int64)), run)
+    chosen &= ~many | (common > 0)  # those stay with their batch, which takes them for rare
+    ends = np.cumsum([len(x) for x in tokens])[:-1]
+    return list(zip(np.split(chosen, ends), np.split(common, ends), strict=True))
+
+
 def _survivors(group: pa.Table) -> pa.Table:
     """The classes of a batch that have enough shared tokens to reach the threshold with anyone."""
     rows = group.to_pylist()
     head = next(r for r in rows if r["sizes"] is not None)
     sizes = np.frombuffer(head["sizes"], np.uint32)
-    tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
-    owner = np.concatenate([np.frombuffer(r["owner"], np.uint16) for r in rows])
+    told = [r for r in rows if r["sizes"] is None]
+    tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in [*told, head]])
+    owner = np.concatenate([np.frombuffer(r["owner"], np.uint16) for r in [*told, head]])
+    common = np.zeros(len(tokens), np.uint8)
+    at = len(tokens) - len(head["tokens"]) // 8
+    common[:at] = np.concatenate([np.frombuffer(r["common"], np.uint8) for r in told] + [np.zeros(0, np.uint8)])
+    several = np.flatnonzero(owner[:at] == NOBODY)  # tokens of several classes of this batch that are common
+    if len(several):
+        several = several[np.argsort(tokens[several])]
+        place = np.minimum(np.searchsorted(tokens[several], tokens[at:]), len(several) - 1)
+        common[at:] = np.where(tokens[several][place] == tokens[at:], common[several][place], 0)
     by = np.lexsort((tokens, owner))
-    tokens, owner = tokens[by], owner[by]
+    tokens, owner, common = tokens[by], owner[by], common[by]
     ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
     out = []
     for i in np.flatnonzero(np.diff(ends) > 0):
-        shared = tokens[ends[i]:ends[i + 1]]
-        if len(shared) >= least_overlap(int(sizes[i])):
-            out.append({"cls": head["classes"][16 * i:16 * i + 16], "n": int(sizes[i]), "shared": shared.tobytes()})
+        n, shared = int(sizes[i]), tokens[ends[i]:ends[i + 1]]
+        if len(shared) >= least_overlap(n):
+            first = rare_prefix(shared, common[ends[i]:ends[i + 1]], n)
+            out.append({"cls": head["classes"][16 * i:16 * i + 16], "n": n, "shared": shared.tobytes(), "first": first.tobytes()})
     return pa.Table.from_pylist(out, schema=SURVIVOR)
 
 
@@ -255,13 +304,13 @@ def memberships(docs: DataFrame, row_key: Column | None = None) -> DataFrame:
 
 
 def survivors(docs: DataFrame, total_tokens: int) -> DataFrame:
-    """Classes that can reach the threshold with another: cls, n, shared (their shared tokens, sorted)."""
+    """Classes that can reach the threshold with another: cls, n, shared (their shared tokens, sorted), first (those of their prefix, rare first)."""
     ranges = max(1, math.ceil(total_tokens / RANGE_TOKENS))
     packed = clean_columns(docs, "text").mapInArrow(
-        _pack(ranges), "home long, batch binary, tokens binary, owner binary, classes binary, sizes binary")
-    answers = packed.groupBy("home").applyInArrow(_answer(ranges), "batch binary, tokens binary, owner binary, classes binary, sizes binary")
-    found = answers.groupBy("batch").applyInArrow(_survivors, "cls binary, n long, shared binary")
-    return found.groupBy("cls").agg(F.first("n").alias("n"), F.first("shared").alias("shared"))
+        _pack(ranges), "home long, batch binary, tokens binary, owner binary, classes binary, sizes binary, held binary")
+    answers = packed.groupBy("home").applyInArrow(_answer(ranges), "batch binary, tokens binary, owner binary, classes binary, sizes binary, common binary")
+    found = answers.groupBy("batch").applyInArrow(_survivors, "cls binary, n long, shared binary, first binary")
+    return found.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "shared", "first")))
 
 
 # ---- candidates and links -----------------------------------------------------------------------------------------------------
@@ -272,16 +321,15 @@ LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of(batches):
-        firsts = [prefix(np.frombuffer(blob, np.uint64), n, 0).view(np.int64)
-                  for n, blob in zip(batch.column("n").to_pylist(), batch.column("shared").to_pylist(), strict=True)]
+        firsts = [np.frombuffer(blob, np.int64) for blob in batch.column("first").to_pylist()]
         cls = batch.column("cls").take(pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts])))
         yield pa.RecordBatch.from_arrays([cls, pa.array(np.concatenate([*firsts, np.zeros(0, np.int64)]))], schema=TOKEN)
 
 
 def families(alive: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """node, label: classes that prefixes of the first order bring together, directly or through others; and hub, cls, n: how many of its
+    """node, label: classes that prefixes, rare tokens first, bring together, directly or through others; and hub, cls, n: how many of its
     prefix tokens a class has at each hub, a token's smallest class. Linear in the prefixes."""
-    tokens = stage(alive.mapInArrow(_prefixes, "cls binary, token long"))
+    tokens = stage(alive.select("cls", "first").mapInArrow(_prefixes, "cls binary, token long"))
     hubs = tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
     met = stage(tokens.join(hubs, "token").where("hub <> cls").groupBy("hub", "cls").agg(F.count("*").alias("n")))
     return components(met.select(F.col("hub").alias("a"), F.col("cls").alias("b"))), met
@@ -431,6 +479,7 @@ def labels_of(alive: DataFrame) -> DataFrame:
     """
     length = (F.octet_length("shared") / 8).alias("tokens")
     family, met = families(alive)
+    alive = alive.select("cls", "n", "shared")
     placed = stage(family.withColumnRenamed("node", "cls").join(alive.select("cls", length), "cls"))  # sets stay behind
     sums = (F.count("*").alias("sets"), F.sum("tokens").alias("tokens"))
     filled = F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)
