@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Memo, batches_of, documents
+from gradeloom.llm.common import Memo, batches_of_bytes, documents
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
-#: A worker's memo: entries, and the longest cut kept; a matter of speed only.
-MEMO_ENTRIES, MEMO_LENGTH = 400_000, 40
+#: A worker's memo: entries of a generation (two are alive), and the longest cut kept; remembered pairs; bytes of text whose cuts are alive
+#: at a time. A matter of speed and memory only: every worker of the session may come to hold one until its end.
+MEMO_ENTRIES, MEMO_LENGTH, PAIRS, TEXT_BYTES = 200_000, 40, 1 << 17, 1 << 18
 
 
 class PieceModel:
@@ -58,21 +59,27 @@ class PieceModel:
             raise ValueError(f"pieces with characters that are none: {sorted(missing)[:5]}")
         cut_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         cut_line = not any("\n" in p for p in self.ids)
-        end = SPACE + "\n"
-        self.cuts = re.compile(f"{SPACE}+[^{end}]*|[^{end}]+|\n" if cut_space and cut_line else r"[\s\S]+")
+        self.cuts = re.compile(r" +[^ \n]*|[^ \n]+|\n" if cut_space and cut_line else r"[\s\S]+")
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             if self.merged(piece) == [piece]:  # a piece that merging never reaches is never an answer
                 self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
-        self.fits = Memo(self._fits)
-        self.shorter = Memo(self._shorter)
+        self.steps = Memo(self._steps, PAIRS)
+        self.fits = Memo(self._fits, PAIRS)
+        self.shorter = Memo(self._shorter, PAIRS)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge a short text in order of score, leftmost first."""
         parts = list(text)
+        for _ in self.merges(parts):
+            pass
+        return parts
+
+    def merges(self, parts: list[str]) -> Iterator[float]:
+        """Merge ``parts`` in place; the score of each step."""
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -82,11 +89,46 @@ class PieceModel:
             if best is None:
                 break
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            yield best
+
+    def _steps(self, piece: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]]:
+        """How a piece's first part, and its last, grow while it is merged: (least score of the steps up to that change, the part
+        from then on). The first entry is the part that merging begins with."""
+        parts, none = list(piece), float("inf")
+        heads, tails = [(none, parts[0])], [(none, parts[-1])]
+        low_head = low_tail = none
+        for score in self.merges(parts):
+            low_head, low_tail = min(low_head, score), min(low_tail, score)
+            if parts[0] != heads[-1][1]:
+                heads.append((low_head, parts[0]))
+                low_head = none
+            if parts[-1] != tails[-1][1]:
+                tails.append((low_tail, parts[-1]))
+                low_tail = none
+        return heads, tails
 
     def _fits(self, pair: tuple[str, str]) -> bool:
-        """Neighbours that come out as they are when re-merged alone; no piece reaches across a character outside the vocabulary."""
-        return pair[0] not in self.ids or pair[1] not in self.ids or self.merged(pair[0] + pair[1]) == list(pair)
+        """Neighbours that come out as they are when re-merged alone; no piece reaches across a character outside the vocabulary.
+
+        Each is merged as it would be alone, the better step first, until a merge across the border is better than both next steps
+        (equal scores: leftmost first, so the left piece's step is before it and the right one's after).
+        """
+        if pair[0] not in self.ids or pair[1] not in self.ids:
+            return True
+        left, right = self.steps[pair[0]][1], self.steps[pair[1]][0]
+        i = j = 0
+        while True:
+            across = self.scores.get(left[i][1] + right[j][1])
+            one = left[i + 1][0] if i + 1 < len(left) else None
+            two = right[j + 1][0] if j + 1 < len(right) else None
+            if across is not None and (one is None or across > one) and (two is None or across >= two):
+                return False
+            if one is None and two is None:
+                return True
+            if two is None or (one is not None and one >= two):
+                i += 1
+            else:
+                j += 1
 
     def _shorter(self, piece: str) -> str:
         return next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.automaton), "")
@@ -122,15 +164,16 @@ class PieceModel:
         return self.packed.get(piece) or b"".join(self.byte_ids[b].to_bytes(4, "little") for b in piece.encode("utf-8", "surrogatepass"))
 
     def split(self, text: str | None) -> list[str]:
-        return self.cuts.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """Cuts of a text with the dummy prefix; a space mark stands as a plain space, so that most cuts take a byte a character."""
+        return self.cuts.findall(" " + text.replace(SPACE, " ")) if text else []
 
     def encode_cuts(self, cuts: list[str]) -> dict[str, bytes]:
         """Ids of each cut; all cuts are walked as one text, parted by line feeds (which no piece contains)."""
         if not cuts:
             return {}
         if any("\n" in c for c in cuts):
-            return {c: b"".join(map(self.ids_of, self.pieces(c))) for c in cuts}
-        out, begin, pieces = {}, 0, self.pieces("\n".join(cuts))
+            return {c: b"".join(map(self.ids_of, self.pieces(c.replace(" ", SPACE)))) for c in cuts}
+        out, begin, pieces = {}, 0, self.pieces("\n".join(cuts).replace(" ", SPACE))
         packed = self.packed.get
         ends = [i for i, p in enumerate(pieces) if p == "\n"] + [len(pieces)]
         for cut, end in zip(cuts, ends, strict=True):
@@ -177,16 +220,21 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     kept = docs.drop("ids", "decoded")
     schema = kept.withColumn("ids", F.array(F.lit(0))).withColumn("decoded", F.lit("")).schema
 
+    return kept.mapInArrow(encoder(path, text), schema)
+
+
+def encoder(path: str, text: str = "text"):
+    """Batches with a column ``text`` to smaller ones with ``ids`` and ``decoded``, few of whose cuts are alive at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches_of(batches):
+        for batch in batches_of_bytes(batches, text, TEXT_BYTES):
             blobs = model.encode(batch.column(text).to_pylist())
             ends = np.cumsum([0, *(len(b) // 4 for b in blobs)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([model.decode(b) for b in blobs], pa.string())],
                                              names=[*batch.schema.names, "ids", "decoded"])
 
-    return kept.mapInArrow(run, schema)
+    return run
 
 
 def digests(encoded: DataFrame, *keep: str) -> DataFrame:
