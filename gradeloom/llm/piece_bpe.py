@@ -33,7 +33,7 @@ SPACE = "▁"
 NORMAL, BYTE = 1, 6
 #: A worker's memo: entries of a generation (two are alive), and the longest cut kept; remembered pairs; bytes of text whose cuts are alive
 #: at a time. A matter of speed and memory only: every worker of the session may come to hold one until its end.
-MEMO_ENTRIES, MEMO_LENGTH, PAIRS, TEXT_BYTES = 200_000, 40, 1 << 17, 1 << 18
+MEMO_ENTRIES, MEMO_LENGTH, PAIRS, TEXT_BYTES = 400_000, 40, 1 << 17, 1 << 18
 
 
 class PieceModel:
