@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Memo, batches_of, clean_columns, documents, splitmix, stage, table
+from gradeloom.llm.common import Memo, batches_of, clean_columns, documents, keeps, lean, lean_group, splitmix, stage, table
 from gradeloom.llm.components import components
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -52,8 +52,10 @@ BLOCK_SETS, BLOCK_TOKENS, ROWS, COLUMNS, OFTEN = 4096, 1 << 20, 512, 512, 24
 #: Stands for "several classes of this batch"; a batch has fewer classes than this.
 NOBODY = np.uint16(0xFFFF)
 
-#: Kept small: every worker of the session holds one until its end.
+#: Kept small: every worker that has hashed words holds one until another operator's task.
 _word_hash = Memo(xxhash.xxh64_intdigest, 1 << 17)
+OWNER = "ngram_join"
+keeps(OWNER, _word_hash.clear)
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -299,17 +301,17 @@ def memberships(docs: DataFrame, row_key: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, cls (null for an empty set) and the ``row_key`` asked for, one row per row of ``docs``."""
     ddl = "doc_id long, n_shingles long, cls binary"
     if row_key is None:
-        return clean_columns(docs, "doc_id", "text").mapInArrow(_members(False), ddl)
-    return docs.select("doc_id", "text", row_key.alias("row_key")).mapInArrow(_members(True), f"{ddl}, row_key binary")
+        return clean_columns(docs, "doc_id", "text").mapInArrow(lean(_members(False), OWNER), ddl)
+    return docs.select("doc_id", "text", row_key.alias("row_key")).mapInArrow(lean(_members(True), OWNER), f"{ddl}, row_key binary")
 
 
 def survivors(docs: DataFrame, total_tokens: int) -> DataFrame:
     """Classes that can reach the threshold with another: cls, n, shared (their shared tokens, sorted), first (those of their prefix, rare first)."""
     ranges = max(1, math.ceil(total_tokens / RANGE_TOKENS))
     packed = clean_columns(docs, "text").mapInArrow(
-        _pack(ranges), "home long, batch binary, tokens binary, owner binary, classes binary, sizes binary, held binary")
-    answers = packed.groupBy("home").applyInArrow(_answer(ranges), "batch binary, tokens binary, owner binary, classes binary, sizes binary, common binary")
-    found = answers.groupBy("batch").applyInArrow(_survivors, "cls binary, n long, shared binary, first binary")
+        lean(_pack(ranges), OWNER), "home long, batch binary, tokens binary, owner binary, classes binary, sizes binary, held binary")
+    answers = packed.groupBy("home").applyInArrow(lean_group(_answer(ranges)), "batch binary, tokens binary, owner binary, classes binary, sizes binary, common binary")
+    found = answers.groupBy("batch").applyInArrow(lean_group(lambda key, group: _survivors(group)), "cls binary, n long, shared binary, first binary")
     return found.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "shared", "first")))
 
 
@@ -329,7 +331,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def families(alive: DataFrame) -> tuple[DataFrame, DataFrame]:
     """node, label: classes that prefixes, rare tokens first, bring together, directly or through others; and hub, cls, n: how many of its
     prefix tokens a class has at each hub, a token's smallest class. Linear in the prefixes."""
-    tokens = stage(alive.select("cls", "first").mapInArrow(_prefixes, "cls binary, token long"))
+    tokens = stage(alive.select("cls", "first").mapInArrow(lean(_prefixes, OWNER), "cls binary, token long"))
     hubs = tokens.groupBy("token").agg(F.min("cls").alias("hub"), F.count("*").alias("members")).where("members > 1").drop("members")
     met = stage(tokens.join(hubs, "token").where("hub <> cls").groupBy("hub", "cls").agg(F.count("*").alias("n")))
     return components(met.select(F.col("hub").alias("a"), F.col("cls").alias("b"))), met
@@ -467,7 +469,7 @@ def star_links(large: DataFrame, met: DataFrame, alive: DataFrame) -> DataFrame:
     dealt = stage(best.select("hub", "cls", F.pmod(F.xxhash64("hub"), F.lit(homes)).alias("home"),
                               F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("part")))
     every = dealt.union(dealt.select("hub", F.col("hub").alias("cls"), "home", "part").distinct()).join(alive, "cls")
-    return every.groupBy("home", "part").applyInArrow(_star, "a binary, b binary")
+    return every.groupBy("home", "part").applyInArrow(lean_group(lambda key, group: _star(group)), "a binary, b binary")
 
 
 def labels_of(alive: DataFrame) -> DataFrame:
@@ -504,7 +506,7 @@ def labels_of(alive: DataFrame) -> DataFrame:
     meet = F.explode(F.filter("others", lambda o: (o["mine"] == "") | (o["mine"] != F.col("mine")))).alias("other")
     split = (dealt.join(others, "label").select("cls", "label", "near", "block", F.concat(F.lit("f"), F.hex("label")).alias("home"), meet)
              .select("cls", "label", "near", "block", "home", F.least("block", "other.block").alias("low"), F.greatest("block", "other.block").alias("high")))
-    found = small.union(split).join(alive, "cls").groupBy("home", "low", "high").applyInArrow(_verify, "a binary, b binary")
+    found = small.union(split).join(alive, "cls").groupBy("home", "low", "high").applyInArrow(lean_group(lambda key, group: _verify(group)), "a binary, b binary")
     return components(stage(found.union(stars)))
 
 

@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import Memo, batches_of_bytes, documents
+from gradeloom.llm.common import Memo, batches_of_bytes, documents, keeps, lean
 
+OWNER = "piece_bpe"
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
 #: A worker's memo: entries of a generation (two are alive), and the longest cut kept; remembered pairs; bytes of text whose cuts are alive
-#: at a time. A matter of speed and memory only: every worker of the session may come to hold one until its end.
+#: at a time. A matter of speed and memory only: every worker may come to hold one until another operator's task.
 MEMO_ENTRIES, MEMO_LENGTH, PAIRS, TEXT_BYTES = 400_000, 40, 1 << 17, 1 << 18
 
 
@@ -71,6 +72,12 @@ class PieceModel:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Let the memos go."""
+        self.memo, self.older = {}, {}
+        for memo in (self.steps, self.fits, self.shorter):
+            memo.clear()
+
     def merged(self, text: str) -> list[str]:
         """Merge a short text in order of score, leftmost first."""
         parts = list(text)
@@ -203,9 +210,17 @@ class PieceModel:
         return (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace")
 
 
+_models: list[PieceModel] = []
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> PieceModel:
-    return PieceModel(path)
+    _models.append(PieceModel(path))
+    del _models[:-2]
+    return _models[-1]
+
+
+keeps(OWNER, lambda: [model.forget() for model in _models])
 
 
 def default_path() -> str:
@@ -220,7 +235,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
     kept = docs.drop("ids", "decoded")
     schema = kept.withColumn("ids", F.array(F.lit(0))).withColumn("decoded", F.lit("")).schema
 
-    return kept.mapInArrow(encoder(path, text), schema)
+    return kept.mapInArrow(lean(encoder(path, text), OWNER), schema)
 
 
 def encoder(path: str, text: str = "text"):

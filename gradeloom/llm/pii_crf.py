@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import batches_of, documents, sample_texts
+from gradeloom.llm.common import batches_of, documents, lean, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS, MAX_CHARS = 16, 80
@@ -283,7 +283,7 @@ def sample_islands(docs: DataFrame, text: str = "text") -> list[str]:
                         out.append(x[max(0, a - 1):b + 1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["island"])
 
-    found = sorted({r.island for r in few.mapInArrow(cut, "island string").distinct().collect()})
+    found = sorted({r.island for r in few.mapInArrow(lean(cut), "island string").distinct().collect()})
     return choose(found)
 
 
@@ -326,7 +326,7 @@ def find(docs: DataFrame, text: str = "text", model=None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(SPAN))], names=[*batch.schema.names, "spans"])
 
     schema = kept.withColumn("spans", F.lit(None).cast(SPANS_DDL)).schema
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(lean(run), schema)
 
 
 def redact(docs: DataFrame, text: str = "text", model=None) -> DataFrame:
@@ -338,7 +338,7 @@ def redact(docs: DataFrame, text: str = "text", model=None) -> DataFrame:
             out = [masked(t, spans_of(t, model)) for t in batch.column(text).to_pylist()]
             yield batch.set_column(batch.schema.get_field_index(text), text, pa.array(out, pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def masked(text: str | None, spans: list[dict]) -> str | None:

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import batches_of, documents, sample_texts
+from gradeloom.llm.common import batches_of, batches_of_bytes, documents, lean, sample_texts
 
 SAMPLE_ROWS = 400
+#: Bytes of text whose words are alive at a time.
+TEXT_BYTES = 1 << 18
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
@@ -144,7 +146,7 @@ def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([e.seconds for e in found]), pa.array([e.rejected for e in found])],
                                              names=["rule", "seconds", "rejected"])
 
-    sums = (rows.mapInArrow(judged, "rule string, seconds double, rejected long").groupBy("rule")
+    sums = (rows.mapInArrow(lean(judged), "rule string, seconds double, rejected long").groupBy("rule")
             .agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect())  # one row per rule
     if not sums:
         return list(rules)
@@ -160,7 +162,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measures: tuple[st
     kept = docs.drop(*new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches):
+        for batch in batches_of_bytes(batches, text, TEXT_BYTES):
             texts = [Text(t) for t in batch.column(text).to_pylist()]
             taken = [[t[m] for t in texts] for m in measures]
             if measures:
@@ -175,7 +177,7 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, measures: tuple[st
     schema = kept
     for m in measures:
         schema = schema.withColumn(m, F.lit(None).cast("long"))
-    return kept.mapInArrow(run, schema.withColumns({"base_failed": F.lit(None).cast("boolean"), "kept": F.lit(None).cast("boolean")}).schema)
+    return kept.mapInArrow(lean(run), schema.withColumns({"base_failed": F.lit(None).cast("boolean"), "kept": F.lit(None).cast("boolean")}).schema)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
