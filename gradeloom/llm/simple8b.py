@@ -22,16 +22,17 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import batches_of, documents, stage
+from gradeloom.llm.common import batches_of, batches_of_bytes, documents, stage
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 16
@@ -44,12 +45,14 @@ WIDTH = np.array([c.bit_length() for c in range(ESCAPED + 1)], np.uint8)
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces whose characters no normal form changes and whose lower case is the same everywhere, and ``CUT`` for such pieces.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ‘’“”–—…]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ‘’“”–—…]+$"
 _PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^ a-z0-9ß-öø-ÿ]+")
 #: Entries and ids that a worker's store holds before it starts anew; a matter of speed only.
 ENTRIES, STORED = 1_000_000, 1 << 23
 #: Pre-tokens asked for in one text.
 TOGETHER = 500
+#: Texts cut at a time, and their bytes; a matter of speed and memory only.
+TEXTS, TEXT_BYTES = 2048, 1 << 23
 
 BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())),
                    ("n_ids", pa.int64()), ("words", pa.binary()), ("escapes", pa.binary())])
@@ -127,28 +130,31 @@ class Store(dict):
         self.fill, self.fixed = fill, fixed
         self.start_anew()
 
-    def __missing__(self, key: str) -> int:
-        number = self[key] = len(self)
-        self.new.append(key)
-        return number
-
     def start_anew(self) -> None:
         self.clear()
         self.update({key: i for i, key in enumerate(self.fixed)})
-        self.new: list[str] = []
         self.sizes = np.array([len(x) for x in self.fixed.values()])
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.ids = np.array([i for x in self.fixed.values() for i in x], "<u4")
 
-    def ids_of(self, keys: Iterable[str | None], count: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of ``count`` strings, one after the other, and how many there are up to the end of each."""
+    def numbers(self, keys: list[str | None]) -> np.ndarray:
+        """Numbers of strings, good until more are asked for."""
         if len(self) > ENTRIES or len(self.ids) > STORED:
             self.start_anew()
-        numbers = np.fromiter(map(self.__getitem__, keys), np.int64, count)
-        if self.new:
-            ids, sizes = self.fill(self.new)
+        numbers = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            asked = [keys[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(asked))
+            ids, sizes = self.fill(new)
+            self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+            numbers[missing] = np.fromiter(map(self.__getitem__, asked), np.int64, len(asked))
             self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
-            self.sizes, self.ids, self.new = np.r_[self.sizes, sizes], np.r_[self.ids, ids], []
+            self.sizes, self.ids = np.r_[self.sizes, sizes], np.r_[self.ids, ids]
+        return numbers
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered strings, one after the other, and how many there are up to the end of each."""
         sizes = self.sizes[numbers]
         upto = np.cumsum(sizes)
         places = np.repeat(self.starts[numbers] - (upto - sizes), sizes)
@@ -160,8 +166,9 @@ class Encoder:
     """Ids of whole texts, put together from those of their pre-tokens where the tokenizer's own configuration shows that this is the same.
 
     A text is cut at blanks and line feeds, a plain piece further as ``CUT`` does; the library is asked for each pre-token once. Pieces with
-    other characters or a mark of an added token are asked for whole. A tokenizer that works in another way gets whole texts. A text becomes the
-    numbers of its pieces, one look-up each, and the ids of a batch of texts are gathered at once; new pieces likewise from their pre-tokens.
+    other characters or a mark of an added token are asked for whole. A tokenizer that works in another way gets whole texts. Arrow cuts a batch
+    of texts and tells its different pieces apart; each of them is looked up once, and the ids of the batch are gathered at once; new pieces
+    likewise from their pre-tokens.
     """
 
     def __init__(self, path: str):
@@ -203,30 +210,35 @@ class Encoder:
 
     def fill_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces: plain ones from their pre-tokens, the others as the library gives them."""
-        plain = [bool(_PLAIN.fullmatch(p)) and "<|" not in p for p in pieces]
-        odd = [p for p, is_plain in zip(pieces, plain, strict=True) if not is_plain]
+        column = pa.array(pieces, pa.string())
+        plain = pc.and_not(pc.match_substring_regex(column, _PLAIN), pc.match_substring(column, "<|")).to_numpy(zero_copy_only=False)
+        odd = list(compress(pieces, ~plain))
         asked = self.asked(odd)
-        # a blank, which has no ids, stands after each plain piece
-        parts = _PRE_TOKENS.findall("".join([f"{p} " for p in compress(pieces, plain)]).lower())
-        ids, upto = self.pre_tokens.ids_of(parts, len(parts))
-        ends = upto[np.fromiter((i for i, x in enumerate(parts) if x == " "), np.int64, len(pieces) - len(odd))]
-        plain, sizes = np.array(plain, bool), np.zeros(len(pieces), np.int64)
+        # a blank, which has number 0 and no ids, stands after each plain piece
+        numbers = self.pre_tokens.numbers(_PRE_TOKENS.findall("".join([f"{p} " for p in compress(pieces, plain)]).lower()))
+        ids, upto = self.pre_tokens.ids_of(numbers)
+        ends = upto[numbers == 0]
+        sizes = np.zeros(len(pieces), np.int64)
         sizes[plain], sizes[~plain] = np.diff(ends, prepend=0), [len(x) // 4 for x in asked]
         out, of_plain = np.empty(sizes.sum(), "<u4"), np.repeat(plain, sizes)
         out[of_plain], out[~of_plain] = ids, np.frombuffer(b"".join(asked), "<u4")
         return out, sizes
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, END included."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.by_pieces:
             end = END.to_bytes(4, "little")
-            return [ids + end for ids in self.asked([t or "" for t in texts])]
-        cut = [[*t.replace("\n", " ").split(" "), None] if t else [None] for t in texts]
-        ends = np.cumsum([len(pieces) for pieces in cut])
-        if not cut:
+            return [ids + end for ids in self.asked(texts.to_pylist())]
+        if not len(texts):
             return []
-        ids, upto = self.pieces.ids_of(chain.from_iterable(cut), int(ends[-1]))
-        raw, ends = ids.tobytes(), (4 * upto[ends - 1]).tolist()
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found, ends = cut.flatten().dictionary_encode(), np.cumsum(cut.value_lengths().to_numpy())
+        kinds = len(found.dictionary)
+        # a piece holds no blank, so blanks may part the different ones; END follows the pieces of each text
+        pieces = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, kinds], pa.int32()), found.dictionary), " ")[0].as_py().split(" ")
+        ids, upto = self.pieces.ids_of(self.pieces.numbers([*pieces, None])[np.insert(found.indices.to_numpy(), ends, kinds)])
+        raw, ends = ids.tobytes(), (4 * upto[ends + np.arange(len(ends))]).tolist()
         return [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
 
 
@@ -258,8 +270,8 @@ def write(docs: DataFrame, path: str | None = None, partitions: int | None = Non
             return pa.RecordBatch.from_pylist([{"shard": 0, "block": block, "doc_ids": keys, "doc_ends": ends.tolist(), "n_ids": len(ids),
                                                 "words": words, "escapes": escapes}], schema=BLOCK)
 
-        for batch in batches_of(batches, 512):
-            for key, blob in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+        for batch in batches_of_bytes(batches, "text", TEXT_BYTES, TEXTS):
+            for key, blob in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 keys.append(key)
                 blobs.append(blob)
                 held += len(blob) // 4

@@ -1,10 +1,25 @@
-"""What a worker holds after its tasks."""
+"""What a worker holds after its tasks, and pieces that are looked up once a batch."""
 
 from __future__ import annotations
 
+import random
+
 import pyarrow as pa
 
-from gradeloom.llm import common, ngram_join, piece_bpe
+from gradeloom.llm import common, ngram_join, piece_bpe, simple8b
+
+
+def test_a_batch_looks_each_different_piece_up_once(monkeypatch):
+    r = random.Random(3)
+    pieces = ["the", "The", "it's", "naïve", "ﬁ", "a<|endoftext|>b", "x\ry", "", "12.5", "中"] + ["".join(r.choice("abcde") for _ in range(5)) for _ in range(40)]
+    texts = ["".join(r.choice(pieces) + r.choice(" \n") for _ in range(80)) for _ in range(60)] + [None, "", "\n", "  "]
+    encoder = simple8b.Encoder(simple8b.default_path())
+    want = [ids + simple8b.END.to_bytes(4, "little") for ids in encoder.asked([t or "" for t in texts])]
+    asked, numbers = [], encoder.pieces.numbers
+    monkeypatch.setattr(encoder.pieces, "numbers", lambda keys: asked.append(keys) or numbers(keys))
+    batch = pa.array(texts, pa.string())
+    assert encoder.encode(batch) == want and encoder.encode(batch.slice(30)) == want[30:] and encoder.encode(batch.slice(60)) == want[60:]
+    assert len(asked) == 3 and all(len(keys) == len(set(keys)) for keys in asked)
 
 
 def test_a_task_lets_go_what_other_operators_kept(monkeypatch):
