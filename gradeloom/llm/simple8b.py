@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import batches_of, batches_of_bytes, documents, stage
+from gradeloom.llm.common import batches_of, batches_of_bytes, documents, lean, stage
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 BLOCK_IDS = 1 << 16
@@ -48,11 +48,11 @@ CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = "^[!-~À-ÖØ-öø-ÿ‘’“”–—…]+$"
 _PRE_TOKENS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^ a-z0-9ß-öø-ÿ]+")
 #: Entries and ids that a worker's store holds before it starts anew; a matter of speed only.
-ENTRIES, STORED = 1_000_000, 1 << 23
+ENTRIES, STORED = 500_000, 1 << 22
 #: Pre-tokens asked for in one text.
 TOGETHER = 500
 #: Texts cut at a time, and their bytes; a matter of speed and memory only.
-TEXTS, TEXT_BYTES = 2048, 1 << 23
+TEXTS, TEXT_BYTES = 1024, 1 << 21
 
 BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())),
                    ("n_ids", pa.int64()), ("words", pa.binary()), ("escapes", pa.binary())])
@@ -281,7 +281,7 @@ def write(docs: DataFrame, path: str | None = None, partitions: int | None = Non
         if keys:
             yield flush()
 
-    return stage(ordered.mapInArrow(run, BLOCK_DDL).withColumn("shard", F.spark_partition_id()))
+    return stage(ordered.mapInArrow(lean(run, "simple8b"), BLOCK_DDL).withColumn("shard", F.spark_partition_id()))
 
 
 def documents_of(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
