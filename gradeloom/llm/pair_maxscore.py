@@ -25,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.llm.common import documents, stage
+from gradeloom.llm.common import batches_of_bytes, documents, lean, stage
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 20
 #: Terms of a shard, and of a block of items; a matter of memory and speed only.
-SHARD_TOKENS, BLOCK_TERMS, BROADCAST_BLOCKS = 1 << 21, 1 << 16, 8
+SHARD_TOKENS, BLOCK_TERMS, BROADCAST_BLOCKS = 1 << 20, 1 << 16, 8
+#: Bytes of texts that are cut at a time, and what the operator's workers hold is named by.
+TEXT_BYTES, OWNER = 1 << 20, "op13"
 #: Query terms up to which the document-frequency join broadcasts them.
 BROADCAST_TERMS = 200_000
 NO_DOC = np.iinfo(np.int64).max
@@ -82,7 +85,7 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
-        for batch in batches:
+        for batch in batches_of_bytes(batches, "text", TEXT_BYTES):
             for number, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard.add(number, words.as_py())
                 if shard.tokens >= SHARD_TOKENS:
@@ -90,7 +93,7 @@ def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     shard = Shard()
         yield from shard.rows()
 
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, SHARD_SQL)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).alias("text")).mapInArrow(lean(run, OWNER), SHARD_SQL)
 
 
 def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -115,10 +118,11 @@ def weights(shards: DataFrame, terms: DataFrame) -> tuple[DataFrame, int, int]:
 class Lists:
     """Impacts of one shard: per term, and per pair of terms where both stand in a document."""
 
-    def __init__(self, shard: dict, n: int, size: int):
-        self.number = {t: i for i, t in enumerate(shard["terms"])}
-        self.ends = np.concatenate([[0], np.cumsum(shard["dfs"])])
-        self.docs, self.tfs, self.doc_ids = shard["docs"], shard["tfs"].astype(np.int64), shard["doc_ids"]
+    def __init__(self, shard: dict, asked: pa.Array, n: int, size: int):
+        at = pc.index_in(asked, value_set=shard["terms"])  # only the asked terms become Python objects
+        self.number = {t: i for t, i in zip(asked.to_pylist(), at.to_pylist(), strict=True) if i is not None}
+        self.ends = np.concatenate([[0], np.cumsum(shard["dfs"], dtype=np.int64)])
+        self.docs, self.tfs, self.doc_ids = shard["docs"], shard["tfs"], shard["doc_ids"]
         self.rough = 12 * (75 + 25 * shard["sizes"].astype(np.int64) * n // size)
         self.terms: dict[bytes, tuple | None] = {}
         self.pairs: dict[tuple, tuple | None] = {}
@@ -131,7 +135,7 @@ class Lists:
                 self.terms[term] = None
             else:
                 part = slice(self.ends[i], self.ends[i + 1])
-                docs, tf = self.docs[part], self.tfs[part]
+                docs, tf = self.docs[part], self.tfs[part].astype(np.int64)
                 self.terms[term] = docs, w * (1_000_000_000 * tf // (1000 * tf + self.rough[docs]))
         return self.terms[term]
 
@@ -200,7 +204,7 @@ def search(lists: Lists, terms: list[tuple[bytes, int, int]], k: int, floor: int
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
     """item_id, key, rank, doc_id, score: the best ``k`` documents of every item (item_id, text); key tells items of one id apart."""
-    shards = stage(index(docs))
+    shards = stage(index(docs), rows_per_file=1)  # a reader holds all rows of a file at once
     asked = stage(item_terms(items))
     weight, n, size = weights(shards, asked)
     weighted = asked.withColumn("term", F.col("term").cast("binary")).join(weight, "term")
@@ -217,12 +221,13 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
         queries: dict[int, list] = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = {c: batch.column(c)[i] for c in SHARD.names}
-                shard = {c: v.as_py() if c == "terms" else v.values.fill_null(NO_DOC if c == "doc_ids" else 0).to_numpy() for c, v in shard.items()}
+                shard = {c: batch.column(c)[i].values for c in SHARD.names}
+                shard = {c: v if c == "terms" else v.fill_null(NO_DOC if c == "doc_ids" else 0).to_numpy() for c, v in shard.items()}
                 block = batch.column("block")[i].as_py()
                 if block not in queries:
                     queries = {block: batch.column("items")[i].as_py()}  # one block at a time stays parsed
-                lists = Lists(shard, n, size)
+                    asked = pa.array(list({t["term"]: None for item in queries[block] for t in item["terms"]}), pa.binary())
+                lists = Lists(shard, asked, n, size)
                 out: list[tuple] = []
                 for item in queries[block]:
                     seen = best.get(item["key"], np.zeros(0, np.int64))
@@ -234,7 +239,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = TOP) -> DataFrame:
                 names = ["key", "item_id", "doc_id", "score"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.string() if c == 0 else pa.int64()) for c in range(4)], names=names)
 
-    hits = met.mapInArrow(run, "key string, item_id long, doc_id long, score long")
+    hits = met.mapInArrow(lean(run, OWNER), "key string, item_id long, doc_id long, score long")
     order = Window.partitionBy("key").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "key", "rank", "doc_id", "score")
 

@@ -29,9 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _PRIVATE[app]
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once and read it back, so that later branches do not recompute it."""
+def stage(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
+    """Write ``df`` once and read it back, so that later branches do not recompute it.
+
+    ``rows_per_file``: rows of a file at most, for rows so large that those of one task cannot be read together; 0 is no bound.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
